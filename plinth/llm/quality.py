@@ -62,7 +62,8 @@ def gap_columns(lines: list[str]) -> float:
     best = 0.0
     for wide in (1, 2):
         sets = [ends(x, wide) for x in lines]
-        same = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:], strict=False) if a and b]
+        # an overflowing cell shifts what follows a little
+        same = [sum(any(abs(x - y) <= 3 for y in b) for x in a) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:], strict=False) if a and b]
         best = max(best, sum(same) / len(same) if same else 0.0)
     return best
 
@@ -107,7 +108,7 @@ def unreadable_words(words: list[str]) -> float:
     return bad / (good + bad) if good + bad >= 30 else 0.0
 
 
-def junk_share(text: str, words: list[str], symbols: int) -> float:
+def junk_share(text: str, words: list[str], symbols: int, common: float) -> float:
     """Share of the text that nobody can read: garbage, markup, repetition, bare numbers; 1.0 for blank text."""
     n = len(text)
     solid = sum(not c.isspace() for c in text) if n < 400 else n - text.count(" ") - text.count("\n")
@@ -123,13 +124,13 @@ def junk_share(text: str, words: list[str], symbols: int) -> float:
             long += len(w)
     share = max(share, long / solid)
     share = max(share, 2 * len(MOJIBAKE.findall(text)) / solid if not text.isascii() else 0.0)
-    if unreadable_words(words) > 0.42 and sum(len(w) for w in words if w.isascii()) > 0.5 * solid:
+    if common < 0.1 and unreadable_words(words) > 0.42 and sum(len(w) for w in words if w.isascii()) > 0.5 * solid:
         share = 1.0
     numbers = sum(w.isdigit() for w in words)
-    if len(words) >= 16 and sum(bool(HEX.match(w)) for w in words) > 0.7 * len(words):
+    if common < 0.1 and len(words) >= 16 and sum(bool(HEX.match(w)) for w in words) > 0.7 * len(words):
         share = 1.0
-    menu = sum(len(w) for w in words if w.lower() in MENU_WORDS)
-    if not text.isascii():
+    menu = sum(len(w) for w in words if w.lower() in MENU_WORDS) if common < 0.3 else 0
+    if common < 0.3 and not text.isascii():
         rest = text
         for w in MENU_CJK:
             if w in rest:
@@ -174,14 +175,14 @@ def measure(text: str | None, common: frozenset[str]) -> dict:
     ended = sum(bool(LINE_END.search(x)) for x in lines)
     zh = sum(len(w) == 1 and "㐀" <= w <= "鿿" for w in words)
     # a common word of several CJK characters is looked for in the text, one of letters among the words
-    hits = sum(w.lower() in common for w in words)
+    hits = sum(w in common for w in map(str.lower, words))
     if zh:
         hits += sum(text.count(w) * len(w) for w in common if len(w) > 1 and "㐀" <= w[0] <= "鿿")
     out = {
         "words": n, "mean_word_length": sum(map(len, words)) / n if n else 0.0, "symbol_ratio": symbols / max(1, len(text)), "lines": len(lines),
         "ended_lines": ended / len(lines) if lines else 0.0, "common_words": min(1.0, hits / n) if n else 0.0, "length_autocorrelation": autocorrelation([len(x) for x in lines]), "indent_periodicity": indent_period(lines),
     }
-    out["junk_share"] = junk_share(text, words, symbols)
+    out["junk_share"] = junk_share(text, words, symbols, out["common_words"])
     out["table_share"], out["list_share"], out["prose_share"] = shapes(lines)
     out["text_kind"] = kind_of(out)
     return out
