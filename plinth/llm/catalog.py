@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from plinth.llm import containers, mixture, pairs, quality, quotas, splits  # noqa: F401
+from plinth.llm import containers, leaks, mixture, pairs, quality, quotas, splits  # noqa: F401
 from plinth.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
