@@ -266,6 +266,8 @@ def unbroken(left: str, right: str, mark: str, model: Model) -> bool:
     return model.count(a) >= 3 and model.count(b) >= 3
 
 
+#: Units that stand apart from their number.
+UNIT = re.compile(r"分钟|小时")
 TOKEN = re.compile(r"[^\s㐀-鿿，。；：！？、（）“”‘’《》]+")
 EDGE = " .,;:()[]{}\"'“”‘’…/"
 
@@ -307,10 +309,13 @@ class Body:
                     cut = True
             self.add(s, i)
             if not cut and nxt:
-                wide = CJK.match(s[-1]) or s[-1] in "，。；：！？、（）“”《》"
+                wide = "，。；：！？、（）“”《》"
+                glued = CJK.match(s[-1]) or CJK.match(nxt[0]) or s[-1] in wide or nxt[0] in wide
+                if s[-1].isdigit() and UNIT.match(nxt):
+                    glued = False
                 if NUMBERED.match(s) and len(s) < 60:
                     self.add("\n", i)
-                elif not (wide and (CJK.match(nxt[0]) or wide)):
+                elif not glued:
                     self.add(" ", i)
 
     def add(self, s: str, i: int) -> None:
