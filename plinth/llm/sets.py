@@ -102,7 +102,11 @@ def count_tokens(sets: DataFrame) -> Broadcast:
     return sets.sparkSession.sparkContext.broadcast(out.clip(0, 2**31 - 1).astype(np.uint32))
 
 
-POSTING = "key bigint, part_a int, part_b int, side int, sig bigint, size int, pos int, s0 bigint, s1 bigint"
+POSTING = "key bigint, part_a int, part_b int, side int, sig bigint, size int, pos int, s0 bigint, s1 bigint, wide binary"
+#: Sets of more tokens have a sketch of 512 bits, too: 128 are too few to tell them apart.
+WIDE, WIDE_BYTES = 130, 64
+#: Longer lists are compared block by block instead of entry by entry.
+LONG = 3000
 
 
 def sketches(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +120,23 @@ def sketches(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(np.where(low, one, zero), starts).view(np.int64), np.bitwise_xor.reduceat(np.where(low, zero, one), starts).view(np.int64)
 
 
+def wide_sketches(flat: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """512 bits of parity for the sets of more than WIDE tokens, None for the others."""
+    row = np.repeat(np.arange(len(n)), n)
+    big = np.flatnonzero(n > WIDE)
+    out: list[bytes | None] = [None] * len(n)
+    if len(big):
+        place = np.full(len(n), -1)
+        place[big] = np.arange(len(big))
+        take = place[row] >= 0
+        h = tokens.mix(flat[take].astype(np.uint64) + np.uint64(999)) & np.uint64(511)
+        bits = np.bincount(place[row[take]] * 512 + h.astype(np.int64), minlength=512 * len(big)) & 1
+        packed = np.packbits(bits.astype(np.uint8).reshape(len(big), 512), axis=1)
+        for i, k in enumerate(big.tolist()):
+            out[k] = packed[i].tobytes()
+    return out
+
+
 def postings(sets: DataFrame, counts: Broadcast, num: int, den: int) -> DataFrame:
     """Index entries of each class's first tokens. A token that is the only one of its cell can't be shared and is left out."""
 
@@ -130,6 +151,7 @@ def postings(sets: DataFrame, counts: Broadcast, num: int, den: int) -> DataFram
             n = np.array([len(x) // 4 for x in blobs], np.int64)
             flat = np.frombuffer(b"".join(blobs), np.uint32)
             s0, s1 = sketches(flat, n)
+            wide = wide_sketches(flat, n)
             kind, sig = b.column(0).to_numpy(), b.column(2).to_numpy()
             row = np.repeat(np.arange(len(n)), n)
             c = df[flat & np.uint32(CELLS - 1)]
@@ -150,8 +172,9 @@ def postings(sets: DataFrame, counts: Broadcast, num: int, den: int) -> DataFram
             a, z = np.minimum(own[i], other), np.maximum(own[i], other)
             cols = [key[i], a, z, (own[i] != a).astype(np.int32), sig[r][i], n[r][i].astype(np.int32), p[i].astype(np.int32), s0[r][i], s1[r][i]]
             names = [x.split()[0] for x in POSTING.split(", ")]
+            which = r[i]
             for lo in range(0, len(i), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in cols], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[lo : lo + 100_000]) for x in cols), pa.array([wide[k] for k in which[lo : lo + 100_000].tolist()], pa.binary())], names)
 
     return sets.mapInArrow(run, POSTING)
 
@@ -159,9 +182,9 @@ def postings(sets: DataFrame, counts: Broadcast, num: int, den: int) -> DataFram
 class List:
     """One index list (or a pair of its parts), sorted by size and position, in blocks of sizes."""
 
-    def __init__(self, sig, size, pos, s0, s1):
-        order = np.lexsort((pos, size // 4))
-        self.sig, self.size, self.pos, self.s0, self.s1 = sig[order], size[order], pos[order], s0[order].view(np.uint64), s1[order].view(np.uint64)
+    def __init__(self, t: dict[str, np.ndarray], rows: np.ndarray):
+        order = rows[np.lexsort((t["pos"][rows], t["size"][rows] // 4))]
+        self.row, self.size, self.pos, self.s0, self.s1 = order, t["size"][order], t["pos"][order], t["s0"][order].view(np.uint64), t["s1"][order].view(np.uint64)
         block = self.size // 4
         cut = np.flatnonzero(np.diff(block)) + 1 if len(block) else np.zeros(0, np.int64)
         self.starts = np.concatenate([[0], cut]) if len(block) else np.zeros(0, np.int64)
@@ -171,7 +194,7 @@ class List:
 
 
 def matches(x: List, y: List, same: bool, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate (sig, sig) of two lists of one token, by blocks; ``same``: x and y are one list."""
+    """Candidate rows of two lists of one token, by blocks; ``same``: x and y are one list."""
     out = []
     for i in range(len(x.starts)):
         for j in range(i + 1 if same else len(y.starts)):
@@ -197,34 +220,56 @@ def matches(x: List, y: List, same: bool, num: int, den: int) -> list[tuple[np.n
                 if len(r):
                     r, c = r + a, c + b0
                     room = np.minimum(x.size[r] - x.pos[r], y.size[c] - y.pos[c])
-                    ok = (room * (num + den) >= num * (x.size[r] + y.size[c])) & (x.sig[r] != y.sig[c])
-                    out.append((x.sig[r[ok]], y.sig[c[ok]]))
+                    ok = room * (num + den) >= num * (x.size[r] + y.size[c])
+                    out.append((x.row[r[ok]], y.row[c[ok]]))
     return out
 
 
-def small_lists(key, sig, size, pos, s0, s1, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of many short lists at once: each entry with the following ones of its list."""
-    n = len(key)
-    end = np.searchsorted(key, key, "right")
-    count = end - np.arange(n) - 1
-    out = []
-    at = 0
+def near_lists(group, t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate rows (i, j) of many lists at once, the set of i not larger than that of j.
+
+    Entries are sorted by list and size. Size and position of i bound the sizes of j, so all else of the list is skipped.
+    """
+    order = np.lexsort((t["size"], group))
+    size, pos = t["size"][order].astype(np.int64), t["pos"][order].astype(np.int64)
+    s0, s1 = t["s0"][order].view(np.uint64), t["s1"][order].view(np.uint64)
+    top = int(size.max()) + 2 if len(size) else 2
+    place = group[order].astype(np.int64) * top + size
+    # |x| - p >= num / (num + den) * (|x| + |y|) for the smaller x
+    most = np.minimum(((num + den) * (size - pos)) // num - size, top - 1)
+    n = len(size)
+    end = np.searchsorted(place, place - size + np.maximum(most, 0), "right")
+    count = np.maximum(0, end - np.arange(n) - 1)
     running = np.concatenate([[0], np.cumsum(count)])
+    out_i, out_j = [], []
+    at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(running, running[at] + 2_000_000, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(running, running[at] + 1_000_000, "right")) - 1)
         c = count[at:to]
         i = np.repeat(np.arange(at, to), c)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        need = num * (size[i] + size[j])
-        ok = np.flatnonzero((np.minimum(size[i] - pos[i], size[j] - pos[j]) * (num + den) >= need) & (sig[i] != sig[j]))
-        i, j = i[ok], j[ok]
-        bits = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int32) + np.bitwise_count(s1[i] ^ s1[j])
-        ok = np.flatnonzero((bits * (num + den) <= (den - num) * (size[i] + size[j])) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j])))
-        out.append((sig[i[ok]], sig[j[ok]]))
+        j = i + 1 + np.arange(len(i)) - np.repeat(running[at:to] - running[at], c)
+        both = size[i] + size[j]
+        ok = np.flatnonzero((size[j] - pos[j]) * (num + den) >= num * both)
+        i, j, both = i[ok], j[ok], both[ok]
+        bits = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+        ok = np.flatnonzero(bits * (num + den) <= (den - num) * both)
+        out_i.append(order[i[ok]])
+        out_j.append(order[j[ok]])
         at = to
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def wide_filter(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the candidate rows the wide sketches, where both have one, don't exclude; equal classes are excluded."""
+    keep = t["sig"][i] != t["sig"][j]
+    look = np.flatnonzero(keep & (t["size"][i] > WIDE) & (t["size"][j] > WIDE))
+    if len(look):
+        w = t["wide"]
+        x = np.frombuffer(b"".join(w[i[look]]), np.uint64).reshape(-1, WIDE_BYTES // 8)
+        y = np.frombuffer(b"".join(w[j[look]]), np.uint64).reshape(-1, WIDE_BYTES // 8)
+        bits = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        keep[look] = bits * (num + den) <= (den - num) * (t["size"][i[look]].astype(np.int64) + t["size"][j[look]])
+    return np.flatnonzero(keep)
 
 
 def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,22 +282,23 @@ def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
         starts = np.concatenate([[0], change])
         ends = np.concatenate([change, [n]])
         length = ends - starts
-        plain = length <= 48
+        one = t["part_a"][starts] == t["part_b"][starts]
+        plain = one & (length <= LONG)
         group = np.repeat(np.arange(len(starts)), length)
         small = np.flatnonzero(np.repeat(plain, length))
-        # pairs of parts: the sides must differ; equal parts hold side 0 only, so that short lists need no more than this test
-        a, b = small_lists(*[x[small] for x in (group, t["sig"], t["size"], t["pos"])], t["s0"][small].view(np.uint64), t["s1"][small].view(np.uint64), num, den)
-        found = [(a, b)]
+        i, j = near_lists(group[small], {k: t[k][small] for k in ("size", "pos", "s0", "s1")}, num, den)
+        found = [(small[i], small[j])]
         for g in np.flatnonzero(~plain):
-            s, e = starts[g], ends[g]
-            part = {k: t[k][s:e] for k in ("sig", "size", "pos", "s0", "s1")}
-            if t["part_a"][s] == t["part_b"][s]:
-                one = List(**part)
-                found += matches(one, one, True, num, den)
+            rows = np.arange(starts[g], ends[g])
+            if one[g]:
+                x = List(t, rows)
+                found += matches(x, x, True, num, den)
             else:
-                left = t["side"][s:e] == 0
-                found += matches(List(**{k: v[left] for k, v in part.items()}), List(**{k: v[~left] for k, v in part.items()}), False, num, den)
-        a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                left = t["side"][rows] == 0
+                found += matches(List(t, rows[left]), List(t, rows[~left]), False, num, den)
+        i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        ok = wide_filter(t, i, j, num, den)
+        a, b = t["sig"][i[ok]], t["sig"][j[ok]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         for lo in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[lo : lo + 100_000, k])) for k in (0, 1)], ["a", "b"])
@@ -261,7 +307,7 @@ def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
         held: list[dict] = []
         size = 0
         for b in batches:
-            t = {n: b.column(i).to_numpy() for i, n in enumerate(b.schema.names)}
+            t = {n: b.column(i).to_numpy(zero_copy_only=n != "wide") for i, n in enumerate(b.schema.names)}
             held.append(t)
             size += len(b)
             if size < 200_000:
