@@ -1,35 +1,6 @@
-"""Named queries over the driver's tables and their SQL."""
+"""All queries of the core."""
 
-from __future__ import annotations
+from plinth.plans import answers, datasets, graphs, pages, star, streams, texts  # noqa: F401
+from plinth.plans.registry import QUERIES, SQL
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
-from plinth.functions.text import text_hash
-from plinth.runtime import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
-@query(
-    "exact_dedup_resolution",
-    r"""WITH h AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM documents)
-    SELECT doc_id, h, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY h) AS n,
-    CASE WHEN row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1 THEN 'keep' ELSE 'remove' END AS action FROM h""",
-)
-def exact_dedup_resolution(spark, d):
-    h = table(spark, d, "documents").select("doc_id", text_hash(F.col("text")).alias("h"))
-    w = Window.partitionBy("h")
-    rn = F.row_number().over(w.orderBy("doc_id"))
-    return h.select("doc_id", "h", rn.cast("bigint").alias("rn"), F.count(F.lit(1)).over(w).alias("n"), F.when(rn == 1, "keep").otherwise("remove").alias("action"))
+__all__ = ["QUERIES", "SQL"]
