@@ -203,10 +203,10 @@ def dedup_words(sets, least: float):
 
 
 @query("sign_code_pairs", """WITH c AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings)
-SELECT a, b, distance FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT AS distance FROM c x JOIN c y ON x.vec_id < y.vec_id) WHERE distance <= 12 AND distance > 0""")
+SELECT a, b, distance FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT AS distance FROM c x JOIN c y ON x.vec_id < y.vec_id) WHERE distance <= 18 AND distance > 0""")
 def sign_code_pairs(spark, d):
     codes = table(spark, d, "embeddings").select("vec_id", similarity.sign_code(F.col("embedding")).alias("code"))
-    return similarity.hamming_pairs(codes, "vec_id", "code", 12)
+    return similarity.hamming_pairs(codes, "vec_id", "code", 18)
 
 
 @query("nearest_vectors")
