@@ -83,7 +83,7 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray, r: np.ndarray) -> np.ndarr
 
 
 def place_on_curve(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, size, curve) of each document; a null text counts as empty (size 0)."""
+    """(key, size, curve) of each document; a null text counts as empty (size 0), rows without a key are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = projection()
@@ -94,7 +94,7 @@ def place_on_curve(docs: DataFrame, key: str, text: str) -> DataFrame:
             data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(curve_keys(data, offsets, r))], ["key", "size", "curve"])
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null")
     kind = dict(out.dtypes)["key"]
     return out.mapInArrow(run, f"key {kind}, size bigint, curve bigint")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import tokens
 from plinth.llm.registry import query
-from plinth.runtime import table
+from plinth.runtime import Stage, table
 
 ROWS, CELLS = 2, 1 << 20
 WORDS, CONTEXTS = 1 << 14, 32
@@ -528,7 +528,8 @@ def denoise(spark, chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["chunk_id", "source_file", "title"])
 
     source = chunks.filter("chunk_id is not null and original_text is not null")
-    found = source.select("chunk_id", F.lower(F.trim("source_file")).alias("source_file"), "original_text", "page_numbers").mapInArrow(titles, "chunk_id string, source_file string, title string").distinct()
+    # read by the count and by the join below
+    found = Stage(spark, "p3").keep(source.select("chunk_id", F.lower(F.trim("source_file")).alias("source_file"), "original_text", "page_numbers").mapInArrow(titles, "chunk_id string, source_file string, title string").distinct(), "titles")
     again = found.groupBy("source_file", "title").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and source_file is not null").select("source_file", "title")
     pending = source.filter(blank).select("chunk_id", "original_text", "page_numbers")
     known = found.join(again, ["source_file", "title"]).join(pending.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.collect_set("title").alias("known"))

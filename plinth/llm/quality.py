@@ -93,6 +93,7 @@ def indent_period(lines: list[str]) -> float:
 #: The commonest pairs of letters in English words, and words of menus and page frames.
 LETTER_PAIRS = frozenset("th he in er an re nd on en at ou ed ha to or it is hi es ng st ar te se me ve of nt as le ti al ra ri ro ic ne ea li io ce co de ma om ur la el ll si us ta ct il un ac ca ol et ns tr pe ch no ho ut mi ss di be ai em ul po rs lo ge wh ec su pr ot ad op ow ai sh wi fo ec id ir ie mo ni pl cl am ag ig sp ab im ke ly ty rt ue ck fi vi bo ru da do pa ap ex av so iv ov up ev ts ry cu cr fr sc sm ay ey ee oo tt ff rm rd rk ld ft gr br tu bl ba bi bu ph qu ui um ua hy yd".split())
 MENU_WORDS = frozenset("home login log logout sign register menu search help cart share print back next previous prev more about contact contacts sitemap privacy terms cookie cookies subscribe download top faq skip click here read copyright reserved rights page pages follow news products account settings language english 首页 登录 注册 返回 下一页 上一页 打印 分享 搜索 帮助 更多 购物车 菜单 收藏 关于我们 联系我们 版权所有 退出 网站地图 点击 下载 目录 顶部".split())
+PLACEHOLDERS = frozenset("na none null nil nan tbd tba todo empty blank 无 空 暂无 待补充 待定".split())
 MENU_CJK = tuple(sorted((w for w in MENU_WORDS if w[0] > "⺀"), key=len, reverse=True))
 MOJIBAKE = re.compile(r"[À-ÿ][\u0080-\u00bf]|[ÃÂâåäæçèéï][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 HEX = re.compile(r"^(?:[0-9a-f]{2}|[0-9a-f]{8,})$")
@@ -112,7 +113,7 @@ def junk_share(text: str, words: list[str], symbols: int, common: float) -> floa
     """Share of the text that nobody can read: garbage, markup, repetition, bare numbers; 1.0 for blank text."""
     n = len(text)
     solid = sum(not c.isspace() for c in text) if n < 400 else n - text.count(" ") - text.count("\n")
-    if not words or not solid:
+    if not words or not solid or solid <= 12 and re.sub(r"[\W_]", "", text).lower() in PLACEHOLDERS:
         return 1.0
     bad = text.count("�") + sum(map(len, TAG.findall(text))) if "<" in text or "&" in text or "�" in text else 0
     share = bad / solid
@@ -249,7 +250,7 @@ STATS = "words bigint, mean_word_length double, symbol_ratio double, lines bigin
 
 
 def text_statistics(docs: DataFrame, key: str, text: str, common: frozenset[str]) -> DataFrame:
-    """(key, statistics, text_kind), one row per input row."""
+    """(key, statistics, text_kind), one row per input row with a key; rows without one are left out."""
     names = [c.split()[0] for c in STATS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +260,7 @@ def text_statistics(docs: DataFrame, key: str, text: str, common: frozenset[str]
             out.insert(0, "key", f["key"].to_numpy())
             yield out
 
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null")
     return src.mapInPandas(run, f"key {dict(src.dtypes)['key']}, {STATS}").withColumnRenamed("key", key)
 
 
