@@ -184,6 +184,16 @@ def covered(x: list[str], rest: list[str], run: int = 6) -> bool:
     return True
 
 
+#: Words that no item consists of.
+DANGLING = frozenset("the a an of and or with to in its for by at on from which that this as is are 其中 以及 并且 的 与 和 及 或".split())
+
+
+def mark_style(line: str) -> str:
+    """The form of a line's item mark, whatever its number; empty without one."""
+    m = ITEM.match(line)
+    return re.sub(r"[0-9A-Za-z]+", "1", m[0].strip()) if m else ""
+
+
 BRACKETS = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
 
 
@@ -224,7 +234,9 @@ def is_truncated(a: str) -> bool:
         return False
     items = sum(bool(ITEM.match(x)) for x in lines)
     if items >= 2:
-        return not ITEM.match(last)  # a sentence begun after the items
+        m = ITEM.match(last)
+        # a sentence begun after the items, an item that is only a function word, or one marked unlike all others
+        return not m or last[m.end() :].strip().lower() in DANGLING or len(lines) > 2 and len({mark_style(x) for x in lines[-4:-1]}) == 1 and mark_style(last) != mark_style(lines[-2])
     if len(lines) >= 3 and all(len(x) < 60 for x in lines):
         return False
     if "|" in last and last.count("|") >= 2 or "\t" in last:
