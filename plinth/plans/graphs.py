@@ -60,6 +60,27 @@ def selected_context(spark, d):
     return graph.greedy_select(s, 4000)
 
 
+@query("context_packages")
+def context_packages(spark, d):
+    """The chosen nodes of each supplier by kind (at most 50 in all), with their tokens."""
+    c = selected_context(spark, d).withColumn("kind", F.when(F.col("node").startswith("n"), "task").when(F.col("node").startswith("r"), "constraint").otherwise("artifact"))
+    return c.groupBy("start").pivot("kind", ["artifact", "constraint", "task"]).agg(F.array_join(F.sort_array(F.collect_list("node")), " "))
+
+
+@query("node_tokens", "SELECT kind, tokens FROM (VALUES ('agent', 200), ('task', 300), ('artifact', 500), ('memory', 400), ('tool', 150), ('constraint', 200), ('other', 300)) AS t(kind, tokens)")
+def node_tokens(spark, d):
+    kinds = spark.createDataFrame([(k,) for k in [*graph.NODE_TOKENS, "other"]], "kind string")
+    return kinds.select("kind", graph.node_tokens(F.col("kind")).alias("tokens"))
+
+
+@query("recency", "SELECT event_id, round(exp(-0.6931471805599453 * (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 1000000 / 86400), 9) AS recency FROM events")
+def recency(spark, d):
+    """Weight of each event, halved for every day of age."""
+    e = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    last = e.agg(F.max("us").alias("last"))  # one row
+    return e.crossJoin(F.broadcast(last)).select("event_id", F.round(graph.recency((F.col("last") - F.col("us")) / 1000000, 86400.0), 9).alias("recency"))
+
+
 @query("without_a_nation", f"SELECT count(*) AS edges FROM {_E} WHERE a NOT IN ('n1', 'n2') AND b NOT IN ('n1', 'n2')")
 def without_a_nation(spark, d):
     gone = spark.createDataFrame([("n1",), ("n2",)], "node_id string")
