@@ -27,7 +27,7 @@ def letter(c: str) -> str:
 
 @query("choice_letters", f"SELECT model_name, benchmark_id, {letter('raw_response')} AS letter FROM {EVAL} WHERE raw_response IS NOT NULL AND task_type = 'exam_single_choice'")
 def choice_letters(spark, d):
-    return results(spark, d).filter("raw_response is not null and task_type = 'exam_single_choice'").select("model_name", "benchmark_id", A.choice_letter(F.col("raw_response")).alias("letter"))
+    return results(spark, d, "model_name", "benchmark_id", "task_type", "raw_response").filter("raw_response is not null and task_type = 'exam_single_choice'").select("model_name", "benchmark_id", A.choice_letter(F.col("raw_response")).alias("letter"))
 
 
 _TF = """CASE WHEN s IN ('true', 'correct', '对', '正确', '是', '√', '✓') THEN '正确' WHEN s IN ('false', 'incorrect', '错', '错误', '否', '×', '✗') THEN '错误' WHEN contains(s, '正确') THEN '正确' WHEN contains(s, '错误') THEN '错误' ELSE s END"""
@@ -35,7 +35,7 @@ _TF = """CASE WHEN s IN ('true', 'correct', '对', '正确', '是', '√', '✓'
 
 @query("truth_values", f"SELECT sample_id, {_TF} AS verdict FROM (SELECT sample_id, lower({strip('output')}) AS s FROM {SFT} WHERE output IS NOT NULL AND task_type = 'exam_true_false')")
 def truth_values(spark, d):
-    return samples(spark, d).filter("output is not null and task_type = 'exam_true_false'").select("sample_id", A.true_or_false(F.col("output")).alias("verdict"))
+    return samples(spark, d, "sample_id", "task_type", "output").filter("output is not null and task_type = 'exam_true_false'").select("sample_id", A.true_or_false(F.col("output")).alias("verdict"))
 
 
 def number(c: str) -> str:
@@ -46,7 +46,7 @@ try_cast(nullif(regexp_extract({s}, '([-+]?\\d*\\.?\\d+)\\s*[a-zA-Z%°]', 1), ''
 
 @query("stated_numbers", f"SELECT sample_id, {number('output')} AS number FROM {SFT} WHERE output IS NOT NULL AND task_type = 'exam_short_answer'")
 def stated_numbers(spark, d):
-    return samples(spark, d).filter("output is not null and task_type = 'exam_short_answer'").select("sample_id", A.number_in(F.col("output")).alias("number"))
+    return samples(spark, d, "sample_id", "task_type", "output").filter("output is not null and task_type = 'exam_short_answer'").select("sample_id", A.number_in(F.col("output")).alias("number"))
 
 
 _W = f"list_distinct(list_filter(string_split(lower(coalesce({strip(f'''regexp_replace(%s, '{WS}+', ' ', 'g')''')}, '')), ' '), lambda w: w <> ''))"
@@ -59,13 +59,13 @@ def f1(p: str, g: str) -> str:
 
 @query("token_f1_scores", f"SELECT model_name, benchmark_id, round({f1('raw_response', 'gold_answer')}, 9) AS f1 FROM {EVAL}")
 def token_f1_scores(spark, d):
-    return results(spark, d).select("model_name", "benchmark_id", F.round(A.token_f1(F.col("raw_response"), F.col("gold_answer")), 9).alias("f1"))
+    return results(spark, d, "model_name", "benchmark_id", "raw_response", "gold_answer", "f1").select("model_name", "benchmark_id", F.round(A.token_f1(F.col("raw_response"), F.col("gold_answer")), 9).alias("f1"))
 
 
 @query("answer_metrics")
 def answer_metrics(spark, d):
     """is_correct, exact_match, f1 and numeric_score of every answer, by the branch of its item."""
-    r = results(spark, d).select("model_name", "benchmark_id", "raw_response", "gold_answer").join(items(spark, d).select("benchmark_id", "task_type", "question", "options"), "benchmark_id")
+    r = results(spark, d, "model_name", "benchmark_id", "task_type", "raw_response", "gold_answer", "is_correct", "exact_match", "f1", "numeric_score").select("model_name", "benchmark_id", "raw_response", "gold_answer").join(items(spark, d).select("benchmark_id", "task_type", "question", "options"), "benchmark_id")
     return r.select("model_name", "benchmark_id", A.metrics(F.col("task_type"), F.col("question"), F.col("options"), F.col("raw_response"), F.col("gold_answer")).alias("m")).select("model_name", "benchmark_id", "m.*")
 
 
@@ -82,7 +82,7 @@ WHEN task_type = 'ocr_reasoning' THEN 'ocr_reasoning_error' WHEN task_type = 'ag
 
 @query("error_categories", f"SELECT model_name, {_ERR} AS kind, count(*) AS n FROM {EVAL} WHERE is_correct = false GROUP BY ALL")
 def error_categories(spark, d):
-    r = results(spark, d).filter("is_correct = false")
+    r = results(spark, d, "model_name", "task_type", "raw_response", "is_correct", "error").filter("is_correct = false")
     return r.groupBy("model_name", A.error_kind(F.col("task_type"), F.col("error"), F.col("raw_response")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -93,7 +93,7 @@ def top_error_categories(spark, d):
 
 @query("json_answers", f"""SELECT sample_id, json_extract_string(j, '$.material') AS material, json_extract_string(j, '$.value') AS value FROM (SELECT sample_id, regexp_extract(output, '(\\{{[\\s\\S]*\\}})', 1) AS j FROM {SFT} WHERE regexp_matches(output, '\\{{[\\s\\S]*\\}}')) WHERE json_valid(j)""")
 def json_answers(spark, d):
-    s = samples(spark, d).filter(A.json_part(F.col("output")).isNotNull()).select("sample_id", A.parsed(F.col("output"), "material string, value string, _corrupt_record string").alias("j"))
+    s = samples(spark, d, "sample_id", "output").filter(A.json_part(F.col("output")).isNotNull()).select("sample_id", A.parsed(F.col("output"), "material string, value string, _corrupt_record string").alias("j"))
     return s.filter("j is not null and j._corrupt_record is null").select("sample_id", "j.material", "j.value")
 
 
@@ -104,21 +104,21 @@ def answer_forms(spark, d):
 
 @query("judge_needed", f"SELECT model_name, benchmark_id, (r.task_type IN ('process_reasoning', 'error_diagnosis', 'domain_knowledge_qa') AND r.task_type IS NOT NULL) OR (coalesce(exact_match, true) = false AND coalesce(len(b.options), 0) = 0) AS needed FROM {EVAL} r JOIN (SELECT benchmark_id, options FROM benchmark_item) b USING (benchmark_id)")
 def judge_needed(spark, d):
-    r = results(spark, d).select("model_name", "benchmark_id", "task_type", "exact_match").join(items(spark, d).select("benchmark_id", "options"), "benchmark_id")
+    r = results(spark, d, "model_name", "benchmark_id", "task_type", "exact_match").select("model_name", "benchmark_id", "task_type", "exact_match").join(items(spark, d).select("benchmark_id", "options"), "benchmark_id")
     return r.select("model_name", "benchmark_id", A.needs_judge(F.col("task_type"), F.col("exact_match"), F.col("options"), ["process_reasoning", "error_diagnosis", "domain_knowledge_qa"]).alias("needed"))
 
 
 @query("model_summary", f"""SELECT model_name, count(*) AS total, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (error IS NULL AND is_correct IS NULL) AS skipped, count(*) FILTER (error IS NULL AND is_correct) AS correct,
 count(*) FILTER (error IS NULL AND is_correct) / nullif(count(*) FILTER (error IS NULL AND is_correct IS NOT NULL), 0) AS accuracy, round(sum(latency_seconds), 3) AS latency FROM {EVAL} GROUP BY model_name""")
 def model_summary(spark, d):
-    r = results(spark, d)
+    r = results(spark, d, "model_name", "is_correct", "latency_seconds", "error")
     ok = F.col("error").isNull()
     return r.groupBy("model_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(~ok).alias("errors"), F.count_if(ok & F.col("is_correct").isNull()).alias("skipped"), F.count_if(ok & F.col("is_correct")).alias("correct"), F.try_divide(F.count_if(ok & F.col("is_correct")), F.count_if(ok & F.col("is_correct").isNotNull())).alias("accuracy"), F.round(F.sum("latency_seconds"), 3).alias("latency"))
 
 
 @query("accuracy_breakdowns", f"""SELECT model_name, subset, task_type, CAST(grouping_id(model_name, subset, task_type) AS BIGINT) AS level, count(*) AS n, count(*) FILTER (is_correct) AS correct FROM {EVAL} GROUP BY GROUPING SETS ((), (model_name), (model_name, subset), (model_name, task_type))""")
 def accuracy_breakdowns(spark, d):
-    results(spark, d).createOrReplaceTempView("plinth_results")
+    results(spark, d, "model_name", "subset", "task_type", "is_correct").createOrReplaceTempView("plinth_results")
     return spark.sql("SELECT model_name, subset, task_type, CAST(grouping_id(model_name, subset, task_type) AS BIGINT) AS level, count(*) AS n, count_if(is_correct) AS correct FROM plinth_results GROUP BY GROUPING SETS ((), (model_name), (model_name, subset), (model_name, task_type))")
 
 
@@ -127,7 +127,7 @@ _TASKS = ["exam_single_choice", "exam_short_answer", "process_reasoning", "error
 
 @query("task_pivot", f"SELECT model_name, {', '.join(f'''count(*) FILTER (task_type = '{t}' AND is_correct) AS {t}''' for t in _TASKS)} FROM {EVAL} GROUP BY model_name")
 def task_pivot(spark, d):
-    p = results(spark, d).groupBy("model_name").pivot("task_type", _TASKS).agg(F.count_if("is_correct"))
+    p = results(spark, d, "model_name", "task_type", "is_correct").groupBy("model_name").pivot("task_type", _TASKS).agg(F.count_if("is_correct"))
     return p.fillna(0, _TASKS)
 
 
@@ -137,19 +137,19 @@ def score_buckets(spark, d):
     bucket = F.when(c.isNull() | F.isnan(c), "none")
     for hi, name in ((0.2, "0.0-0.2"), (0.4, "0.2-0.4"), (0.6, "0.4-0.6"), (0.8, "0.6-0.8")):
         bucket = bucket.when(c < hi, name)
-    return results(spark, d).groupBy("model_name", bucket.otherwise("0.8-1.0").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return results(spark, d, "model_name", "f1").groupBy("model_name", bucket.otherwise("0.8-1.0").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("score_means", f"SELECT model_name, field, count(v) AS n, round(sum(v), 4) AS total FROM (UNPIVOT (SELECT model_name, f1, numeric_score, llm_judge_score, latency_seconds FROM {EVAL}) ON f1, numeric_score, llm_judge_score, latency_seconds INTO NAME field VALUE v) GROUP BY ALL")
 def score_means(spark, d):
     fields = ["f1", "numeric_score", "llm_judge_score", "latency_seconds"]
-    return results(spark, d).unpivot(["model_name"], fields, "field", "v").filter("v is not null").groupBy("model_name", "field").agg(F.count("v").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+    return results(spark, d, "model_name", "f1", "numeric_score", "llm_judge_score", "latency_seconds").unpivot(["model_name"], fields, "field", "v").filter("v is not null").groupBy("model_name", "field").agg(F.count("v").alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
 @query("latency_medians", f"SELECT model_name, min(latency_seconds) AS low, max(latency_seconds) AS high, list_sort(list(latency_seconds))[count(latency_seconds) // 2 + 1] AS upper_median FROM {EVAL} GROUP BY model_name")
 def latency_medians(spark, d):
     """Upper median sorted[n // 2]: the exact percentile of a frequency histogram, not of a collected list."""
-    r = results(spark, d).filter("latency_seconds is not null").groupBy("model_name", "latency_seconds").agg(F.count(F.lit(1)).alias("n"))
+    r = results(spark, d, "model_name", "latency_seconds").filter("latency_seconds is not null").groupBy("model_name", "latency_seconds").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("model_name")
     run = F.sum("n").over(w.orderBy("latency_seconds").rowsBetween(Window.unboundedPreceding, 0))
     c = r.withColumn("run", run).withColumn("total", F.sum("n").over(w))
@@ -158,20 +158,20 @@ def latency_medians(spark, d):
 
 @query("model_deltas", f"WITH a AS (SELECT model_name, count(*) FILTER (is_correct) / count(*) AS accuracy FROM {EVAL} GROUP BY model_name), b AS (SELECT accuracy FROM a ORDER BY model_name LIMIT 1) SELECT model_name, a.accuracy, a.accuracy - b.accuracy AS delta FROM a, b")
 def model_deltas(spark, d):
-    a = results(spark, d).groupBy("model_name").agg((F.count_if("is_correct") / F.count(F.lit(1))).alias("accuracy"))
+    a = results(spark, d, "model_name", "is_correct").groupBy("model_name").agg((F.count_if("is_correct") / F.count(F.lit(1))).alias("accuracy"))
     base = a.agg(F.min_by("accuracy", "model_name").alias("base"))  # one row
     return a.crossJoin(F.broadcast(base)).select("model_name", "accuracy", (F.col("accuracy") - F.col("base")).alias("delta"))
 
 
 @query("category_shares", f"SELECT task_type, count(*) AS n, 100 * count(*) / sum(count(*)) OVER () AS pct FROM {EVAL} GROUP BY task_type")
 def category_shares(spark, d):
-    g = results(spark, d).groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
+    g = results(spark, d, "task_type").groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
     return g.select("task_type", "n", (100 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("pct"))
 
 
 def paired(spark, d):
     """Every model against the first by name: (other, benchmark_id, a, b) of correctness."""
-    r = results(spark, d).filter("is_correct is not null").select("model_name", "benchmark_id", "is_correct", "f1")
+    r = results(spark, d, "model_name", "benchmark_id", "is_correct", "f1").filter("is_correct is not null").select("model_name", "benchmark_id", "is_correct", "f1")
     first = r.agg(F.min("model_name").alias("model_name"))
     base = r.join(F.broadcast(first), "model_name").select("benchmark_id", F.col("is_correct").alias("a"), F.col("f1").alias("fa"))
     rest = r.join(F.broadcast(first), "model_name", "left_anti")
@@ -202,20 +202,20 @@ def wilcoxon(spark, d):
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark, d):
     """95 % interval of each model's accuracy by 200 rounds of the Poisson bootstrap."""
-    return statistics.bootstrap(results(spark, d).filter("is_correct is not null"), ["model_name"], "benchmark_id", F.col("is_correct").cast("double"))
+    return statistics.bootstrap(results(spark, d, "model_name", "benchmark_id", "is_correct").filter("is_correct is not null"), ["model_name"], "benchmark_id", F.col("is_correct").cast("double"))
 
 
 @query("resume_work", f"SELECT m.model_name, b.benchmark_id FROM (SELECT DISTINCT model_name FROM evaluation_result) m CROSS JOIN benchmark_item b ANTI JOIN (SELECT model_name, benchmark_id FROM {EVAL} WHERE error IS NULL) e ON e.model_name = m.model_name AND e.benchmark_id = b.benchmark_id")
 def resume_work(spark, d):
     """Pairs of model and item that have no answer yet: every item is exploded to the few models, then anti-joined."""
-    models = [r[0] for r in results(spark, d).select("model_name").distinct().orderBy("model_name").limit(1000).collect()]
+    models = [r[0] for r in results(spark, d, "model_name", "benchmark_id", "error").select("model_name").distinct().orderBy("model_name").limit(1000).collect()]
     todo = items(spark, d).select("benchmark_id", F.explode(F.array(*[F.lit(m) for m in models])).alias("model_name"))
-    return todo.join(results(spark, d).filter("error is null").select("model_name", "benchmark_id"), ["model_name", "benchmark_id"], "left_anti").select("model_name", "benchmark_id")
+    return todo.join(results(spark, d, "model_name", "benchmark_id", "error").filter("error is null").select("model_name", "benchmark_id"), ["model_name", "benchmark_id"], "left_anti").select("model_name", "benchmark_id")
 
 
 @query("case_pivot", f"""SELECT benchmark_id, count(*) FILTER (is_correct) AS right_, count(*) FILTER (NOT is_correct) AS wrong, CASE WHEN count(*) FILTER (is_correct) = 0 THEN 'all_wrong' WHEN count(*) FILTER (NOT is_correct) = 0 THEN 'all_right' ELSE 'split' END AS kind FROM {EVAL} WHERE is_correct IS NOT NULL GROUP BY benchmark_id""")
 def case_pivot(spark, d):
-    g = results(spark, d).filter("is_correct is not null").groupBy("benchmark_id").agg(F.count_if("is_correct").alias("right_"), F.count_if(~F.col("is_correct")).alias("wrong"))
+    g = results(spark, d, "benchmark_id", "is_correct").filter("is_correct is not null").groupBy("benchmark_id").agg(F.count_if("is_correct").alias("right_"), F.count_if(~F.col("is_correct")).alias("wrong"))
     return g.withColumn("kind", F.when(F.col("right_") == 0, "all_wrong").when(F.col("wrong") == 0, "all_right").otherwise("split"))
 
 
@@ -229,6 +229,6 @@ def eval_prompts(spark, d):
 @query("token_totals", f"SELECT model_name, CAST(sum(element_at(token_usage, 'prompt_tokens')[1]) AS BIGINT) AS prompt_tokens, CAST(sum(element_at(token_usage, 'completion_tokens')[1]) AS BIGINT) AS completion_tokens FROM {EVAL} GROUP BY model_name")
 def token_totals(spark, d):
     get = lambda k: F.sum(F.try_element_at("token_usage", F.lit(k)).cast("bigint"))
-    return results(spark, d).groupBy("model_name").agg(get("prompt_tokens").alias("prompt_tokens"), get("completion_tokens").alias("completion_tokens"))
+    return results(spark, d, "model_name", "token_usage").groupBy("model_name").agg(get("prompt_tokens").alias("prompt_tokens"), get("completion_tokens").alias("completion_tokens"))
 
 

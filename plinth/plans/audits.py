@@ -19,7 +19,7 @@ def items(spark, d):
 
 
 def answered(spark, d):
-    return results(spark, d).select("model_name", "benchmark_id", "raw_response", "gold_answer").join(items(spark, d).select("benchmark_id", "options"), "benchmark_id")
+    return results(spark, d, "model_name", "benchmark_id", "raw_response", "gold_answer").select("model_name", "benchmark_id", "raw_response", "gold_answer").join(items(spark, d).select("benchmark_id", "options"), "benchmark_id")
 
 
 @query("strict_scores")
@@ -47,7 +47,7 @@ def score_agreement(spark, d):
 
 @query("keyword_overlap_checks", f"SELECT model_name, benchmark_id, contains(raw_response, gold_answer) AS inside FROM {EVAL} WHERE raw_response IS NOT NULL AND gold_answer <> ''")
 def keyword_overlap_checks(spark, d):
-    return results(spark, d).filter("raw_response is not null and gold_answer <> ''").select("model_name", "benchmark_id", F.col("raw_response").contains(F.col("gold_answer")).alias("inside"))
+    return results(spark, d, "model_name", "benchmark_id", "raw_response", "gold_answer").filter("raw_response is not null and gold_answer <> ''").select("model_name", "benchmark_id", F.col("raw_response").contains(F.col("gold_answer")).alias("inside"))
 
 
 _FULL = "trim(coalesce(array_to_string(evidence[1:5], ' '), '') || chr(10) || coalesce(explanation, '') || chr(10) || coalesce(array_to_string(required_knowledge, ', '), ''), ' ' || chr(10) || chr(9) || chr(13))"
@@ -95,13 +95,13 @@ def keyword_search(spark, d):
 @query("prefix_subsets", f"SELECT size, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY sample_id) AS k FROM {SFT}), (SELECT unnest([100, 500, 1000]) AS size) WHERE k <= size GROUP BY size")
 def prefix_subsets(spark, d):
     """Nested prefixes of 100, 500 and 1000 rows: each row is exploded to the sizes that hold it."""
-    r = sampling.ordered_rank(Stage(spark, "prefix"), samples(spark, d).select("sample_id"), ["sample_id"], "k").filter("k <= 1000")
+    r = sampling.ordered_rank(Stage(spark, "prefix"), samples(spark, d, "sample_id").select("sample_id"), ["sample_id"], "k").filter("k <= 1000")
     return r.select("sample_id", F.explode(F.filter(F.array(F.lit(100), F.lit(500), F.lit(1000)), lambda s: F.col("k") <= s)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("quality_gates", f"SELECT count(*) AS n, count(*) FILTER (quality_score.verdict = 'passed') / count(*) AS pass_rate, count(*) FILTER (quality_score.verdict = 'passed') / count(*) >= 0.8 AS gate FROM {CHUNK} WHERE quality_score IS NOT NULL")
 def quality_gates(spark, d):
-    c = chunks(spark, d).filter("quality_score is not null")
+    c = chunks(spark, d, "quality_score").filter("quality_score is not null")
     rate = F.count_if(F.col("quality_score.verdict") == "passed") / F.count(F.lit(1))
     return c.agg(F.count(F.lit(1)).alias("n"), rate.alias("pass_rate"), (rate >= 0.8).alias("gate"))
 
@@ -110,17 +110,17 @@ def quality_gates(spark, d):
 def repair_candidates(spark, d):
     q = lambda c: F.col(f"quality_score.{c}")
     fate = F.when(F.col("quality_score").isNull(), "keep").when(q("verdict") == "failed", "drop").when((q("clarity") < 0.5) | (q("completeness") < 0.5), "repair").otherwise("keep")
-    return chunks(spark, d).select("chunk_id", fate.alias("fate"))
+    return chunks(spark, d, "chunk_id", "quality_score").select("chunk_id", fate.alias("fate"))
 
 
 @query("repair_counts", f"SELECT o.original, count(*) AS n FROM (SELECT unnest(ocr_repairs) AS m, 1 AS one FROM {CHUNK}) x, (SELECT 1 AS one) y, LATERAL (SELECT element_at(x.m, 'original')[1] AS original) o WHERE o.original IS NOT NULL GROUP BY 1")
 def repair_counts(spark, d):
-    return chunks(spark, d).select(F.explode("ocr_repairs").alias("m")).select(F.try_element_at("m", F.lit("original")).alias("original")).filter("original is not null").groupBy("original").agg(F.count(F.lit(1)).alias("n"))
+    return chunks(spark, d, "ocr_repairs").select(F.explode("ocr_repairs").alias("m")).select(F.try_element_at("m", F.lit("original")).alias("original")).filter("original is not null").groupBy("original").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("noise_type_counts", f"SELECT kind, count(*) AS n FROM (SELECT unnest(removed_noise_types) AS kind FROM {CHUNK}) GROUP BY kind")
 def noise_type_counts(spark, d):
-    return chunks(spark, d).select(F.explode("removed_noise_types").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return chunks(spark, d, "removed_noise_types").select(F.explode("removed_noise_types").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("distractors")
@@ -151,7 +151,7 @@ def tfidf_matches(spark, d):
 
 @query("flattened_evidence", f"SELECT sample_id, coalesce(array_to_string(evidence, chr(10)), '') AS evidence FROM {SFT} WHERE evidence IS NOT NULL")
 def flattened_evidence(spark, d):
-    return samples(spark, d).filter("evidence is not null").select("sample_id", S.flat_evidence(F.to_json("evidence")).alias("evidence"))
+    return samples(spark, d, "sample_id", "evidence").filter("evidence is not null").select("sample_id", S.flat_evidence(F.to_json("evidence")).alias("evidence"))
 
 
 @query("throughput", "SELECT user_id, event_id, CASE WHEN date_diff('microsecond', lag(ts, 9) OVER w, ts) > 0 THEN round(9 / (date_diff('microsecond', lag(ts, 9) OVER w, ts) / 1000000), 9) END AS per_second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -164,6 +164,6 @@ def throughput(spark, d):
 
 @query("answer_lengths_by_verdict", f"SELECT CASE WHEN is_correct THEN 'right' WHEN NOT is_correct THEN 'wrong' ELSE 'none' END AS verdict, count(*) AS n, CAST(sum(length(raw_response)) AS BIGINT) AS chars FROM {EVAL} GROUP BY 1")
 def answer_lengths_by_verdict(spark, d):
-    return results(spark, d).groupBy(F.when(F.col("is_correct"), "right").when(~F.col("is_correct"), "wrong").otherwise("none").alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw_response").cast("bigint")).alias("chars"))
+    return results(spark, d, "raw_response", "is_correct").groupBy(F.when(F.col("is_correct"), "right").when(~F.col("is_correct"), "wrong").otherwise("none").alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw_response").cast("bigint")).alias("chars"))
 
 

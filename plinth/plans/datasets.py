@@ -34,14 +34,14 @@ _MARK = " + ".join(f"CASE WHEN contains(o, '{m.replace(chr(39), chr(39) * 2)}')
 def sample_gate(spark, d):
     names, _ = quality.issues(F.col("instruction"), F.col("output"), F.lit(None).cast("array<string>"))
     hard = F.filter(names, lambda n: n.isin("empty_or_short_instruction", "empty_output", "output_too_long") | n.startswith("no_answer"))
-    return samples(spark, d).select("sample_id", F.size(hard).alias("hard_issues"))
+    return samples(spark, d, "sample_id", "instruction", "output").select("sample_id", F.size(hard).alias("hard_issues"))
 
 
 @query("sample_issues")
 def sample_issues(spark, d):
     """Issues of every sample, its score and whether it passes (no issue at all and 0.5 or more)."""
     names, score = quality.issues(F.col("instruction"), F.col("output"), F.col("evidence"), [(F.length("instruction") > 2000, "instruction_too_long", 0.1)])
-    return samples(spark, d).select("sample_id", names.alias("issues"), F.round(score, 3).alias("score")).withColumn("passed", (F.size("issues") == 0) & (F.col("score") >= 0.5))
+    return samples(spark, d, "sample_id", "instruction", "output", "evidence").select("sample_id", names.alias("issues"), F.round(score, 3).alias("score")).withColumn("passed", (F.size("issues") == 0) & (F.col("score") >= 0.5))
 
 
 @query("support_tiers")
@@ -49,19 +49,19 @@ def support_tiers(spark, d):
     """gold, silver or rejected by the share of an answer's words that its evidence has."""
     words = lambda c: quality.overlap_words(c, 100_000)
     o, e = words(F.coalesce("output", F.lit(""))), words(F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), " "))
-    s = samples(spark, d).select("sample_id", F.coalesce(F.try_divide(F.size(F.array_intersect(o, e)).cast("double"), F.size(o)), F.lit(0.0)).alias("support"))
+    s = samples(spark, d, "sample_id", "output", "evidence").select("sample_id", F.coalesce(F.try_divide(F.size(F.array_intersect(o, e)).cast("double"), F.size(o)), F.lit(0.0)).alias("support"))
     return s.withColumn("tier", F.when(F.col("support") >= 0.25, "gold").when(F.col("support") >= 0.15, "silver").otherwise("rejected"))
 
 
 @query("reject_reasons", f"SELECT chunk_id, CASE WHEN length(coalesce(cleaned_text, '')) < 200 THEN 'too_short' WHEN NOT ({' OR '.join(f'''contains(cleaned_text, '{t}')''' for t in T.DOMAIN_TERMS)}) THEN 'no_domain_term' WHEN keep_for_corpus = false THEN 'not_kept' END AS reason FROM {CHUNK}")
 def reject_reasons(spark, d):
     t = F.coalesce("cleaned_text", F.lit(""))
-    return chunks(spark, d).select("chunk_id", quality.first_reason((F.length(t) < 200, "too_short"), (~T.contains_any(t, T.DOMAIN_TERMS), "no_domain_term"), (~F.col("keep_for_corpus"), "not_kept")).alias("reason"))
+    return chunks(spark, d, "chunk_id", "cleaned_text", "keep_for_corpus").select("chunk_id", quality.first_reason((F.length(t) < 200, "too_short"), (~T.contains_any(t, T.DOMAIN_TERMS), "no_domain_term"), (~F.col("keep_for_corpus"), "not_kept")).alias("reason"))
 
 
 @query("corpus_rows", f"SELECT chunk_id, source_file, length(cleaned_text) AS chars FROM {CHUNK} WHERE keep_for_corpus AND coalesce(chunk_type, '') <> 'empty' AND {strip('cleaned_text')} <> ''")
 def corpus_rows(spark, d):
-    c = chunks(spark, d).filter(F.col("keep_for_corpus") & (F.coalesce("chunk_type", F.lit("")) != "empty") & (T.strip(F.col("cleaned_text")) != ""))
+    c = chunks(spark, d, "chunk_id", "source_file", "cleaned_text", "chunk_type", "keep_for_corpus").filter(F.col("keep_for_corpus") & (F.coalesce("chunk_type", F.lit("")) != "empty") & (T.strip(F.col("cleaned_text")) != ""))
     return c.select("chunk_id", "source_file", F.length("cleaned_text").cast("bigint").alias("chars"))
 
 
@@ -75,7 +75,7 @@ def named_subsets(spark, d):
 def missing_fields(spark, d):
     blank = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(c)) for c in ("instruction", "output", "source_type")]
     blank.append(F.when(F.coalesce(F.size("source_refs"), F.lit(0)) <= 0, F.lit("source_refs")))
-    return samples(spark, d).select(F.explode(F.array_compact(F.array(*blank))).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return samples(spark, d, "source_type", "instruction", "output", "source_refs").select(F.explode(F.array_compact(F.array(*blank))).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("secret_scan", "SELECT doc_id, text LIKE '%@%' AS has_at, regexp_matches(text, '[0-9]{11,}') AS long_number FROM documents WHERE text IS NOT NULL AND (text LIKE '%@%' OR regexp_matches(text, '[0-9]{11,}'))")
@@ -97,7 +97,7 @@ _PHRASES = ["作为语言模型", "language model", "抱歉", "sorry"]
 @query("phrase_scan", f"SELECT phrase, count(*) AS n FROM {SFT}, (SELECT unnest({_PHRASES}) AS phrase) WHERE contains(lower(output), phrase) GROUP BY phrase")
 def phrase_scan(spark, d):
     hit = F.array_compact(F.array(*[F.when(F.lower("output").contains(p), F.lit(p)) for p in _PHRASES]))
-    return samples(spark, d).select(F.explode(hit).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return samples(spark, d, "output").select(F.explode(hit).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- joins, leakage ----------------------------------------------------------------------------------------------------
@@ -113,7 +113,7 @@ def labelled_documents(spark, d):
 @query("exact_question_leaks", f"SELECT s.sample_id, b.benchmark_id FROM {SFT} s JOIN (SELECT {norm('question')} AS q, min(benchmark_id) AS benchmark_id FROM benchmark_item GROUP BY 1) b ON b.q = {norm('s.instruction')}")
 def exact_question_leaks(spark, d):
     b = items(spark, d).select(T.normalize_text(F.col("question")).alias("q"), "benchmark_id").groupBy("q").agg(F.min("benchmark_id").alias("benchmark_id"))
-    return samples(spark, d).select("sample_id", T.normalize_text(F.col("instruction")).alias("q")).join(b, "q").select("sample_id", "benchmark_id")
+    return samples(spark, d, "sample_id", "instruction").select("sample_id", T.normalize_text(F.col("instruction")).alias("q")).join(b, "q").select("sample_id", "benchmark_id")
 
 
 @query("leakage_flags", f"""WITH q AS (SELECT DISTINCT md5({norm('question')}) AS h FROM benchmark_item), a AS (SELECT DISTINCT md5({norm('answer')}) AS h FROM benchmark_item), g AS (SELECT DISTINCT leakage_group_id AS h FROM benchmark_item WHERE leakage_group_id <> ''), r AS (SELECT DISTINCT unnest(source_refs) AS h FROM benchmark_item)
@@ -122,7 +122,7 @@ FROM {SFT} WHERE instruction IS NOT NULL AND output IS NOT NULL""")
 def leakage_flags(spark, d):
     """Which keys of the benchmark a sample shares: question, answer prefix, group, a source reference; one join per distinct key set."""
     b = items(spark, d)
-    s = samples(spark, d).filter("instruction is not null and output is not null").select("sample_id", "output", "leakage_group_id", "source_refs", T.text_hash(F.col("instruction")).alias("qh"), T.text_hash(F.substring("output", 1, 200)).alias("ah"))
+    s = samples(spark, d, "sample_id", "instruction", "output", "source_refs", "leakage_group_id").filter("instruction is not null and output is not null").select("sample_id", "output", "leakage_group_id", "source_refs", T.text_hash(F.col("instruction")).alias("qh"), T.text_hash(F.substring("output", 1, 200)).alias("ah"))
     keys = lambda c, n: b.select(c.alias(n)).filter(F.col(n).isNotNull() & (F.col(n) != "")).distinct().withColumn(f"has_{n}", F.lit(True))
     s = s.join(keys(T.text_hash(F.col("question")), "qh"), "qh", "left").join(keys(T.text_hash(F.col("answer")), "ah"), "ah", "left").join(keys(F.col("leakage_group_id"), "leakage_group_id"), "leakage_group_id", "left")
     refs = s.select("sample_id", F.explode("source_refs").alias("r")).join(keys(F.explode("source_refs"), "r"), "r", "left_semi").select("sample_id").distinct().withColumn("has_ref", F.lit(True))
@@ -140,7 +140,7 @@ def id_consistency(spark, d):
 
 @query("refs_to_chunks", f"SELECT count(*) AS refs, count(*) FILTER (r IN (SELECT chunk_id FROM cleaned_chunk)) AS found FROM (SELECT DISTINCT unnest(source_refs) AS r FROM {SFT}) WHERE r LIKE 'chunk_%'")
 def refs_to_chunks(spark, d):
-    r = samples(spark, d).select(F.explode("source_refs").alias("r")).filter("r like 'chunk_%'").distinct()
+    r = samples(spark, d, "source_refs").select(F.explode("source_refs").alias("r")).filter("r like 'chunk_%'").distinct()
     ids = table(spark, d, "cleaned_chunk").select(F.col("chunk_id").alias("r")).distinct().withColumn("there", F.lit(1))
     return r.join(ids, "r", "left").agg(F.count(F.lit(1)).alias("refs"), F.count("there").alias("found"))
 
@@ -164,12 +164,12 @@ def top_sources(spark, d):
 
 @query("capped_per_task", f"SELECT sample_id, task_type FROM {SFT} QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY ordinal) <= 30")
 def capped_per_task(spark, d):
-    return sampling.top_per_group(samples(spark, d).select("sample_id", "task_type", "ordinal"), ["task_type"], [F.col("ordinal")], 30).select("sample_id", "task_type")
+    return sampling.top_per_group(samples(spark, d, "ordinal", "sample_id", "task_type").select("sample_id", "task_type", "ordinal"), ["task_type"], [F.col("ordinal")], 30).select("sample_id", "task_type")
 
 
 @query("seeded_per_task", f"SELECT sample_id, task_type FROM {SFT} QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY md5('42:' || sample_id), sample_id) <= 25")
 def seeded_per_task(spark, d):
-    return sampling.sample_per_group(samples(spark, d).select("sample_id", "task_type"), ["task_type"], "sample_id", 25)
+    return sampling.sample_per_group(samples(spark, d, "sample_id", "task_type").select("sample_id", "task_type"), ["task_type"], "sample_id", 25)
 
 
 @query("proportional_sample", """WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), q AS (SELECT source, least(n, greatest(1, CAST(floor(100 * n / (SELECT count(*) FROM documents)) AS BIGINT))) AS q FROM g)
@@ -186,7 +186,7 @@ def recent_messages(spark, d):
 
 @query("contiguous_ids", f"SELECT sample_id, printf('item_%06d', row_number() OVER (ORDER BY sample_id) - 1) AS new_id FROM {SFT}")
 def contiguous_ids(spark, d):
-    r = sampling.ordered_rank(Stage(spark, "ids"), samples(spark, d).select("sample_id"), ["sample_id"], "n")
+    r = sampling.ordered_rank(Stage(spark, "ids"), samples(spark, d, "sample_id").select("sample_id"), ["sample_id"], "n")
     return r.select("sample_id", F.format_string("item_%06d", F.col("n") - 1).alias("new_id"))
 
 
@@ -207,7 +207,7 @@ def size_batches(spark, d):
 def low_half_summary(spark, d):
     from pyspark.sql import Window
 
-    s = samples(spark, d).filter("quality_score is not null and not isnan(quality_score)").select("task_type", "quality_score", "sample_id")
+    s = samples(spark, d, "sample_id", "task_type", "quality_score").filter("quality_score is not null and not isnan(quality_score)").select("task_type", "quality_score", "sample_id")
     size = s.groupBy(F.col("task_type").alias("t")).agg(F.count(F.lit(1)).alias("c"))
     r = s.withColumn("rn", F.row_number().over(Window.partitionBy("task_type").orderBy("quality_score", "sample_id"))).join(F.broadcast(size), F.col("task_type").eqNullSafe(F.col("t"))).filter("rn <= c div 2")  # one row per task type
     return r.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.min("quality_score").alias("low"))
@@ -232,13 +232,13 @@ def group_split_spans(spark, d):
 
 @query("split_spans", f"SELECT leakage_group_id AS value, count(DISTINCT lower(trim(split))) AS splits FROM {SFT} WHERE leakage_group_id IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lower(trim(split))) > 1")
 def split_spans(spark, d):
-    s = samples(spark, d).select("leakage_group_id", F.lower(F.trim("split")).alias("split"))
+    s = samples(spark, d, "leakage_group_id", "split").select("leakage_group_id", F.lower(F.trim("split")).alias("split"))
     return splitting.spans(s, "split", F.col("leakage_group_id"))
 
 
 @query("split_statistics", f"SELECT lower(trim(split)) AS split, count(*) AS n, count(DISTINCT task_type) AS tasks, round(avg(length(instruction)), 6) AS prompt_chars, round(avg(length(output)), 6) AS answer_chars FROM {SFT} WHERE split IS NOT NULL GROUP BY 1")
 def split_statistics(spark, d):
-    s = samples(spark, d).filter("split is not null")
+    s = samples(spark, d, "task_type", "instruction", "output", "split").filter("split is not null")
     return s.groupBy(F.lower(F.trim("split")).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("task_type").alias("tasks"), F.round(F.avg(F.length("instruction")), 6).alias("prompt_chars"), F.round(F.avg(F.length("output")), 6).alias("answer_chars"))
 
 
@@ -259,13 +259,13 @@ def item_audit(spark, d):
 
 @query("union_pools", f"SELECT pool, count(*) AS n FROM (SELECT 'sft' AS pool, sample_id AS id, instruction AS prompt FROM {SFT} UNION ALL SELECT 'benchmark', benchmark_id, question FROM benchmark_item UNION ALL SELECT 'chunk', chunk_id, cleaned_text FROM {CHUNK}) WHERE prompt IS NOT NULL GROUP BY pool")
 def union_pools(spark, d):
-    pools = assemble.union_all([samples(spark, d).select(F.lit("sft").alias("pool"), F.col("sample_id").alias("id"), F.col("instruction").alias("prompt")), items(spark, d).select(F.lit("benchmark").alias("pool"), F.col("benchmark_id").alias("id"), F.col("question").alias("prompt")), chunks(spark, d).select(F.lit("chunk").alias("pool"), F.col("chunk_id").alias("id"), F.col("cleaned_text").alias("prompt"))])
+    pools = assemble.union_all([samples(spark, d, "sample_id", "instruction").select(F.lit("sft").alias("pool"), F.col("sample_id").alias("id"), F.col("instruction").alias("prompt")), items(spark, d).select(F.lit("benchmark").alias("pool"), F.col("benchmark_id").alias("id"), F.col("question").alias("prompt")), chunks(spark, d, "chunk_id", "cleaned_text").select(F.lit("chunk").alias("pool"), F.col("chunk_id").alias("id"), F.col("cleaned_text").alias("prompt"))])
     return pools.filter("prompt is not null").groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("set_operations", f"WITH a AS (SELECT DISTINCT unnest(source_refs) AS r FROM {SFT} WHERE lower(trim(split)) = 'train'), b AS (SELECT DISTINCT unnest(source_refs) AS r FROM {SFT} WHERE lower(trim(split)) = 'test') SELECT 'both' AS part, r FROM (SELECT r FROM a INTERSECT SELECT r FROM b) UNION ALL SELECT 'test_only', r FROM (SELECT r FROM b EXCEPT SELECT r FROM a)")
 def set_operations(spark, d):
-    s = samples(spark, d)
+    s = samples(spark, d, "source_refs", "split")
     part = lambda n: s.filter(F.lower(F.trim("split")) == n).select(F.explode("source_refs").alias("r")).distinct()
     a, b = part("train"), part("test")
     return a.intersect(b).select(F.lit("both").alias("part"), "r").unionByName(b.subtract(a).select(F.lit("test_only").alias("part"), "r"))
@@ -276,20 +276,20 @@ _CHAT = "list_filter([CASE WHEN coalesce(system_prompt, '') <> '' THEN {'role':
 
 @query("chat_messages", f"SELECT sample_id, n - 1 AS place, m.role AS role, m.content AS content FROM (SELECT sample_id, unnest({_CHAT}) AS m, unnest(range(1, len({_CHAT}) + 1)) AS n FROM {SFT})")
 def chat_messages(spark, d):
-    return samples(spark, d).select("sample_id", F.posexplode(assemble.chat(F.col("system_prompt"), F.col("instruction"), F.col("input"), F.col("output"))).alias("place", "m")).select("sample_id", F.col("place").cast("bigint").alias("place"), "m.role", "m.content")
+    return samples(spark, d, "sample_id", "instruction", "input", "output", "system_prompt").select("sample_id", F.posexplode(assemble.chat(F.col("system_prompt"), F.col("instruction"), F.col("input"), F.col("output"))).alias("place", "m")).select("sample_id", F.col("place").cast("bigint").alias("place"), "m.role", "m.content")
 
 
 @query("instruction_records")
 def instruction_records(spark, d):
     """The three training formats of every sample as JSON lines."""
     c = [F.col(x) for x in ("system_prompt", "instruction", "input", "output")]
-    return samples(spark, d).select("sample_id", F.to_json(assemble.instruction(*c[1:])).alias("instruction_json"), F.to_json(F.struct(assemble.chat(*c).alias("messages"))).alias("chat_json"), F.to_json(F.struct(assemble.turns(*c).alias("conversations"))).alias("turns_json"))
+    return samples(spark, d, "sample_id", "instruction", "input", "output", "system_prompt").select("sample_id", F.to_json(assemble.instruction(*c[1:])).alias("instruction_json"), F.to_json(F.struct(assemble.chat(*c).alias("messages"))).alias("chat_json"), F.to_json(F.struct(assemble.turns(*c).alias("conversations"))).alias("turns_json"))
 
 
 @query("evidence_sizes", f"SELECT sample_id, CAST(coalesce(list_sum(list_transform(evidence, lambda e: length(e))), 0) AS BIGINT) AS chars, CASE WHEN coalesce(list_sum(list_transform(evidence, lambda e: length(e))), 0) > 100 THEN 'long' WHEN coalesce(list_sum(list_transform(evidence, lambda e: length(e))), 0) > 30 THEN 'medium' ELSE 'short' END AS bucket FROM {SFT}")
 def evidence_sizes(spark, d):
     n = F.coalesce(F.aggregate("evidence", F.lit(0).cast("bigint"), lambda s, e: s + F.coalesce(F.length(e), F.lit(0))), F.lit(0).cast("bigint"))
-    return samples(spark, d).select("sample_id", n.alias("chars")).withColumn("bucket", F.when(F.col("chars") > 100, "long").when(F.col("chars") > 30, "medium").otherwise("short"))
+    return samples(spark, d, "sample_id", "evidence").select("sample_id", n.alias("chars")).withColumn("bucket", F.when(F.col("chars") > 100, "long").when(F.col("chars") > 30, "medium").otherwise("short"))
 
 
 @query("route_rows", "SELECT CASE WHEN lang IN ('zh', 'ZH') THEN 'zh' WHEN lang IS NULL OR trim(lang) = '' THEN 'unknown' ELSE 'other' END AS route, count(*) AS n FROM documents GROUP BY 1")
@@ -303,7 +303,7 @@ def mapped_knowledge(spark, d):
     """Claims that the offline client extracts from cleaned chunks, with a fallback row where its reply can't be read."""
     from plinth.operators import mapping
 
-    c = chunks(spark, d).filter("cleaned_text is not null and cleaned_text <> ''").select("chunk_id", F.col("cleaned_text").alias("prompt"))
+    c = chunks(spark, d, "chunk_id", "cleaned_text").filter("cleaned_text is not null and cleaned_text <> ''").select("chunk_id", F.col("cleaned_text").alias("prompt"))
     return mapping.extract_many(c, "chunk_id", mapping.OfflineClient, "claim string, kind string")
 
 

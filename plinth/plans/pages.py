@@ -24,7 +24,7 @@ def source_files(spark, d):
 def page_index(spark, d):
     from plinth.plans.texts import chunks
 
-    return chunks(spark, d).select("chunk_id", F.explode("page_numbers").alias("page"))
+    return chunks(spark, d, "chunk_id", "page_numbers").select("chunk_id", F.explode("page_numbers").alias("page"))
 
 
 @query("keyword_products", "SELECT DISTINCT lower(trim(r.r_name || ' ' || n.n_name || ' ' || m.seg)) AS keyword FROM region r, nation n, (SELECT DISTINCT c_mktsegment AS seg FROM customer) m")

@@ -25,7 +25,7 @@ def exact_dup_groups(spark, d):
 
 @query("prefix_dedup", f"SELECT sample_id FROM (SELECT sample_id, row_number() OVER (PARTITION BY substr(coalesce(instruction, ''), 1, 100), substr(coalesce(output, ''), 1, 100) ORDER BY ordinal) AS rn FROM {SFT}) WHERE rn = 1")
 def prefix_dedup(spark, d):
-    sft = samples(spark, d).select("sample_id", "ordinal", F.substring(F.coalesce("instruction", F.lit("")), 1, 100).alias("a"), F.substring(F.coalesce("output", F.lit("")), 1, 100).alias("b"))
+    sft = samples(spark, d, "ordinal", "sample_id", "instruction", "output").select("sample_id", "ordinal", F.substring(F.coalesce("instruction", F.lit("")), 1, 100).alias("a"), F.substring(F.coalesce("output", F.lit("")), 1, 100).alias("b"))
     return dedup.first_wins(sft, ["a", "b"], "ordinal").select("sample_id")
 
 
@@ -44,16 +44,25 @@ def last_delivery(spark, d):
     return dedup.first_wins(table(spark, d, "sft_sample").select("sample_id", "ordinal", "split"), ["sample_id"], "ordinal", last=True)
 
 
-def samples(spark, d):
-    return dedup.first_wins(table(spark, d, "sft_sample"), ["sample_id"], "ordinal")
+def first_delivery(df, key: list[str], columns: tuple[str, ...]):
+    want = list(dict.fromkeys([*key, "ordinal", *columns])) if columns else df.columns
+    out = dedup.first_wins(df.select(*want), key, "ordinal")
+    return out.select(*columns) if columns else out
 
 
-def chunks(spark, d):
-    return dedup.first_wins(table(spark, d, "cleaned_chunk"), ["chunk_id"], "ordinal")
+def samples(spark, d, *columns: str):
+    """First deliveries, only the given columns (all if none is given), so that the scan reads no others."""
+    return first_delivery(table(spark, d, "sft_sample"), ["sample_id"], columns)
 
 
-def results(spark, d):
-    return dedup.first_wins(table(spark, d, "evaluation_result"), ["model_name", "benchmark_id"], "ordinal")
+def chunks(spark, d, *columns: str):
+    """First deliveries, only the given columns (all if none is given), so that the scan reads no others."""
+    return first_delivery(table(spark, d, "cleaned_chunk"), ["chunk_id"], columns)
+
+
+def results(spark, d, *columns: str):
+    """First deliveries, only the given columns (all if none is given), so that the scan reads no others."""
+    return first_delivery(table(spark, d, "evaluation_result"), ["model_name", "benchmark_id"], columns)
 
 
 _LANG = f"CASE WHEN {count(CJK, 'text')} > {count('[a-zA-Z]', 'text')} * 0.3 THEN 'zh' WHEN {count('[a-zA-Z]', 'text')} > {count(CJK, 'text')} * 3 THEN 'en' ELSE 'unknown' END"
@@ -73,7 +82,7 @@ def language_by_document(spark, d):
 @query("noise_flags")
 def noise_flags(spark, d):
     """One row per chunk and noise pattern of its page text."""
-    return chunks(spark, d).select("chunk_id", F.explode(T.noise_issues(F.col("original_text"))).alias("issue"))
+    return chunks(spark, d, "chunk_id", "original_text").select("chunk_id", F.explode(T.noise_issues(F.col("original_text"))).alias("issue"))
 
 
 _BOXY = "original_text ~ '[\\s\\S]*[─━│┃┏┓┗┛├┤┬┴┼┄┅┆┇┈┉┊┋][\\s\\S]*'"
@@ -83,7 +92,7 @@ _BOXY = "original_text ~ '[\\s\\S]*[─━│┃┏┓┗┛├┤┬┴┼┄
 count(*) FILTER (length({strip('original_text')}) >= 15 AND regexp_matches(original_text, '-\\s*\\n\\s*')) AS broken, count(*) FILTER (length({strip('original_text')}) >= 15 AND regexp_matches(original_text, '\\S\\s{{3,}}\\S')) AS spaced,
 CAST(sum(length(original_text)) AS BIGINT) AS chars FROM {CHUNK} WHERE original_text IS NOT NULL GROUP BY source_file""")
 def noise_report(spark, d):
-    c = chunks(spark, d).filter("original_text is not null").withColumn("issues", T.noise_issues(F.col("original_text")))
+    c = chunks(spark, d, "source_file", "original_text").filter("original_text is not null").withColumn("issues", T.noise_issues(F.col("original_text")))
     has = lambda n: F.count_if(F.array_contains("issues", n))
     return c.groupBy("source_file").agg(F.count(F.lit(1)).alias("chunks"), has("empty_page").alias("empty_pages"), has("broken_line_hyphen").alias("broken"), has("irregular_spacing").alias("spaced"), F.sum(F.length("original_text").cast("bigint")).alias("chars"))
 
@@ -94,19 +103,19 @@ _HEAD = "(?i)^(?:第\\d+页|Page\\s*\\d+|\\d+$|第\\d+章\\s*.*$|Chapter\\s+\\d+
 
 @query("header_footer_lines", f"SELECT chunk_id, line_no FROM {_LINES} WHERE length({strip('line')}) BETWEEN 3 AND 120 AND regexp_matches({strip('line')}, '{_HEAD}')")
 def header_footer_lines(spark, d):
-    lines = chunks(spark, d).filter("original_text is not null").select("chunk_id", F.posexplode(F.split("original_text", "\n")).alias("i", "line"))
+    lines = chunks(spark, d, "chunk_id", "original_text").filter("original_text is not null").select("chunk_id", F.posexplode(F.split("original_text", "\n")).alias("i", "line"))
     return lines.filter(T.is_header_footer(F.col("line"))).select("chunk_id", (F.col("i") + 1).cast("bigint").alias("line_no"))
 
 
 @query("chunk_types")
 def chunk_types(spark, d):
-    return chunks(spark, d).filter("original_text is not null").groupBy(T.chunk_type(F.col("original_text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return chunks(spark, d, "original_text", "chunk_type").filter("original_text is not null").groupBy(T.chunk_type(F.col("original_text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("content_hash_check", f"SELECT chunk_id, substr(sha256(original_text), 1, 16) AS hash, coalesce(substr(sha256(original_text), 1, 16) = original_content_hash, false) AS same FROM {CHUNK} WHERE original_text IS NOT NULL")
 def content_hash_check(spark, d):
     h = T.content_hash(F.col("original_text"))
-    return chunks(spark, d).filter("original_text is not null").select("chunk_id", h.alias("hash"), F.coalesce(h == F.col("original_content_hash"), F.lit(False)).alias("same"))
+    return chunks(spark, d, "chunk_id", "original_text", "original_content_hash").filter("original_text is not null").select("chunk_id", h.alias("hash"), F.coalesce(h == F.col("original_content_hash"), F.lit(False)).alias("same"))
 
 
 _EXAM = f"trim(lower(translate(regexp_replace(trim(regexp_replace(%s, '{WS}+', ' ', 'g')), '^[0-9]+[.、．){WS[1:-1]}]+', ''), '，。；（）', ',.;()')))"
@@ -120,7 +129,7 @@ def exam_normalised(spark, d):
 
 @query("token_estimates", f"SELECT sample_id, CAST(floor(coalesce(length(instruction), 0) / 4) AS BIGINT) AS prompt_tokens, CAST(floor(coalesce(length(output), 0) / 4) AS BIGINT) AS answer_tokens FROM {SFT}")
 def token_estimates(spark, d):
-    return samples(spark, d).select("sample_id", T.estimate_tokens(F.col("instruction")).cast("bigint").alias("prompt_tokens"), T.estimate_tokens(F.col("output")).cast("bigint").alias("answer_tokens"))
+    return samples(spark, d, "sample_id", "instruction", "output").select("sample_id", T.estimate_tokens(F.col("instruction")).cast("bigint").alias("prompt_tokens"), T.estimate_tokens(F.col("output")).cast("bigint").alias("answer_tokens"))
 
 
 _TERMS = " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in T.DOMAIN_TERMS)
@@ -149,12 +158,12 @@ def title_slugs(spark, d):
 @query("quality_averages", f"SELECT chunk_id, (quality_score.clarity + quality_score.completeness + quality_score.consistency + quality_score.feasibility + quality_score.complexity + quality_score.domain_relevance) / 6 AS average FROM {CHUNK}")
 def quality_averages(spark, d):
     q = [F.col(f"quality_score.{c}") for c in ("clarity", "completeness", "consistency", "feasibility", "complexity", "domain_relevance")]
-    return chunks(spark, d).select("chunk_id", (sum(q[1:], q[0]) / 6).alias("average"))
+    return chunks(spark, d, "chunk_id", "quality_score").select("chunk_id", (sum(q[1:], q[0]) / 6).alias("average"))
 
 
 @query("source_refs_resolvable", f"SELECT sample_id, coalesce(len(list_filter(source_refs, lambda r: regexp_matches(r, '^(data/|text_raw_data/|chunk_|exam_|img_)'))), 0) > 0 AS resolvable FROM {SFT}")
 def source_refs_resolvable(spark, d):
-    return samples(spark, d).select("sample_id", T.resolvable(F.col("source_refs")).alias("resolvable"))
+    return samples(spark, d, "sample_id", "source_refs").select("sample_id", T.resolvable(F.col("source_refs")).alias("resolvable"))
 
 
 @query("text_blocks", f"""SELECT doc_id, block_no, 'blk_' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(block_no AS VARCHAR), body)), 1, 12) AS block_id, length(body) AS chars FROM
@@ -165,13 +174,13 @@ def text_blocks(spark, d):
 
 
 @query("overlap_chunks")
-def overlap_chunks(spark, d):
+def overlap_chunks(spark, d, ):
     """Overlapping chunks of at most 600 characters, cut at sentence ends where one is near."""
     return chunking.split_overlapping(table(spark, d, "documents"), "doc_id", "text", 600, 60)
 
 
 @query("stride_chunks", "SELECT doc_id, start, substr(text, CAST(start + 1 AS BIGINT), 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 400)) AS start FROM documents WHERE text IS NOT NULL)")
-def stride_chunks(spark, d):
+def stride_chunks(spark, d, ):
     return chunking.fixed_stride(table(spark, d, "documents").filter("text is not null"), "doc_id", "text", 500, 400)
 
 
