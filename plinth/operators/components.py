@@ -28,5 +28,6 @@ def connected(stage: Stage, pairs: DataFrame, a: str, b: str, max_rounds: int =
         stage.drop(f"label{k - 1}")
         labels = new.select("node", "label")
         if not moved:
+            stage.drop("edges")
             return labels
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.runtime import Stage
+
 
 def exact_groups(df: DataFrame, key: str, h: Column) -> DataFrame:
     """(h, keeper, n): groups of two or more rows with one hash; null hashes form no group."""
@@ -44,29 +46,28 @@ def surplus_ids(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct(key).alias("ids")).withColumn("surplus", F.col("row_count") - F.col("ids"))
 
 
-def leaders(pairs: DataFrame, a: str, b: str, group: str) -> DataFrame:
-    """Greedy leader clustering within components: rows in order claim later similar rows that no one has claimed.
+def leaders(stage: Stage, pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
+    """(leader, member): greedy leader clustering: in order of key, each row that no one has claimed claims its later similar rows.
 
-    ``pairs``: (group, a, b) with a < b; a component is the unit of work and must fit a task.
+    ``pairs``: each similar pair once, a < b. The order's result is reached in rounds, over all rows at once: a row none of whose earlier
+    neighbours is still open leads, later neighbours of leaders are claimed. Rows in no pair are not listed.
     """
-    import pandas as pd
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for x, y in zip(f[a], f[b], strict=True):
-            near.setdefault(x, []).append(y)
-        taken, rows = set(), []
-        for x in sorted(near):
-            if x in taken:
-                continue
-            for y in sorted(near[x]):
-                if y not in taken and y not in (r[0] for r in rows):
-                    taken.add(y)
-                    rows.append((x, y))
-        return pd.DataFrame(rows, columns=["leader", "member"])
-
-    kind = dict(pairs.dtypes)[a]
-    return pairs.groupBy(group).applyInPandas(fold, f"leader {kind}, member {kind}")
+    edges = stage.keep(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "pairs")
+    node = edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k"))).distinct()
+    state = stage.keep(node.select("k", F.lit(0).alias("s")), "state0")  # 0 open, 1 leads, 2 claimed
+    for n in range(1, max_rounds):
+        open_ = state.filter("s = 0").select("k")
+        left = edges.join(open_.withColumnRenamed("k", "a"), "a", "left_semi").join(open_.withColumnRenamed("k", "b"), "b", "left_semi")
+        lead = open_.join(left.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
+        claimed = left.join(lead.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct()
+        done = lead.select("k", F.lit(1).alias("t")).unionByName(claimed.select("k", F.lit(2).alias("t")))
+        state = stage.keep(state.join(done, "k", "left").select("k", F.coalesce("t", "s").alias("s")), f"state{n}")
+        stage.drop(f"state{n - 1}")
+        if not state.filter("s = 0").limit(1).count():
+            leads = state.filter("s = 1").select(F.col("k").alias("a"))
+            members = state.filter("s = 2").select(F.col("k").alias("b"))
+            return edges.join(leads, "a", "left_semi").join(members, "b", "left_semi").groupBy("b").agg(F.min("a").alias("leader")).select("leader", F.col("b").alias("member"))
+    raise RuntimeError(f"leaders were not settled in {max_rounds} rounds")
 
 
 def window_rank(by: list[str], order: list[Column]) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.operators.ranking import range_rank
 from plinth.runtime import Stage
 
 
@@ -44,10 +45,9 @@ def ordered_rank(stage: Stage, df: DataFrame, order: list[str], name: str = "row
     return ranged.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, inside + F.col("_b") + 1).drop("_p", "_b", "_id")
 
 
-def budget_prefix(df: DataFrame, by: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
+def budget_prefix(stage: Stage, df: DataFrame, by: list[str], order: list[Column], names: list[str], size: Column, budget: int) -> DataFrame:
     """Rows of each group in order, as long as their running size stays within the budget: stops at the first overflow."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(run)).filter(F.col("running") <= budget)
+    return range_rank(stage, df, by, order, names, size, "budget").withColumn("running", F.col("size_before") + size).filter(F.col("running") <= budget).drop("rank_no", "size_before")
 
 
 def size_batches(df: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plinth.functions import scoring as S
 from plinth.functions import text as T
 from plinth.operators import components, exams, sampling, similarity
+from plinth.operators.ranking import range_rank
 from plinth.plans.registry import CHUNK, EVAL, SFT, query
 from plinth.plans.texts import chunks, results, samples
 from plinth.runtime import Stage, table
@@ -63,7 +64,8 @@ def context_costs(spark, d):
 @query("expected_forms", "SELECT benchmark_id, CASE WHEN len(options) >= 2 THEN 'multiple_choice_letter' WHEN task_type LIKE 'exam%' THEN 'short_answer' ELSE 'open_ended' END AS form, row_number() OVER (PARTITION BY task_type ORDER BY ordinal) AS place FROM benchmark_item")
 def expected_forms(spark, d):
     f = F.when(F.size("options") >= 2, "multiple_choice_letter").when(F.col("task_type").startswith("exam"), "short_answer").otherwise("open_ended")
-    return items(spark, d).select("benchmark_id", f.alias("form"), F.row_number().over(Window.partitionBy("task_type").orderBy("ordinal")).cast("bigint").alias("place"))
+    rows = items(spark, d).select("benchmark_id", "task_type", "ordinal", f.alias("form"))
+    return range_rank(Stage(spark, "forms"), rows, ["task_type"], [F.col("ordinal")], ["benchmark_id"]).select("benchmark_id", "form", F.col("rank_no").alias("place"))
 
 
 @query("exam_survivors")

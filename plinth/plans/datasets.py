@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plinth.functions import answers as A
 from plinth.functions import text as T
 from plinth.operators import assemble, dedup, quality, sampling, splitting
+from plinth.operators.ranking import range_rank
 from plinth.plans.registry import CHUNK, SFT, norm, query, strip
 from plinth.plans.texts import chunks, samples
 from plinth.runtime import Stage, table
@@ -193,7 +194,7 @@ def contiguous_ids(spark, d):
 @query("budget_prefix", "SELECT doc_id, source, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, source, sum(n_chars // 4) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL) WHERE running <= 8000")
 def budget_prefix(spark, d):
     docs = table(spark, d, "documents").filter("source is not null and n_chars is not null").select("doc_id", "source", "n_chars")
-    return sampling.budget_prefix(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], F.expr("cast(n_chars as bigint) div 4"), 8000).select("doc_id", "source", "running")
+    return sampling.budget_prefix(Stage(spark, "budget"), docs, ["source"], [F.desc("n_chars")], ["doc_id"], F.expr("cast(n_chars as bigint) div 4"), 8000).select("doc_id", "source", "running")
 
 
 @query("size_batches")
@@ -205,11 +206,10 @@ def size_batches(spark, d):
 
 @query("low_half_summary", "SELECT task_type, count(*) AS n, min(quality_score) AS low FROM (SELECT task_type, quality_score, row_number() OVER (PARTITION BY task_type ORDER BY quality_score, sample_id) AS rn, count(*) OVER (PARTITION BY task_type) AS c FROM " + SFT + " WHERE quality_score IS NOT NULL AND NOT isnan(quality_score)) WHERE rn <= c // 2 GROUP BY task_type")
 def low_half_summary(spark, d):
-    from pyspark.sql import Window
-
-    s = samples(spark, d, "sample_id", "task_type", "quality_score").filter("quality_score is not null and not isnan(quality_score)").select("task_type", "quality_score", "sample_id")
+    s = samples(spark, d, "sample_id", "task_type", "quality_score").filter("quality_score is not null and not isnan(quality_score)")
     size = s.groupBy(F.col("task_type").alias("t")).agg(F.count(F.lit(1)).alias("c"))
-    r = s.withColumn("rn", F.row_number().over(Window.partitionBy("task_type").orderBy("quality_score", "sample_id"))).join(F.broadcast(size), F.col("task_type").eqNullSafe(F.col("t"))).filter("rn <= c div 2")  # one row per task type
+    ranked = range_rank(Stage(spark, "low"), s, ["task_type"], [F.col("quality_score")], ["sample_id"])
+    r = ranked.join(size, F.col("task_type").eqNullSafe(F.col("t"))).filter("rank_no <= c div 2")
     return r.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.min("quality_score").alias("low"))
 
 

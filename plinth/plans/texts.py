@@ -237,10 +237,7 @@ def fuzzy_band_pairs(spark, d):
 
 @query("similar_groups")
 def similar_groups(spark, d):
-    """Leaders and members of near-equal codes: greedy within connected components."""
+    """Leaders and members of near-equal codes: greedy in order of id."""
     codes = table(spark, d, "embeddings").select("vec_id", similarity.sign_code(F.col("embedding")).alias("code"))
     pairs = similarity.hamming_pairs(codes, "vec_id", "code", 16)
-    from plinth.operators.components import connected
-
-    labels = connected(Stage(spark, "groups"), pairs, "a", "b")
-    return dedup.leaders(pairs.join(labels.withColumnRenamed("node", "a"), "a"), "a", "b", "label")
+    return dedup.leaders(Stage(spark, "groups"), pairs, "a", "b")

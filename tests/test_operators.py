@@ -39,7 +39,17 @@ def test_ordered_rank(spark):
 def test_batches_and_budget(spark):
     df = spark.createDataFrame([("a", i, n) for i, n in enumerate([3, 4, 5, 20, 1])], "g string, o bigint, n bigint")
     assert [r["batch"] for r in sampling.size_batches(df, "g", "o", "n", 8).orderBy("o").collect()] == [0, 0, 1, 2, 3]
-    assert [r["o"] for r in sampling.budget_prefix(df, ["g"], [F.col("o")], F.col("n"), 12).orderBy("o").collect()] == [0, 1, 2]
+    assert [r["o"] for r in sampling.budget_prefix(Stage(spark, "t"), df, ["g"], [F.col("o")], ["n"], F.col("n"), 12).orderBy("o").collect()] == [0, 1, 2]
+
+
+def test_range_ranks_over_a_hot_group(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 20)).alias("g"), "id", (F.col("id") % 5).alias("v"), (F.col("id") % 7).alias("size"))
+    got = ranking.range_rank(Stage(spark, "t"), df, ["g"], [F.desc("v")], ["id"], F.col("size")).toPandas()
+    assert len(got) == 3000
+    for _, f in got.groupby("g", dropna=False):
+        f = f.sort_values(["v", "id"], ascending=[False, True])
+        assert f["rank_no"].tolist() == list(range(1, len(f) + 1))
+        assert f["size_before"].tolist() == ([0] + f["size"].cumsum().tolist())[:-1]
 
 
 def test_hamming_matches_brute_force(spark):
@@ -68,8 +78,17 @@ def test_components(spark):
 
 
 def test_leaders(spark):
-    pairs = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "g bigint, a bigint, b bigint")
-    assert [tuple(r) for r in dedup.leaders(pairs, "a", "b", "g").collect()] == [(0, 1)]
+    rnd = random.Random(7)
+    edges = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(90)} | {(100, 101), (101, 102)}
+    want, taken = set(), set()
+    for i in sorted({x for e in edges for x in e}):
+        if i not in taken:
+            for j in sorted(y for x, y in edges if x == i):
+                if j not in taken:
+                    taken.add(j)
+                    want.add((i, j))
+    got = dedup.leaders(Stage(spark, "t"), spark.createDataFrame(sorted(edges), "a bigint, b bigint"), "a", "b")
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_graph_scores_and_levels(spark):
