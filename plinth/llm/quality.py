@@ -109,7 +109,7 @@ def unreadable_words(words: list[str]) -> float:
     return bad / (good + bad) if good + bad >= 30 else 0.0
 
 
-def junk_share(text: str, words: list[str], symbols: int, common: float) -> float:
+def junk_share(text: str, words: list[str], counts: Counter, symbols: int, common: float) -> float:
     """Share of the text that nobody can read: garbage, markup, repetition, bare numbers; 1.0 for blank text."""
     n = len(text)
     solid = sum(not c.isspace() for c in text) if n < 400 else n - text.count(" ") - text.count("\n")
@@ -127,10 +127,10 @@ def junk_share(text: str, words: list[str], symbols: int, common: float) -> floa
     share = max(share, 2 * len(MOJIBAKE.findall(text)) / solid if not text.isascii() else 0.0)
     if common < 0.1 and unreadable_words(words) > 0.42 and sum(len(w) for w in words if w.isascii()) > 0.5 * solid:
         share = 1.0
-    numbers = sum(w.isdigit() for w in words)
+    numbers = sum(k for w, k in counts.items() if w.isdigit())
     if common < 0.1 and len(words) >= 16 and sum(bool(HEX.match(w)) for w in words) > 0.7 * len(words):
         share = 1.0
-    menu = sum(len(w) for w in words if w.lower() in MENU_WORDS) if common < 0.3 else 0
+    menu = sum(k * len(w) for w, k in counts.items() if w in MENU_WORDS) if common < 0.3 else 0
     if common < 0.3 and not text.isascii():
         rest = text
         for w in MENU_CJK:
@@ -142,8 +142,7 @@ def junk_share(text: str, words: list[str], symbols: int, common: float) -> floa
     if numbers == len(words) and len(words) >= 4:
         share = 1.0
     if len(words) >= 12:
-        kinds = Counter(w.lower() for w in words)
-        if len(kinds) <= 0.12 * len(words) and len(kinds) < 25:
+        if len(counts) <= 0.12 * len(words) and len(counts) < 25:
             share = 1.0
     if len(words) >= 6 and repeated("".join(text.split())):
         share = 1.0
@@ -174,16 +173,17 @@ def measure(text: str | None, common: frozenset[str]) -> dict:
     symbols = len(SYMBOL.findall(text))
     lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()]
     ended = sum(bool(LINE_END.search(x)) for x in lines)
-    zh = sum(len(w) == 1 and "㐀" <= w <= "鿿" for w in words)
+    counts = Counter(map(str.lower, words))
+    zh = not text.isascii() and any(len(w) == 1 and "㐀" <= w <= "鿿" for w in counts)
     # a common word of several CJK characters is looked for in the text, one of letters among the words
-    hits = sum(w in common for w in map(str.lower, words))
+    hits = sum(counts[w] for w in common if w in counts)
     if zh:
         hits += sum(text.count(w) * len(w) for w in common if len(w) > 1 and "㐀" <= w[0] <= "鿿")
     out = {
         "words": n, "mean_word_length": sum(map(len, words)) / n if n else 0.0, "symbol_ratio": symbols / max(1, len(text)), "lines": len(lines),
         "ended_lines": ended / len(lines) if lines else 0.0, "common_words": min(1.0, hits / n) if n else 0.0, "length_autocorrelation": autocorrelation([len(x) for x in lines]), "indent_periodicity": indent_period(lines),
     }
-    out["junk_share"] = junk_share(text, words, symbols, out["common_words"])
+    out["junk_share"] = junk_share(text, words, counts, symbols, out["common_words"])
     out["table_share"], out["list_share"], out["prose_share"] = shapes(lines)
     out["text_kind"] = kind_of(out)
     return out
