@@ -376,6 +376,7 @@ def similar_classes(stage: Stage, records: DataFrame, num: int = 3, den: int = 4
     counts = count_tokens(sets)
     found = stage.keep(candidates(postings(sets, counts, num, den), num, den), "candidates")
     links = stage.keep(verify(found, sets, num, den), "links")
+    stage.drop("candidates")
     return sets.select("kind", "id", "sig").distinct(), links
 
 

@@ -69,6 +69,7 @@ def components(stage: Stage, links: DataFrame, max_rounds: int = 60) -> DataFram
         stage.drop(f"labels{k - 1}")
         labels = new.select("ent", "label")
         if not moved:
+            stage.drop("edges")
             return labels
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
