@@ -96,8 +96,12 @@ def test_very_long_text(spark):
     assert sets.similar_pairs(*sets.similar_classes(Stage(spark, "t"), df)).count() == 1
 
 
-def test_crossing_matches_brute_force(spark):
-    texts = corpus(5, 60, 12, 120) + ["a b", "a b", "", None, "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午申"]
+@pytest.mark.parametrize("hot", [4_000_000, 3])
+def test_crossing_matches_brute_force(spark, monkeypatch, hot):
+    """Also where many texts begin alike."""
+    monkeypatch.setattr(crossing, "HOT", hot)
+    same = " ".join(f"b{i}" for i in range(30)) + " "
+    texts = [same + t for t in corpus(8, 15, 30, 80)] + corpus(5, 45, 12, 120) + ["a b", "a b", "", None, "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午申"]
     splits = [("train", "validation", "test", None)[i % 4] for i in range(len(texts))]
     s = [plain_set(t or "") for t in texts]
     want = set()
