@@ -6,8 +6,12 @@ executors) and read back, which cuts the lineage and survives the loss of an exe
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +56,24 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package's code to the executors, once per context: their Python workers may not find it otherwise."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plinth_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    if here.is_dir():
+        at = tempfile.mkdtemp(prefix="plinth-")  # on the driver, which hands the file out
+        atexit.register(shutil.rmtree, at, True)
+        with zipfile.ZipFile(f"{at}/plinth.zip", "w") as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(f"{at}/plinth.zip")
+    sc._plinth_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
