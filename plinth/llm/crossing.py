@@ -7,9 +7,12 @@ bounded Bloom filter of the held-out ones before they are shuffled. The shared s
 the pair's coverage (the share of the shorter text's sampled suffixes that the other has too), and pairs with enough of it are
 checked by their token sets.
 
-Records with equal texts are one class throughout, so a crowd of copies costs no more than one text. A suffix that very many held-out and
-train texts begin alike (boilerplate) says little and would pair them all: such ranks take no part, and the texts that have one
-are compared by the exact set join instead, which goes by their rare tokens.
+A pair that shares no such span (reordered items, a word replaced in every few, short clauses) is found by the exact set join of
+held-out and train texts, which goes by their rare tokens. Either way a pair is only a candidate until its token sets are compared, so
+sample, least prefix and coverage decide where a pair is found, not whether.
+
+Records with equal token sets are one class on each side throughout, so a crowd of copies costs no more than one text. A suffix that very
+many held-out and train texts begin alike (boilerplate) says little and would pair them all: such ranks take no part.
 """
 
 from __future__ import annotations
@@ -117,12 +120,19 @@ def boilerplate(held: DataFrame, train: DataFrame) -> DataFrame:
     return x.join(y, "h").filter(F.col("a").cast("double") * F.col("b") > HOT).select("h")
 
 
-def by_sets(stage: Stage, rows: DataFrame, recs: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b, of the similar classes among ``recs`` by the exact set join."""
-    inner = Stage(rows.sparkSession, "p7-sets")
-    texts = rows.select("rec", "text").join(recs, "rec", "left_semi").dropDuplicates(["rec"]).select(F.lit(0).alias("kind"), F.col("rec").cast("string").alias("id"), "text")
-    pairs = sets.similar_pairs(*sets.similar_classes(inner, texts, num, den)).select(F.col("id_a").cast("bigint").alias("p"), F.col("id_b").cast("bigint").alias("q"))
-    return stage.keep(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), "by-sets")
+def by_sets(stage: Stage, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b, of the held-out and train classes (kind, sig, toks) that no bound of the exact set join excludes: no similar pair is missing."""
+    every = classes.withColumn("side", F.col("kind")).withColumn("kind", F.lit(0))
+    counts = sets.count_tokens(every)
+    held = stage.keep(sets.postings(every.filter("side = 0"), counts, num, den), "held-first")
+    bloom, bits = filters.build(held.select("key").distinct(), "key")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.take(pa.array(np.flatnonzero(filters.contains(bloom.value, bits, b.column(0).to_numpy()))))
+
+    train = sets.postings(every.filter("side = 1"), counts, num, den).mapInArrow(shared, sets.POSTING)
+    return sets.candidates(held.unionByName(train), num, den).filter("(a ^ b) & 1 = 1")
 
 
 def crossing(stage: Stage, records: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
@@ -131,33 +141,33 @@ def crossing(stage: Stage, records: DataFrame, num: int = 3, den: int = 4) -> Da
     ``records``: id, text, split; null splits and other values than train, validation and test take no part. Texts
     without tokens are similar to none. Repeated rows of a record count once.
     """
-    rows = records.filter("id is not null and split is not null and text is not null").withColumn("rec", F.xxhash64("text"))
-    member = stage.keep(rows.select("id", "rec", (F.col("split") == "train").alias("train")).distinct(), "member")
-    held = stage.keep(suffixes(rows.filter("split <> 'train'")), "held")
+    rows = records.filter("id is not null and split is not null and text is not null").withColumn("rec", F.xxhash64("text")).withColumn("kind", (F.col("split") == "train").cast("int"))
+    member = stage.keep(rows.select("id", "rec", "kind").distinct(), "member")
+    # equal sets of one side are one class; the last bit of its key is the side
+    classes = stage.keep(sets.tokenise(rows.select("kind", F.col("rec").cast("string").alias("id"), "text")), "sets")
+    classes = classes.withColumn("sig", F.expr("(sig & -2L) | kind"))
+    known = stage.keep(classes.select("kind", F.col("id").cast("bigint").alias("rec"), "sig").distinct(), "known")
+    held = stage.keep(suffixes(rows.filter("kind = 0")), "held")
     bloom, bits = filters.build(held.select("h"), "h")
-    train = stage.keep(suffixes(rows.filter("split = 'train'"), bloom, bits), "train")
+    train = stage.keep(suffixes(rows.filter("kind = 1"), bloom, bits), "train")
     hot = stage.keep(boilerplate(held, train), "hot")
     crowded = hot.limit(1).count() > 0
     x, y = (held.join(hot, "h", "left_anti"), train.join(hot, "h", "left_anti")) if crowded else (held, train)
-    spans = shared_spans(x, y).filter(F.col("coverage") >= COVERAGE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    spans = stage.keep(spans, "spans")
-    ids = spans.select(F.col("a").alias("rec")).union(spans.select(F.col("b").alias("rec"))).distinct()
-    texts = rows.select("rec", "text").join(ids, "rec", "left_semi").select(F.lit(0).alias("kind"), F.col("rec").cast("string").alias("id"), "text")
-    toks = sets.tokenise(texts).select(F.col("id").cast("bigint").alias("sig"), "toks")
-    links = stage.keep(sets.verify(spans, toks, num, den), "links")
-    stage.drop("spans")
-    if crowded:
-        links = links.unionByName(by_sets(stage, rows, held.unionByName(train).join(hot, "h", "left_semi").select("rec").distinct(), num, den)).distinct()
-    h, t = member.filter("not train"), member.filter("train")
-
-    # a pair of classes may meet in either order, equal texts meet in their own class
-    def meet(pairs: DataFrame) -> DataFrame:
-        return pairs.join(h.select(F.col("rec").alias("x"), F.col("id").alias("held_id")), "x").join(t.select(F.col("rec").alias("y"), F.col("id").alias("train_id")), "y").select("held_id", "train_id")
-
-    ways = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    with_tokens = held.select("rec").distinct()
-    same = h.select("rec", F.col("id").alias("held_id")).join(with_tokens, "rec", "left_semi").join(t.select("rec", F.col("id").alias("train_id")), "rec").select("held_id", "train_id")
-    return meet(ways).unionByName(same).filter("held_id <> train_id").distinct()
+    spans = shared_spans(x, y).filter(F.col("coverage") >= COVERAGE).select("a", "b")
+    x, y = (known.filter(f"kind = {k}").select(F.col("rec").alias(r), F.col("sig").alias(s)) for k, r, s in ((0, "a", "x"), (1, "b", "y")))
+    spans = stage.keep(spans.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "spans")
+    stage.drop("held")
+    stage.drop("train")
+    # what shares no long enough or sampled span comes from the set join; each pair is verified once
+    near = stage.keep(spans.unionByName(by_sets(stage, classes, num, den)).distinct(), "near")
+    stage.drop("held-first")
+    links = stage.keep(sets.verify(near, classes, num, den), "links")
+    for name in ("spans", "near", "sets"):
+        stage.drop(name)
+    ids = member.join(known, ["rec", "kind"]).select("id", "sig").distinct()
+    ways = links.select(F.when(F.expr("a & 1 = 0"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.expr("a & 1 = 0"), F.col("b")).otherwise(F.col("a")).alias("y"))
+    met = ways.join(ids.select(F.col("sig").alias("x"), F.col("id").alias("held_id")), "x").join(ids.select(F.col("sig").alias("y"), F.col("id").alias("train_id")), "y")
+    return met.select("held_id", "train_id").filter("held_id <> train_id").distinct()
 
 
 def sft_records(spark, d: str) -> DataFrame:

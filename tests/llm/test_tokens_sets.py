@@ -115,6 +115,17 @@ def test_crossing_matches_brute_force(spark, monkeypatch, hot):
     assert crossing.crossing(Stage(spark, "t"), df.limit(0)).count() == 0
 
 
+def test_crossing_without_common_spans(spark):
+    """Reordered clauses and items share no span of the least length, nor do texts with a word replaced in every eight."""
+    clauses = [" ".join(f"k{i}x{j}" for j in range(5)) for i in range(12)]
+    items = ["".join(chr(0x4E00 + 20 * i + j) for j in range(9)) for i in range(12)]
+    words = [f"v{i}" for i in range(160)]
+    other = [f"z{i}" if i % 8 == 7 else w for i, w in enumerate(words)]
+    rows = [("c1", ", ".join(clauses), "train"), ("c2", ", ".join(clauses[::-1]), "test"), ("i1", "，".join(items), "train"), ("i2", "，".join(items[::-1]), "validation"), ("w1", " ".join(words), "train"), ("w2", " ".join(other), "test"), ("n", " ".join(f"n{i}" for i in range(60)), "test")]
+    got = crossing.crossing(Stage(spark, "t"), spark.createDataFrame(rows, "id string, text string, split string"))
+    assert {tuple(r) for r in got.collect()} == {("c2", "c1"), ("i2", "i1"), ("w2", "w1")}
+
+
 def test_filter_has_no_false_negatives(spark):
     h = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     bloom, k = filters.build(h, "h")
