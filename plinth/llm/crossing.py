@@ -53,7 +53,7 @@ def ranks(h: np.ndarray) -> dict[int, np.ndarray]:
 
 
 def suffixes(texts: DataFrame, bloom=None, bits: int = 0) -> DataFrame:
-    """(h, rec, total) of the sampled suffixes of texts (rec, text); total: how many its text has."""
+    """(h, rec, total) of the distinct ranks of sampled suffixes of texts (rec, text); total: how many its text has."""
 
     def part(recs: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
         c = tokens.chars(texts)
@@ -74,7 +74,12 @@ def suffixes(texts: DataFrame, bloom=None, bits: int = 0) -> DataFrame:
             keys.append(rank[few][i])
         i = np.flatnonzero(3 * length < 4 * TINY)
         own, key = np.concatenate([*own, i]), np.concatenate([*keys, rank[1][i]])
-        d = doc[own]
+        # a repeated passage has each of its ranks once, in the total as in what is shared
+        order = np.lexsort((key, doc[own]))
+        d, key = doc[own][order], key[order]
+        fresh = np.ones(len(d), bool)
+        fresh[1:] = (d[1:] != d[:-1]) | (key[1:] != key[:-1])
+        d, key = d[fresh], key[fresh]
         total = np.bincount(d, minlength=len(texts))
         if bloom is not None:
             through = filters.contains(bloom.value, bits, key)

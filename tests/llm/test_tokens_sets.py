@@ -126,6 +126,13 @@ def test_crossing_without_common_spans(spark):
     assert {tuple(r) for r in got.collect()} == {("c2", "c1"), ("i2", "i1"), ("w2", "w1")}
 
 
+def test_repeated_passages_are_covered(spark):
+    """A passage that repeats counts once in the coverage's total, as it does in the shared spans."""
+    text = " ".join(" ".join(f"p{i}" for i in range(12)) for _ in range(30))
+    held, train = (crossing.suffixes(spark.createDataFrame([r], "rec bigint, text string")) for r in ((1, text + " more"), (2, text)))
+    assert crossing.shared_spans(held, train).first()["coverage"] >= 0.9
+
+
 def test_filter_has_no_false_negatives(spark):
     h = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     bloom, k = filters.build(h, "h")
