@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.operators import components, similarity
 from plinth.runtime import Stage
 
 
@@ -70,5 +71,26 @@ def leaders(stage: Stage, pairs: DataFrame, a: str, b: str, max_rounds: int = 20
     raise RuntimeError(f"leaders were not settled in {max_rounds} rounds")
 
 
+def code_groups(stage: Stage, df: DataFrame, key: str, code: str, most: int) -> DataFrame:
+    """(key, label): least key that is linked with each row by equal codes or by chains of codes with at most ``most`` differing bits; rows without a code are alone.
+
+    Rows of equal code are one class, whose least key stands for it.
+    """
+    reps = stage.keep(df.filter(F.col(code).isNotNull()).groupBy(code).agg(F.min(key).alias("rep")), "codes")
+    labels = components.connected(stage, similarity.hamming_pairs(reps, "rep", code, most), "a", "b").withColumnRenamed("node", "rep")
+    return df.select(key, code).join(reps.join(labels, "rep", "left"), code, "left").select(key, F.coalesce("label", "rep", key).alias("label"))
+
+
+def code_leaders(stage: Stage, df: DataFrame, key: str, code: str, most: int) -> DataFrame:
+    """(leader, member) of ``leaders`` by codes with at most ``most`` differing bits, equal codes included.
+
+    The least key of a code leads its copies, or goes with them to the same earlier leader, so only these keys are compared.
+    """
+    reps = stage.keep(df.filter(F.col(code).isNotNull()).groupBy(code).agg(F.min(key).alias("rep")), "codes")
+    led = leaders(stage, similarity.hamming_pairs(reps, "rep", code, most), "a", "b").withColumnRenamed("member", "rep")
+    home = reps.join(led, "rep", "left").select(code, F.coalesce("leader", "rep").alias("leader"))
+    return df.select(F.col(key).alias("member"), code).join(home, code).filter("leader <> member").select("leader", "member").distinct()
+
+
 def window_rank(by: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

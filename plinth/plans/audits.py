@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import scoring as S
 from plinth.functions import text as T
-from plinth.operators import components, exams, sampling, similarity
+from plinth.operators import dedup, exams, sampling, similarity
 from plinth.operators.ranking import range_rank
 from plinth.plans.registry import CHUNK, EVAL, SFT, query
 from plinth.plans.texts import chunks, results, samples
@@ -79,9 +79,8 @@ def exam_survivors(spark, d):
 def duplicate_primaries(spark, d):
     """Groups of vectors with near-equal sign codes, and the row that stands for each: largest norm, then least id."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding", similarity.sign_code(F.col("embedding")).alias("code"))
-    pairs = similarity.hamming_pairs(v, "vec_id", "code", 16)
-    labels = components.connected(Stage(spark, "primaries"), pairs, "a", "b")
-    rows = v.join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("label", "vec_id").alias("group_id"), similarity.dot(F.col("embedding"), F.col("embedding")).alias("norm"))
+    labels = dedup.code_groups(Stage(spark, "primaries"), v, "vec_id", "code", 16).distinct()
+    rows = v.join(labels, "vec_id").select("vec_id", F.col("label").alias("group_id"), similarity.dot(F.col("embedding"), F.col("embedding")).alias("norm"))
     best = rows.groupBy("group_id").agg(F.max_by("vec_id", F.struct("norm", F.expr("-vec_id"))).alias("primary_id"), F.count(F.lit(1)).alias("size"))
     return rows.join(best, "group_id").select("vec_id", "group_id", "primary_id", "size", F.when(F.col("vec_id") == F.col("primary_id"), "unique").otherwise("duplicate").alias("status"))
 

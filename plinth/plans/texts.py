@@ -239,5 +239,4 @@ def fuzzy_band_pairs(spark, d):
 def similar_groups(spark, d):
     """Leaders and members of near-equal codes: greedy in order of id."""
     codes = table(spark, d, "embeddings").select("vec_id", similarity.sign_code(F.col("embedding")).alias("code"))
-    pairs = similarity.hamming_pairs(codes, "vec_id", "code", 16)
-    return dedup.leaders(Stage(spark, "groups"), pairs, "a", "b")
+    return dedup.code_leaders(Stage(spark, "groups"), codes, "vec_id", "code", 16)

@@ -63,6 +63,15 @@ def test_hamming_matches_brute_force(spark):
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
+def test_equal_codes_are_grouped(spark):
+    """Copies of a code with no other near one, copies of a member and a row without a code."""
+    far = 0x0F0F0F0F0F0F0F0F
+    df = spark.createDataFrame([(1, far), (2, 0), (3, far), (4, 1), (5, 1), (6, 0), (7, -1), (8, None)], "id bigint, code bigint")
+    groups = {r["id"]: r["label"] for r in dedup.code_groups(Stage(spark, "t"), df, "id", "code", 8).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1, 4: 2, 5: 2, 6: 2, 7: 7, 8: 8}
+    assert {tuple(r) for r in dedup.code_leaders(Stage(spark, "t"), df, "id", "code", 8).collect()} == {(1, 3), (2, 4), (2, 5), (2, 6)}
+
+
 def test_jaccard_matches_brute_force(spark):
     rnd = random.Random(2)
     sets = [rnd.sample(range(30), rnd.randint(1, 12)) for _ in range(80)]
