@@ -25,7 +25,7 @@ class OfflineClient:
 
     def reply(self, prompt: str) -> str:
         sentences = [s for s in prompt.replace("。", "。\n").replace(". ", ".\n").split("\n") if s.strip()]
-        return json.dumps([{"claim": s.strip(), "kind": "fact"} for s in sentences[:3]], ensure_ascii=False)
+        return json.dumps([{"claim": s.strip(), "kind": "fact"} for s in sentences], ensure_ascii=False)
 
 
 class Retrying:

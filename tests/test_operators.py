@@ -142,6 +142,12 @@ def test_client_fallbacks(spark):
     assert got == {1: (None, False), 2: (None, False), 3: (1, True), 4: (None, False)}
 
 
+def test_offline_client_gives_all_sentences():
+    import json
+
+    assert [x["claim"] for x in json.loads(mapping.OfflineClient().reply("One. Two. Three. Four.\n第五。第六。"))] == ["One.", "Two.", "Three.", "Four.", "第五。", "第六。"]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=60), st.integers(1, 40))
 def test_cuts_cover(sizes, most):
