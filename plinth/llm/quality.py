@@ -185,6 +185,8 @@ def measure(text: str | None, common: frozenset[str]) -> dict:
     }
     out["junk_share"] = junk_share(text, words, counts, symbols, out["common_words"])
     out["table_share"], out["list_share"], out["prose_share"] = shapes(lines)
+    if periodic(lines, out):
+        out["list_share"], out["prose_share"] = out["list_share"] + out["prose_share"], 0.0
     out["text_kind"] = kind_of(out)
     return out
 
@@ -236,6 +238,15 @@ def shapes(lines: list[str]) -> tuple[float, float, float]:
     return rows / total, items / total, size["prose"] / total
 
 
+def periodic(lines: list[str], m: dict) -> bool:
+    """Whether unmarked lines are items all the same: indentation goes up and down with one period and the lengths of lines follow it, in readable words."""
+    if m["lines"] < 6 or m["indent_periodicity"] < 0.9 or m["length_autocorrelation"] < 0.4:
+        return False
+    x = [len(a) - len(a.lstrip()) for a in lines]
+    steady = sum(a == b for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
+    return steady <= 0.7 and m["symbol_ratio"] < 0.2 and m["mean_word_length"] < 12
+
+
 def kind_of(m: dict) -> str:
     if m["junk_share"] > 0.5:
         return "junk"

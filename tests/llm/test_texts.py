@@ -53,6 +53,14 @@ def test_kinds(text, want):
     assert quality.measure(text, COMMON)["text_kind"] == want
 
 
+def test_periodic_lines_are_items():
+    """Unmarked items of long lines with an indented note each; prose of the same lines without the period stays prose."""
+    item = "the stiff outer core of panel {} is held by the crew in the tool while the resin cures and then it is cut to size"
+    text = "\n".join(f"{item.format(i)}\n    see the drawing of the panel {i}." for i in range(8))
+    assert quality.measure(text, COMMON)["text_kind"] == "list"
+    assert quality.measure("\n".join([item.format(i) for i in range(8)] + ["it is seen in the drawing."]), COMMON)["text_kind"] == "prose"
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "The cat is. x_y\nend"), (2, None)], "doc_id bigint, text string").withColumn("words", F.lit("clash"))
     r = {x["doc_id"]: x for x in quality.text_statistics(df, "doc_id", "text", COMMON).collect()}
