@@ -155,14 +155,14 @@ class Model:
                     yield word[:at] + right + word[at + n :], at
 
     def fixes(self, word: str) -> list[tuple[int, str, int]]:
-        """(count, frequent neighbour, place) of a rare word, two edits where one is not enough."""
+        """(count, frequent neighbour, place) of a word that is rare beside it, two edits where one is not enough. Only the ratio of counts decides, so that a larger corpus gives the same."""
         out = self.memo_fix.get(word)
         if out is None:
             n = self.count(word)
             least = max(4, 15 * n)
             one = list(self.variants(word))
             out = [(c, v, at) for v, at in one if (c := self.count(v)) >= least and SIMPLE.fullmatch(v)]
-            if not out and len(word) >= 5 and n <= 2:
+            if not out and len(word) >= 5:
                 out = [(c, v, min(at, at2)) for w, at in one for v, at2 in self.variants(w) if v != word and (c := self.count(v)) >= max(20, least) and SIMPLE.fullmatch(v)]
             self.memo_fix[word] = out
         return out
@@ -369,7 +369,7 @@ def repair(body: Body, model: Model) -> list[tuple[int, int, str, str]]:
                 continue
             low = w.lower()
             odd = bool(re.search(r"[A-Za-z][0-9!|]+[A-Za-z]|^[0-9!|]+[a-z]{3,}|[a-z]{3,}[0-9!|]+$|[a-zü]ü|ü[a-z]", w))
-            if not odd and (not SIMPLE.fullmatch(w) or model.count(low) > 1000):
+            if not odd and not SIMPLE.fullmatch(w):
                 continue
             found = model.fixes(low)
             doubt = doubt or bool(found)

@@ -83,6 +83,15 @@ def test_page_is_cleaned():
     assert text == "the threshold of the resin remains low-viscosity and the liner degrades within the minimum load." and len(repairs) == 2
 
 
+def test_correction_does_not_depend_on_corpus_size():
+    """Misread forms repeat in proportion to the corpus; the ratio to what they stand for decides."""
+    base = ["the resin reaches the liner and then the resin reaches the core"] * 40 + ["the resin reacbcs the liner near tbe core"]
+    for times in (1, 4):
+        assert ocr.clean("the resin reacbcs the liner", [5], set(), model(base * times))[1] == "the resin reaches the liner"
+    m = model(["the liner is held by the liner"] * 9000 + ["thc liner"] * 1001)
+    assert ocr.clean("thc liner is held", [5], set(), m)[1] == "the liner is held"
+
+
 def test_chinese_page():
     rows, text, repairs = ocr.clean("第3页\n低温固化剂覆盖涂屋与热庄罐，升\n湿段随之稳定边界。", [3], set(), model(CLEAN))
     assert set(rows) == {(1, "page_number"), (2, "misread"), (3, "misread")} and text == "低温固化剂覆盖涂层与热压罐，升温段随之稳定边界。" and len(repairs) == 3
