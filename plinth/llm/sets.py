@@ -27,8 +27,8 @@ from plinth.llm import tokens
 from plinth.llm.registry import query
 from plinth.runtime import Stage, table
 
-#: Cells of the sketch of token counts (4 MB), and entries of an index list that are one part.
-CELLS, PART = 1 << 20, 4096
+#: Cells of the sketch of token counts: eight a set, between these powers of two (4 to 16 MB are broadcast); entries of an index list that are one part.
+LEAST_CELLS, MOST_CELLS, PART = 20, 22, 16_384
 #: Characters of text tokenised at once.
 SLICE = 2_000_000
 
@@ -81,28 +81,54 @@ def first_of_batch(b: pa.RecordBatch, seen: set) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def count_tokens(sets: DataFrame) -> Broadcast:
-    """Sketch of how many sets hold each token: CELLS counts, an upper bound of each token's own."""
+def counted(sets: DataFrame, cells: int, choose) -> Broadcast:
+    """``cells`` sums, map-side combined: how many sets have a token of each cell among those that ``choose(tokens, sizes)`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CELLS, np.int64)
+        n = np.zeros(cells, np.int64)
         seen: set = set()
         for b in batches:
             b = b.take(pa.array(first_of_batch(b, seen)))
-            flat = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32)
-            n += np.bincount(flat & np.uint32(CELLS - 1), minlength=CELLS)
+            if len(b):
+                blobs = b.column(3).to_pylist()
+                flat = choose(np.frombuffer(b"".join(blobs), np.uint32), np.array([len(x) // 4 for x in blobs], np.int64))
+                n += np.bincount(flat & np.uint32(cells - 1), minlength=cells)
         at = np.flatnonzero(n)
         for lo in range(0, len(at), 100_000):
             part = at[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], ["cell", "n"])
 
     rows = sets.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
+    out = np.zeros(cells, np.int64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return sets.sparkSession.sparkContext.broadcast(out.clip(0, 2**31 - 1).astype(np.uint32))
 
 
-POSTING = "key bigint, part_a int, part_b int, side int, sig bigint, size int, pos int, s0 bigint, s1 bigint, wide binary"
+def count_tokens(sets: DataFrame) -> Broadcast:
+    """Sketch of how many sets hold each token: an upper bound of each token's own count."""
+    cells = 1 << max(LEAST_CELLS, min(MOST_CELLS, (8 * sets.count()).bit_length()))
+    return counted(sets, cells, lambda flat, n: flat)
+
+
+def prefix(flat: np.ndarray, n: np.ndarray, df: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, token, position) of each set's first tokens by rarity: two sets that reach ``num`` / ``den`` share one of them. A token that is the only one of its cell can't be shared and is left out."""
+    row = np.repeat(np.arange(len(n)), n)
+    c = df[flat & np.uint32(len(df) - 1)]
+    order = np.lexsort((flat, c, row))
+    tok, c = flat[order], c[order]
+    pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
+    need = (num * n + den - 1) // den
+    keep = np.flatnonzero((pos <= (n - need)[row]) & (c > 1))
+    return row[keep], tok[keep], pos[keep]
+
+
+def list_lengths(sets: DataFrame, counts: Broadcast, num: int, den: int) -> Broadcast:
+    """How many entries the index lists of each cell have: what decides into how many parts a list is cut."""
+    return counted(sets, len(counts.value), lambda flat, n: prefix(flat, n, counts.value, num, den)[1])
+
+
+#: meta: size << 33 | position << 2 | side of a pair of parts << 1 | whether it is one.
+POSTING = "key bigint, sig bigint, meta bigint, s0 bigint, s1 bigint, wide binary"
 #: Sets of more tokens have a sketch of 512 bits, too: 128 are too few to tell them apart.
 WIDE, WIDE_BYTES = 130, 64
 #: Longer lists are compared block by block instead of entry by entry.
@@ -137,11 +163,10 @@ def wide_sketches(flat: np.ndarray, n: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def postings(sets: DataFrame, counts: Broadcast, num: int, den: int) -> DataFrame:
-    """Index entries of each class's first tokens. A token that is the only one of its cell can't be shared and is left out."""
+def postings(sets: DataFrame, counts: Broadcast, num: int, den: int, lengths: Broadcast | None = None) -> DataFrame:
+    """Index entries of each class's first tokens; ``lengths`` cut long lists into parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = counts.value
         seen: set = set()
         for b in batches:
             b = b.take(pa.array(first_of_batch(b, seen)))
@@ -153,28 +178,21 @@ def postings(sets: DataFrame, counts: Broadcast, num: int, den: int) -> DataFram
             s0, s1 = sketches(flat, n)
             wide = wide_sketches(flat, n)
             kind, sig = b.column(0).to_numpy(), b.column(2).to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            c = df[flat & np.uint32(CELLS - 1)]
-            # by set, then rarity, then token
-            order = np.lexsort((flat, c, row))
-            tok, c = flat[order], c[order]
-            pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
-            need = (num * n + den - 1) // den
-            keep = np.flatnonzero((pos <= (n - need)[row]) & (c > 1))
-            r, p = row[keep], pos[keep]
-            # entries of frequent tokens go to parts; each pair of parts gets both sides
-            parts = np.maximum(1, -(-c[keep].astype(np.int64) // (4 * PART)))
-            key = tokens.mix((tok[keep].astype(np.uint64) << np.uint64(8)) + kind[r].astype(np.uint64)).view(np.int64)
-            own = (tokens.mix(sig[r].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
-            times = parts.copy()
-            i = np.repeat(np.arange(len(keep)), times)
-            other = (np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+            r, tok, p = prefix(flat, n, counts.value, num, den)
+            # entries of long lists go to parts; each pair of parts gets both sides
+            cut = lengths.value if lengths is not None else counts.value
+            parts = np.maximum(1, -(-cut[tok & np.uint32(len(cut) - 1)].astype(np.int64) // PART))
+            key = tokens.mix((tok.astype(np.uint64) << np.uint64(8)) + kind[r].astype(np.uint64))
+            own = (tokens.mix(sig[r].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            i = np.repeat(np.arange(len(r)), parts)
+            other = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
             a, z = np.minimum(own[i], other), np.maximum(own[i], other)
-            cols = [key[i], a, z, (own[i] != a).astype(np.int32), sig[r][i], n[r][i].astype(np.int32), p[i].astype(np.int32), s0[r][i], s1[r][i]]
-            names = [x.split()[0] for x in POSTING.split(", ")]
+            key = np.where(parts[i] > 1, tokens.mix(key[i] + ((a << 32) | z).astype(np.uint64) + np.uint64(1)), key[i]).view(np.int64)
+            meta = (n[r][i] << 33) | (p[i] << 2) | ((own[i] != a) * 2) | (a != z)
             which = r[i]
             for lo in range(0, len(i), 100_000):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[lo : lo + 100_000]) for x in cols), pa.array([wide[k] for k in which[lo : lo + 100_000].tolist()], pa.binary())], names)
+                w = which[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 100_000]), pa.array(sig[w]), pa.array(meta[lo : lo + 100_000]), pa.array(s0[w]), pa.array(s1[w]), pa.array([wide[k] for k in w.tolist()], pa.binary())], [x.split()[0] for x in POSTING.split(", ")])
 
     return sets.mapInArrow(run, POSTING)
 
@@ -259,6 +277,39 @@ def near_lists(group, t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def cross_lists(group, t: dict[str, np.ndarray], left: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate rows (i, j) of many lists at once, i of the left side and j of the right: sizes bound the stretch of the right list that each i meets."""
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(x) or not len(y):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    y = y[np.lexsort((t["size"][y], group[y]))]
+    size, pos, s0, s1 = t["size"].astype(np.int64), t["pos"].astype(np.int64), t["s0"].view(np.uint64), t["s1"].view(np.uint64)
+    top = int(size.max()) * den // num + 2
+    place = group[y].astype(np.int64) * top + size[y]
+    base = group[x].astype(np.int64) * top
+    # |x| - p must reach num / (num + den) * (|x| + |y|), which bounds the sizes of y from above
+    most = np.minimum(den * size[x] // num, ((num + den) * (size[x] - pos[x])) // num - size[x])
+    first = np.searchsorted(place, base - (-num * size[x] // den), "left")
+    count = np.maximum(0, np.searchsorted(place, base + np.maximum(most, 0), "right") - first)
+    running = np.concatenate([[0], np.cumsum(count)])
+    out_i, out_j = [], []
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(running, running[at] + 1_000_000, "right")) - 1)
+        c = count[at:to]
+        i = np.repeat(x[at:to], c)
+        j = y[np.repeat(first[at:to], c) + np.arange(int(c.sum())) - np.repeat(running[at:to] - running[at], c)]
+        both = size[i] + size[j]
+        ok = np.flatnonzero((size[j] - pos[j]) * (num + den) >= num * both)
+        i, j, both = i[ok], j[ok], both[ok]
+        bits = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+        ok = np.flatnonzero(bits * (num + den) <= (den - num) * both)
+        out_i.append(i[ok])
+        out_j.append(j[ok])
+        at = to
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def wide_filter(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which of the candidate rows the wide sketches, where both have one, don't exclude; equal classes are excluded."""
     keep = t["sig"][i] != t["sig"][j]
@@ -272,30 +323,32 @@ def wide_filter(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, num: int
     return np.flatnonzero(keep)
 
 
-def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of classes, a < b, that no bound excludes."""
+def candidates(entries: DataFrame, num: int, den: int, across: bool = False) -> DataFrame:
+    """(a, b): pairs of classes, a < b, that no bound excludes; ``across``: only those of which one has an odd key and the other an even one."""
 
     def answer(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """All candidates of complete lists, sorted by key and parts."""
-        n = len(t["key"])
-        change = np.flatnonzero((np.diff(t["key"]) != 0) | (np.diff(t["part_a"]) != 0) | (np.diff(t["part_b"]) != 0)) + 1
-        starts = np.concatenate([[0], change])
-        ends = np.concatenate([change, [n]])
+        """All candidates of complete lists, sorted by key."""
+        change = np.flatnonzero(np.diff(t["key"]) != 0) + 1
+        starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(t["key"])]])
         length = ends - starts
-        one = t["part_a"][starts] == t["part_b"][starts]
-        plain = one & (length <= LONG)
-        group = np.repeat(np.arange(len(starts)), length)
-        small = np.flatnonzero(np.repeat(plain, length))
-        i, j = near_lists(group[small], {k: t[k][small] for k in ("size", "pos", "s0", "s1")}, num, den)
+        t = t | {"size": t["meta"] >> 33, "pos": (t["meta"] >> 2) & 0x7FFFFFFF}
+        odd = t["sig"] & 1 == 1
+        plain = (t["meta"][starts] & 1 == 0) & (length <= LONG)
+        small = np.flatnonzero(np.repeat(plain & (length > 1), length))
+        group = np.repeat(np.arange(len(starts)), length)[small]
+        part = {k: t[k][small] for k in ("size", "pos", "s0", "s1")}
+        i, j = cross_lists(group, part, ~odd[small], num, den) if across else near_lists(group, part, num, den)
         found = [(small[i], small[j])]
         for g in np.flatnonzero(~plain):
             rows = np.arange(starts[g], ends[g])
-            if one[g]:
+            if t["meta"][starts[g]] & 1:
+                side = t["meta"][rows] & 2 == 0
+                found += compare(t, rows[side], rows[~side], odd)
+            elif across:
+                found += matches(List(t, rows[odd[rows]]), List(t, rows[~odd[rows]]), False, num, den)
+            else:
                 x = List(t, rows)
                 found += matches(x, x, True, num, den)
-            else:
-                left = t["side"][rows] == 0
-                found += matches(List(t, rows[left]), List(t, rows[~left]), False, num, den)
         i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         ok = wide_filter(t, i, j, num, den)
         a, b = t["sig"][i[ok]], t["sig"][j[ok]]
@@ -303,6 +356,11 @@ def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
         for lo in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[lo : lo + 100_000, k])) for k in (0, 1)], ["a", "b"])
 
+    def compare(t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, odd: np.ndarray) -> list:
+        if not across:
+            return matches(List(t, x), List(t, y), False, num, den)
+        return matches(List(t, x[odd[x]]), List(t, y[~odd[y]]), False, num, den) + matches(List(t, x[~odd[x]]), List(t, y[odd[y]]), False, num, den)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
@@ -313,8 +371,7 @@ def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
             if size < 200_000:
                 continue
             t = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            last = (t["key"] == t["key"][-1]) & (t["part_a"] == t["part_a"][-1]) & (t["part_b"] == t["part_b"][-1])
-            cut = int(np.argmax(last))
+            cut = int(np.argmax(t["key"] == t["key"][-1]))
             if cut:
                 yield from answer({k: v[:cut] for k, v in t.items()})
             held = [{k: v[cut:] for k, v in t.items()}]
@@ -322,8 +379,7 @@ def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
         if held and len(held[0]["key"]) + sum(len(h["key"]) for h in held[1:]):
             yield from answer({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
-    by = ["key", "part_a", "part_b"]
-    return entries.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -374,7 +430,7 @@ def similar_classes(stage: Stage, records: DataFrame, num: int = 3, den: int = 4
     # the kind is part of the class, so that equal sets of different kinds stay apart
     sets = sets.withColumn("sig", F.xxhash64("kind", "sig"))
     counts = count_tokens(sets)
-    found = stage.keep(candidates(postings(sets, counts, num, den), num, den), "candidates")
+    found = stage.keep(candidates(postings(sets, counts, num, den, list_lengths(sets, counts, num, den)), num, den), "candidates")
     links = stage.keep(verify(found, sets, num, den), "links")
     stage.drop("candidates")
     return sets.select("kind", "id", "sig").distinct(), links
