@@ -1,12 +1,16 @@
 """Bloom filters of 64-bit hashes, built without collecting the hashes.
 
-The filter's size is bounded by a parameter, whatever the number of hashes; a full filter only lets more through, so
-what is joined after it stays exact.
+A filter is used only while it is less than a quarter full, so it always keeps out most of what it should; for more hashes than the
+largest filter takes there is none, and ``shared`` joins the hashes by shuffle instead. What passes a filter is a superset, so what is
+joined after it is exact either way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,33 +19,51 @@ from pyspark.sql import functions as F
 MAX_BITS = 28
 
 
-def bits_for(n: int) -> int:
-    """Bits (as a power of two) for a filter of n hashes: 32 to 64 a hash, as far as MAX_BITS goes."""
-    return max(16, min(MAX_BITS, int(32 * max(1, n)).bit_length()))
+def bits_for(n: int, most: int = MAX_BITS) -> int | None:
+    """Bits (as a power of two) for a filter of n hashes: 8 to 16 a hash; None where ``most`` do not suffice."""
+    k = max(16, (8 * max(1, n) - 1).bit_length())
+    return k if k <= most else None
+
+
+def places(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    h = h.view(np.uint64)
+    return h & np.uint64((1 << k) - 1), h >> np.uint64(64 - k)
+
+
+def build(hashes: DataFrame, n: int, most: int = MAX_BITS) -> tuple[Broadcast, int] | None:
+    """(broadcast words, bits) of two probes a hash for at most ``n`` hashes in the first column; None for more than ``most`` bits hold.
 
+    Each partition sets its bits in an array of the filter's size; words are combined map-side, so at most 2 ** (MAX_BITS - 6) words
+    reach the driver.
+    """
+    k = bits_for(n, most)
+    if k is None:
+        return None
 
-def build(hashes: DataFrame, column: str) -> tuple[Broadcast, int]:
-    """(broadcast words, bits) of two probes a hash; at most 2 ** (MAX_BITS - 6) words reach the driver."""
-    spark = hashes.sparkSession
-    k = bits_for(hashes.count())
-    low = (1 << k) - 1
-    at = hashes.select(F.explode(F.array(F.col(column).bitwiseAND(F.lit(low)), F.shiftright(F.col(column), 64 - k).bitwiseAND(F.lit(low)))).alias("at"))
-    words = at.groupBy(F.expr("cast(shiftright(at, 6) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
-    got = words.toArrow()
-    table = np.zeros(1 << (k - 6), np.uint64)
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(table), k
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (k - 3), np.uint8)
+        for b in batches:
+            for at in places(b.column(0).to_numpy(), k):
+                np.bitwise_or.at(own, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        words = own.view(np.int64)
+        at = np.flatnonzero(words)
+        for lo in range(0, len(at), 100_000):
+            part = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], ["word", "bits"])
+
+    got = hashes.mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (k - 6), np.int64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table.view(np.uint8)), k
 
 
 def contains(table: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the filter."""
-    h = h.view(np.uint64)
-    low = np.uint64((1 << k) - 1)
-    a, b = h & low, h >> np.uint64(64 - k)
-    six, last, one = np.uint64(6), np.uint64(63), np.uint64(1)
-    first = (table[a >> six] >> (a & last)) & one == one
+    a, b = places(h, k)
+    three, last, one = np.uint64(3), np.uint64(7), np.uint8(1)
+    first = (table[a >> three] >> (a & last).astype(np.uint8)) & one == one
     at = np.flatnonzero(first)
     b = b[at]
     out = np.zeros(len(h), bool)
-    out[at] = (table[b >> six] >> (b & last)) & one == one
+    out[at] = (table[b >> three] >> (b & last).astype(np.uint8)) & one == one
     return out

@@ -2,9 +2,12 @@
 
 Spaced seeds: a window's hash ignores the token positions where its mask has a 0, so a seed also hits where single tokens
 were substituted. Test texts give hashes at every stride-th position, chosen so that each passage of the least length holds one;
-corpus windows, all of them, pass a bounded Bloom filter of the test hashes, and what is left is joined by hash.
+corpus windows, all of them, pass a bounded Bloom filter of the test hashes, and what is left is joined by hash. For more test hashes than the
+filter takes, bare windows (hash, text, position) are joined first, and only those that meet one are looked up in their texts.
 Both sides carry the tokens around their seed, as far as a passage through it can matter, so overlaps are
-verified in the join's rows, without another look at the texts.
+verified in the join's rows: the longest exact run, and the window of the least length with the most matching tokens.
+
+Equal texts of one side are one class, so a text that recurs any number of times is scanned and compared once.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import filters, tokens
 from plinth.llm.registry import query
-from plinth.runtime import Stage, table
+from plinth.runtime import Stage, ship, table
 
 
 @dataclass(frozen=True)
@@ -60,25 +63,25 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return tokens.mix(out)
 
 
-def around(h32: np.ndarray, lo: int, hi: int, at: int, kind: Kind) -> tuple[bytes, int]:
-    """Tokens of one text (between lo and hi) around a seed at ``at``, and where the seed lies in them."""
-    a, b = max(lo, at - kind.reach), min(hi, at + kind.span + kind.reach)
-    return h32[a:b].tobytes(), at - a
+FOUND = "seed bigint, rec bigint, kind int, context binary, at int"
 
 
-FOUND = "seed bigint, id string, kind int, context binary, at int"
+def binary(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """The stretches from ``lo`` to ``hi`` of ``words`` as one binary value each."""
+    n = hi - lo
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    flat = words[np.repeat(lo, n) + np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], n)]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def scan(batch: pa.RecordBatch, choose) -> pa.RecordBatch:
-    """Rows of FOUND for (id, text[, kind]); ``choose(kind index, seeds, position in text)`` says which windows stay."""
-    ids = batch.column(0).to_pylist()
-    only = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
-    cols: list[list] = [[], [], [], [], []]
-    texts = batch.column(1).to_pylist()
+def scan(batch: pa.RecordBatch, choose) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND for (rec, text[, kind or positions]); ``choose(kind index, seeds, position in text, row)`` says which windows stay."""
+    recs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+    only = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 and pa.types.is_integer(batch.column(2).type) else None
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (size < 2_000_000 or end == at):
+        while end < len(texts) and (size < 1_000_000 or end == at):
             size += len(texts[end] or "")
             end += 1
         doc, _, h = tokens.sequence(tokens.chars(texts[at:end]))
@@ -89,74 +92,106 @@ def scan(batch: pa.RecordBatch, choose) -> pa.RecordBatch:
             fits = np.flatnonzero(place + kind.span <= (bounds[doc + 1] - bounds[doc])) if len(h) else np.zeros(0, np.int64)
             if only is not None:
                 fits = fits[only[at + doc[fits]] == ki]
-            if not len(fits):
-                continue
-            for mi, mask in enumerate(kind.masks):
-                s = seeds(h, mask, 2 * ki + mi)
-                keep = fits[choose(ki, s[fits], place[fits])]
-                for i in keep.tolist():
-                    k = doc[i]
-                    context, where = around(h32, bounds[k], bounds[k + 1], i, kind)
-                    cols[0].append(s[i])
-                    cols[1].append(ids[at + k])
-                    cols[2].append(ki)
-                    cols[3].append(context)
-                    cols[4].append(where)
+            for mi, mask in enumerate(kind.masks) if len(fits) else ():
+                s = seeds(h, mask, 2 * ki + mi)[fits]
+                keep = np.flatnonzero(choose(ki, s, place[fits], at + doc[fits]))
+                i = fits[keep]
+                lo, hi = np.maximum(bounds[doc[i]], i - kind.reach), np.minimum(bounds[doc[i] + 1], i + kind.span + kind.reach)
+                yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(recs[at + doc[i]]), pa.array(np.full(len(i), ki, np.int32)), binary(h32, lo, hi), pa.array((i - lo).astype(np.int32))], ["seed", "rec", "kind", "context", "at"])
         at = end
-    seed = np.array(cols[0], np.uint64).view(np.int64) if cols[0] else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32())], ["seed", "id", "kind", "context", "at"])
 
 
 def test_seeds(items: DataFrame) -> DataFrame:
-    """Seeds of the test texts (id, text, kind)."""
+    """Seeds of the test texts (rec, text, kind): every stride-th window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # every stride-th window, and the last, of every text
-            yield scan(b, lambda k, s, place: place % KINDS[k].stride == 0)
+            yield from scan(b, lambda k, s, place, row: place % KINDS[k].stride == 0)
 
-    return items.select("id", "text", "kind").mapInArrow(run, FOUND)
+    return items.select("rec", "text", "kind").mapInArrow(run, FOUND)
 
 
-def corpus_seeds(corpus: DataFrame, bloom, bits: int) -> DataFrame:
-    """Seeds of all windows of the corpus (id, text) that the filter lets through."""
+def corpus_seeds(corpus: DataFrame, probe: DataFrame, n: int, most: int) -> DataFrame:
+    """Seeds of the windows of the corpus (rec, text) that test seeds may equal."""
+    held = filters.build(probe.select("seed"), n, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bloom.value
         for b in batches:
-            yield scan(b, lambda k, s, place: filters.contains(words, bits, s))
+            yield from scan(b, lambda k, s, place, row: filters.contains(held[0].value, held[1], s))
+
+    if held is not None:
+        return corpus.select("rec", "text").mapInArrow(run, FOUND)
+
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spots: list[np.ndarray] = []
+
+            def note(k, s, place, row):
+                spots.append(place)
+                return np.ones(len(s), bool)
+
+            for got, place in zip(scan(b, note), spots, strict=False):
+                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(place.astype(np.int32))], ["seed", "rec", "place"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            where = [set(p) for p in b.column(2).to_pylist()]
+            yield from scan(b, lambda k, s, place, row: np.fromiter((p in where[r] for p, r in zip(place.tolist(), row.tolist(), strict=True)), bool, len(s)))
+
+    met = corpus.select("rec", "text").mapInArrow(bare, "seed bigint, rec bigint, place int").join(probe.select("seed").distinct(), "seed", "left_semi")
+    return corpus.join(met.groupBy("rec").agg(F.collect_set("place").alias("places")), "rec").select("rec", "text", "places").mapInArrow(again, FOUND)  # places of one text
 
-    return corpus.select("id", "text").mapInArrow(run, FOUND)
 
+def aligned(context: pa.Array, at: np.ndarray, kind: Kind) -> np.ndarray:
+    """The contexts as rows of one width with their seeds in the same column; 0 where a text does not reach."""
+    n = np.array([len(x) // 4 for x in context.to_pylist()], np.int64)
+    flat = np.frombuffer(b"".join(context.to_pylist()), np.uint32)
+    out = np.zeros((len(n), 2 * kind.reach + kind.span), np.uint32)
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(kind.reach - at, n)] = flat
+    return out
 
-def run_length(a: np.ndarray, i: int, b: np.ndarray, j: int, span: int) -> tuple[int, int]:
-    """(longest exact run, tokens that match) of the two contexts, aligned at their seeds."""
-    left, right = min(i, j), min(len(a) - i, len(b) - j)
-    same = a[i - left : i + right] == b[j - left : j + right]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-    best = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-    return best, int(same.sum())
 
+def overlap_of(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(longest exact run, most matching tokens in ``least`` consecutive ones) of aligned contexts."""
+    same = (x == y) & (x != 0)
+    run = np.zeros(len(same), np.int32)
+    best = run.copy()
+    for c in range(same.shape[1]):
+        run = np.where(same[:, c], run + 1, 0)
+        best = np.maximum(best, run)
+    total = np.concatenate([np.zeros((len(same), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
+    return best.astype(np.int32), (total[:, least:] - total[:, :-least]).max(axis=1).astype(np.int32)
 
-def overlaps(test: DataFrame, corpus: DataFrame, stage: Stage) -> DataFrame:
-    """(test_id, corpus_id, kind, run, same): best exact run and tolerant overlap of each pair that shares a seed.
+
+def overlaps(test: DataFrame, corpus: DataFrame, stage: Stage, most: int = filters.MAX_BITS) -> DataFrame:
+    """(test_id, corpus_id, kind, run, same): longest exact run and best tolerant window of each pair that shares a seed.
 
     ``test``: id, text, kind (index into KINDS); ``corpus``: id, text. Null and empty texts have no seeds; repeated rows of
-    an id count once.
+    an id count once. An exact run is complete up to the least length and the reach beyond it; ``same`` is the most matching tokens in as many
+    consecutive aligned ones as the least length has. ``most``: as of ``filters``.
     """
-    probe = stage.keep(test_seeds(test.filter("id is not null and text is not null")).distinct(), "test")
-    bloom, bits = filters.build(probe.select("seed"), "seed")
-    hits = corpus_seeds(corpus.filter("id is not null and text is not null"), bloom, bits)
-    joined = hits.withColumnsRenamed({"id": "corpus_id", "context": "c2", "at": "at2"}).join(probe.withColumnRenamed("id", "test_id"), ["seed", "kind"]).select("test_id", "corpus_id", "kind", "context", "at", "c2", "at2")
+    ship(test.sparkSession)
+    test = stage.keep(test.filter("id is not null and text is not null").withColumn("rec", F.xxhash64("text", "kind")).select("rec", "id", "text", "kind"), "items")
+    corpus = corpus.filter("id is not null and text is not null").withColumn("rec", F.xxhash64("text"))
+    member = stage.keep(corpus.select("rec", "id").distinct(), "member")
+    probe = stage.keep(test_seeds(test.dropDuplicates(["rec"])).distinct(), "test")
+    hits = corpus_seeds(corpus.select("rec", "text"), probe, probe.count(), most)
+    joined = hits.withColumnsRenamed({"rec": "c", "context": "c2", "at": "at2"}).join(probe.withColumnRenamed("rec", "t"), ["seed", "kind"]).select("t", "c", "kind", "context", "at", "c2", "at2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = b.column(2).to_pylist()
-            got = [run_length(np.frombuffer(x, np.uint32), i, np.frombuffer(y, np.uint32), j, KINDS[k].span) for k, x, i, y, j in zip(kinds, b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())], ["test_id", "corpus_id", "kind", "run", "same"])
+            kinds = b.column(2).to_numpy()
+            for ki, kind in enumerate(KINDS):
+                mine = b.filter(pa.array(kinds == ki))
+                if len(mine):
+                    best, same = overlap_of(aligned(mine.column(3), mine.column(4).to_numpy(), kind), aligned(mine.column(5), mine.column(6).to_numpy(), kind), kind.least)
+                    yield pa.RecordBatch.from_arrays([*mine.columns[:3], pa.array(best), pa.array(same)], ["t", "c", "kind", "run", "same"])
 
-    pairs = joined.mapInArrow(run, "test_id string, corpus_id string, kind int, run int, same int")
-    return pairs.groupBy("test_id", "corpus_id", "kind").agg(F.max("run").alias("run"), F.max("same").alias("same"))
+    # a window of the corpus that meets many copies of the test text's wording comes with each; pairs of classes are made one before ids are joined
+    pairs = joined.mapInArrow(run, "t bigint, c bigint, kind int, run int, same int").groupBy("t", "c", "kind").agg(F.max("run").alias("run"), F.max("same").alias("same"))
+    named = pairs.join(test.select(F.col("rec").alias("t"), F.col("id").alias("test_id")).distinct(), "t").join(member.select(F.col("rec").alias("c"), F.col("id").alias("corpus_id")), "c")
+    return named.groupBy("test_id", "corpus_id", "kind").agg(F.max("run").alias("run"), F.max("same").alias("same"))
 
 
 def test_texts(spark, d: str) -> DataFrame:
@@ -188,8 +223,12 @@ def p2_found(spark, d):
     return leaks(spark, d).filter(F.col("run") >= least).select(F.col("test_id").alias("benchmark_id"), F.col("corpus_id").alias("chunk_id")).distinct()
 
 
+#: Share of a window of the least length that must match in a tolerant overlap: 10 of 12 tokens, 20 of 24.
+TOLERANT = 5 / 6
+
+
 @query("p2_overlaps")
 def p2_overlaps(spark, d):
-    """Overlaps with substitutions: aligned tokens that match, for pairs whose share reaches three quarters of the least length."""
+    """Overlaps with substitutions: pairs with at least TOLERANT of the tokens alike in one aligned window of the least length."""
     least = F.element_at(F.array(*[F.lit(k.least) for k in KINDS]), F.col("kind") + 1)
-    return leaks(spark, d).filter(F.col("same") >= 0.75 * least).select(F.col("test_id").alias("benchmark_id"), F.col("corpus_id").alias("chunk_id"), "run", "same", (F.col("run") >= least).alias("exact"))
+    return leaks(spark, d).filter(F.col("same") >= TOLERANT * least).select(F.col("test_id").alias("benchmark_id"), F.col("corpus_id").alias("chunk_id"), "run", "same", (F.col("run") >= least).alias("exact"))
