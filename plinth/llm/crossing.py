@@ -1,18 +1,18 @@
 """Problem 7: same or near-same records across splits.
 
-The texts, concatenated, have a suffix at every token. Suffixes are ranked by prefix doubling: the hash of the first 2k tokens
-comes from those of k. Ranked by their first m tokens and partitioned by that rank, suffixes with a common prefix of
-m tokens or more stand together. Suffixes are sampled by their own rank, alike in every text. Train suffixes pass a
-bounded Bloom filter of the held-out ones before they are shuffled. The shared spans of a held-out and a train text are merged into
-the pair's coverage (the share of the shorter text's sampled suffixes that the other has too), and pairs with enough of it are
-checked by their token sets.
-
-A pair that shares no such span (reordered items, a word replaced in every few, short clauses) is found by the exact set join of
-held-out and train texts, which goes by their rare tokens. Either way a pair is only a candidate until its token sets are compared, so
-sample, least prefix and coverage decide where a pair is found, not whether.
-
-Records with equal token sets are one class on each side throughout, so a crowd of copies costs no more than one text. A suffix that very
-many held-out and train texts begin alike (boilerplate) says little and would pair them all: such ranks take no part.
+The texts, concatenated, have a suffix at every token. A suffix's rank among all is that of its first m tokens, then of its first 2m, 4m and
+so on to its end, hashes that prefix doubling gives within the text's row. Ordered by these ranks and partitioned by ranges of them, the
+suffixes form an array in which those with a common prefix of m tokens or more stand together, the longer its common
+prefix the closer. Suffixes whose first m tokens occur on one side only have no such partner and leave before the order is made
+(two Bloom filters, or a join of the hashes where these would be too full).
+
+Each held-out suffix is compared with its neighbours from train, above and below, also beyond the range's edge. Their common prefixes are
+shared spans, which are merged per text to the share of it that train covers; texts that are neighbours are candidate pairs. Only neighbours
+meet, so a passage that a third of all texts begin with costs no more than its length.
+
+A pair need not have a long common span (reordered items, a word replaced in every few, one of many copies), so the exact set
+join of held-out and train texts, which goes by their rare tokens, gives all pairs that its bounds do not exclude, too. Either
+way a pair is only a candidate until its token sets are compared. Records with equal token sets are one class on each side.
 """
 
 from __future__ import annotations
@@ -21,22 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm import filters, sets, tokens
 from plinth.llm.registry import query
 from plinth.llm.splits import plain, split_name
-from plinth.runtime import Stage, table
+from plinth.runtime import Stage, ship, table
 
-#: Least common prefix in tokens, and one in how many suffixes is sampled: for suffixes that begin with a word, with a CJK character.
-LEAST, SAMPLE = (8, 16), (2, 2)
-#: Short texts, whose spans between edits are shorter, have all suffixes sampled, also with a shorter prefix; tiny ones also their single tokens. Their partners may be a third longer.
-SHORT, SHORT_LEAST, TINY = (24, 54), (4, 10), 10
-#: Share of the shorter text's sampled suffixes that a pair must have in common to be checked.
-COVERAGE = 0.1
-#: Ranks with more pairs of a held-out and a train text than this are boilerplate.
-HOT = 4_000_000
+#: m, the least common prefix in tokens: of suffixes that begin with a word, with a CJK character.
+LEAST = (8, 16)
+SUFFIX = "ranks array<bigint>, rec bigint, at int, m int, size int"
 
 
 def joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
@@ -44,132 +39,182 @@ def joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
     return tokens.mix(a * np.uint64(0x9E3779B97F4A7C15) + np.roll(b, -shift) + np.uint64(shift))
 
 
-def ranks(h: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of the first 1, 4, 8, 10 and 16 tokens of each suffix, by doubling."""
-    two = joined(h, h, 1)
-    four = joined(two, two, 2)
-    eight = joined(four, four, 4)
-    return {1: tokens.mix(h + np.uint64(5)), 4: four, 8: eight, 10: joined(eight, two, 8), 16: joined(eight, eight, 8)}
-
-
-def suffixes(texts: DataFrame, bloom=None, bits: int = 0) -> DataFrame:
-    """(h, rec, total) of the distinct ranks of sampled suffixes of texts (rec, text); total: how many its text has."""
-
-    def part(recs: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
-        c = tokens.chars(texts)
-        doc, at, h = tokens.sequence(c)
-        cjk = (c.cls[at] == 2).astype(np.int64)
-        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        length, left = np.diff(bounds)[doc], bounds[doc + 1] - np.arange(len(doc))
-        rank = ranks(h)
-        own, keys = [], []
-        for kind, (m, every, short, few) in enumerate(zip(LEAST, SAMPLE, SHORT, SHORT_LEAST, strict=True)):
-            # whether a text is short does not depend on the suffix, so that both texts of a pair are sampled alike
-            w = rank[m]
-            i = np.flatnonzero((cjk == kind) & (left >= m) & (((w >> np.uint64(7)) % np.uint64(every) == 0) | (3 * length < 4 * short)))
-            own.append(i)
-            keys.append(w[i])
-            i = np.flatnonzero((cjk == kind) & (left >= few) & (3 * length < 4 * short))
-            own.append(i)
-            keys.append(rank[few][i])
-        i = np.flatnonzero(3 * length < 4 * TINY)
-        own, key = np.concatenate([*own, i]), np.concatenate([*keys, rank[1][i]])
-        # a repeated passage has each of its ranks once, in the total as in what is shared
-        order = np.lexsort((key, doc[own]))
-        d, key = doc[own][order], key[order]
-        fresh = np.ones(len(d), bool)
-        fresh[1:] = (d[1:] != d[:-1]) | (key[1:] != key[:-1])
-        d, key = d[fresh], key[fresh]
-        total = np.bincount(d, minlength=len(texts))
-        if bloom is not None:
-            through = filters.contains(bloom.value, bits, key)
-            d, key = d[through], key[through]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(recs[d]), pa.array(total[d].astype(np.int32))], ["h", "rec", "total"])
+def first_rank(h: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of the first LEAST tokens of each suffix, by doubling."""
+    out, width = {}, 1
+    while width < max(LEAST):
+        h = joined(h, h, width)
+        width *= 2
+        out[width] = h
+    return {m: out[m] for m in LEAST}
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
+    """(recs, texts) of at most some million characters at once; a text that comes again in the partition is left out."""
+    seen: set[int] = set()
+    for b in batches:
+        recs, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+        fresh = []
+        for i, r in enumerate(recs.tolist()):
+            if r not in seen:
+                seen.add(r)
+                fresh.append(i)
+        if len(seen) > 500_000:
+            seen.clear()
+        at = 0
+        while at < len(fresh):
+            end, size = at, 0
+            while end < len(fresh) and (size < 2_000_000 or end == at):
+                size += len(texts[fresh[end]] or "")
+                end += 1
+            mine = fresh[at:end]
+            yield recs[mine], [texts[i] for i in mine]
+            at = end
+
+
+def begin(texts: list) -> tuple[np.ndarray, ...]:
+    """(text, its first suffix, its length, hash, m, rank) of each suffix of texts; rank is that of the first m tokens, suffixes shorter than m have m = 0."""
+    doc, at, h = tokens.sequence(c := tokens.chars(texts))
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    left = bounds[doc + 1] - np.arange(len(doc))
+    r = first_rank(h)
+    cjk = c.cls[at] == 2
+    m = np.where(cjk, LEAST[1], LEAST[0])
+    return doc, bounds[doc], np.diff(bounds)[doc], h, np.where(left >= m, m, 0), np.where(cjk, r[LEAST[1]], r[LEAST[0]])
+
+
+def first_ranks(texts: DataFrame) -> DataFrame:
+    """(h) of every suffix of texts (rec, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            recs, ts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            fresh = []
-            for i, r in enumerate(recs.tolist()):
-                if r not in seen:
-                    seen.add(r)
-                    fresh.append(i)
-            if len(seen) > 500_000:
-                seen.clear()
-            at = 0
-            while at < len(fresh):
-                end, size = at, 0
-                while end < len(fresh) and (size < 2_000_000 or end == at):
-                    size += len(ts[fresh[end]] or "")
-                    end += 1
-                mine = fresh[at:end]
-                yield part(recs[mine], [ts[i] for i in mine])
-                at = end
-
-    return texts.select("rec", "text").mapInArrow(run, "h bigint, rec bigint, total int")
-
-
-def shared_spans(held: DataFrame, train: DataFrame) -> DataFrame:
-    """(a, b, coverage): pairs of a held-out and a train class with common prefixes of suffixes."""
-    x = held.dropDuplicates(["h", "rec"]).withColumnsRenamed({"rec": "a", "total": "ta"})
-    y = train.dropDuplicates(["h", "rec"]).withColumnsRenamed({"rec": "b", "total": "tb"})
-    pairs = x.join(y, "h").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("ta", "tb")).alias("least"))
-    return pairs.select("a", "b", (F.col("n") / F.col("least")).alias("coverage"))
-
-
-def boilerplate(held: DataFrame, train: DataFrame) -> DataFrame:
-    """(h) of the ranks that would pair more than HOT texts."""
-    x = held.groupBy("h").agg(F.count(F.lit(1)).alias("a")).filter("a > 1")
-    y = train.groupBy("h").agg(F.count(F.lit(1)).alias("b"))
-    return x.join(y, "h").filter(F.col("a").cast("double") * F.col("b") > HOT).select("h")
+        for _, ts in slices(batches):
+            *_, m, rank = begin(ts)
+            yield pa.RecordBatch.from_arrays([pa.array(rank[m > 0].view(np.int64))], ["h"])
+
+    return texts.select("rec", "text").mapInArrow(run, "h bigint")
+
+
+def suffixes(texts: DataFrame, held: tuple | None) -> DataFrame:
+    """Rows of SUFFIX of the suffixes of texts (rec, text) whose first rank the filter ``held``, if there is one, lets through; m: tokens of the first rank, size: tokens of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for recs, ts in slices(batches):
+            doc, first, size, h, m, rank = begin(ts)
+            keep = m > 0
+            if held is not None:
+                keep[keep] = filters.contains(held[0].value, held[1], rank[keep])
+            i = np.flatnonzero(keep)
+            # the first 2m, 4m, ... tokens, as far as the text goes
+            left = (size - (np.arange(len(doc)) - first))[i]
+            levels = np.floor(np.log2(np.maximum(left, 1) / m[i])).astype(np.int64) + 1
+            offsets = np.concatenate([[0], np.cumsum(levels)])
+            flat = np.zeros(int(offsets[-1]), np.uint64)
+            flat[offsets[:-1]] = rank[i]
+            width, r = 1, h
+            while len(i) and width * 2 <= left.max():
+                r = joined(r, r, width)
+                width *= 2
+                k = np.flatnonzero((width > m[i]) & (width <= left))
+                flat[offsets[k] + np.log2(width // m[i][k]).astype(np.int64)] = r[i[k]]
+            ranks = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ranks, pa.array(recs[doc[i]]), pa.array((np.arange(len(doc)) - first)[i].astype(np.int32)), pa.array(m[i].astype(np.int32)), pa.array(size[i].astype(np.int32))], ["ranks", "rec", "at", "m", "size"])
+
+    return texts.select("rec", "text").mapInArrow(run, SUFFIX)
+
+
+def partnered(stage: Stage, texts: DataFrame, about: int, most: int) -> DataFrame:
+    """SUFFIX and kind of the suffixes of held-out (kind 0) and train (kind 1) texts whose first m tokens occur on both sides, or nearly only these; ``about``: how many suffixes are held out."""
+    held, train = texts.filter("kind = 0"), texts.filter("kind = 1")
+    bloom = filters.build(first_ranks(held), about, most)
+    if bloom is None:
+        first = F.col("ranks")[0] == F.col("h")
+        x = suffixes(held, None).join(first_ranks(train).distinct(), first, "left_semi")
+        y = suffixes(train, None).join(first_ranks(held).distinct(), first, "left_semi")
+    else:
+        y = stage.keep(suffixes(train, bloom), "train")
+        x = suffixes(held, filters.build(y.select(F.col("ranks")[0].alias("h")), about, most))
+    return x.withColumn("kind", F.lit(0)).unionByName(y.withColumn("kind", F.lit(1)))
+
+
+def neighbours(stage: Stage, rows: DataFrame) -> DataFrame:
+    """Held-out suffixes with ``near``, the suffixes (ranks, rec) of train that stand next above and below each in the order (null at the ends)."""
+    order = ["ranks", "rec", "at"]
+    ranged = stage.keep(rows.repartitionByRange(*order).withColumn("p", F.spark_partition_id()), "order")
+    of_train = F.struct("ranks", "rec")
+    # what stands beyond a range's edges: one row per range
+    edge = ranged.groupBy("p").agg(*[F.expr(f"{f}(case when kind = 1 then struct(ranks, rec) end, case when kind = 1 then struct(ranks, rec, at) end)").alias(n) for f, n in (("min_by", "low"), ("max_by", "high"))])
+    before = [Window.partitionBy().orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("p"), F.desc("p"))]
+    edge = edge.select("p", F.last("high", True).over(before[0]).alias("above"), F.last("low", True).over(before[1]).alias("below"))
+    up, down = (Window.partitionBy("p").orderBy(*[o(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc, F.desc))
+    of_train = F.when(F.col("kind") == 1, of_train)
+    met = ranged.withColumn("up", F.last(of_train, True).over(up)).withColumn("down", F.last(of_train, True).over(down)).filter("kind = 0").join(edge, "p")
+    return met.select("rec", "at", "m", "size", "ranks", F.array(F.coalesce("up", "above"), F.coalesce("down", "below")).alias("near"))
+
+
+def common_prefixes(stage: Stage, texts: DataFrame, about: int, most: int = filters.MAX_BITS) -> DataFrame:
+    """(rec, at, size, partner, n): held-out text ``rec`` of ``size`` tokens has from its token ``at`` a prefix of at least n tokens in common with train's text ``partner`` (less than 2n with any)."""
+    rows = neighbours(stage, partnered(stage, texts, about, most)).select("rec", "at", "m", "size", "ranks", F.explode("near").alias("t"))
+    # equal ranks are those of the common prefixes of m, 2m, 4m, ... tokens
+    k = F.size(F.filter(F.zip_with("ranks", "t.ranks", lambda a, b: a.eqNullSafe(b)), lambda x: x))
+    out = rows.withColumn("k", k).filter("k > 0").select("rec", "at", "size", F.col("t.rec").alias("partner"), F.expr("m * shiftleft(1, k - 1)").alias("n"))
+    return stage.keep(out, "prefixes")
+
+
+def merged_spans(prefixes: DataFrame) -> DataFrame:
+    """(rec, size, start, stop): stretches of tokens of each held-out text that train has, without gaps or overlaps.
+
+    Every suffix within a shared passage that has m tokens left of it stands in the order, so the union of the prefixes is the passage.
+    """
+    one = prefixes.groupBy("rec", "at").agg(F.max("size").alias("size"), F.max(F.col("at") + F.col("n")).alias("stop"))
+    by_text = Window.partitionBy("rec").orderBy("at")  # a group is one text's positions
+    fresh = F.when(F.col("at") <= F.max("stop").over(by_text.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    parts = one.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(by_text))
+    return parts.groupBy("rec", "part").agg(F.max("size").alias("size"), F.min("at").alias("start"), F.max("stop").alias("stop")).drop("part")
 
 
 def by_sets(stage: Stage, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b, of the held-out and train classes (kind, sig, toks) that no bound of the exact set join excludes: no similar pair is missing."""
-    every = classes.withColumn("side", F.col("kind")).withColumn("kind", F.lit(0))
+    """(a, b), a < b, of the held-out and train classes (kind, sig, toks) that no bound of the exact set join excludes: no similar pair is missing.
+
+    The last bit of ``sig`` is the side; two sides of one list are compared, never a side with itself.
+    """
+    every = classes.withColumn("kind", F.lit(0))
     counts = sets.count_tokens(every)
-    held = stage.keep(sets.postings(every.filter("side = 0"), counts, num, den), "held-first")
-    bloom, bits = filters.build(held.select("key").distinct(), "key")
+    entries = sets.postings(every, counts, num, den, sets.list_lengths(every, counts, num, den))
+    return sets.candidates(entries, num, den, across=True)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.take(pa.array(np.flatnonzero(filters.contains(bloom.value, bits, b.column(0).to_numpy()))))
 
-    train = sets.postings(every.filter("side = 1"), counts, num, den).mapInArrow(shared, sets.POSTING)
-    return sets.candidates(held.unionByName(train), num, den).filter("(a ^ b) & 1 = 1")
+def prepare(stage: Stage, records: DataFrame, most: int = filters.MAX_BITS) -> dict[str, DataFrame]:
+    """Staged tables of the records: ``member`` (id, rec, kind), ``classes`` (sig, toks), ``known`` (rec, kind, sig, n) and ``prefixes``."""
+    ship(records.sparkSession)
+    rows = records.filter("id is not null and split is not null and text is not null").withColumn("rec", F.xxhash64("text")).withColumn("kind", (F.col("split") == "train").cast("int"))
+    member = stage.keep(rows.select("id", "rec", "kind").distinct(), "member")
+    # equal sets of one side are one class; the last bit of its key is the side
+    classes = stage.keep(sets.tokenise(rows.select("kind", F.col("rec").cast("string").alias("id"), "text")), "sets").withColumn("sig", F.expr("(sig & -2L) | kind"))
+    known = stage.keep(classes.groupBy("kind", F.col("id").cast("bigint").alias("rec"), "sig").agg(F.first(F.expr("length(toks) div 4")).alias("n")), "known")
+    about = known.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    return {"member": member, "classes": classes, "known": known, "prefixes": common_prefixes(stage, rows.select("kind", "rec", "text"), about, most)}
 
 
-def crossing(stage: Stage, records: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+def crossing(stage: Stage, records: DataFrame, num: int = 3, den: int = 4, most: int = filters.MAX_BITS) -> DataFrame:
     """(held_id, train_id) of all pairs whose token sets have ``num`` / ``den`` of their union in common.
 
     ``records``: id, text, split; null splits and other values than train, validation and test take no part. Texts
-    without tokens are similar to none. Repeated rows of a record count once.
+    without tokens are similar to none. Repeated rows of a record count once. ``most``: as of ``filters``.
     """
-    rows = records.filter("id is not null and split is not null and text is not null").withColumn("rec", F.xxhash64("text")).withColumn("kind", (F.col("split") == "train").cast("int"))
-    member = stage.keep(rows.select("id", "rec", "kind").distinct(), "member")
-    # equal sets of one side are one class; the last bit of its key is the side
-    classes = stage.keep(sets.tokenise(rows.select("kind", F.col("rec").cast("string").alias("id"), "text")), "sets")
-    classes = classes.withColumn("sig", F.expr("(sig & -2L) | kind"))
-    known = stage.keep(classes.select("kind", F.col("id").cast("bigint").alias("rec"), "sig").distinct(), "known")
-    held = stage.keep(suffixes(rows.filter("kind = 0")), "held")
-    bloom, bits = filters.build(held.select("h"), "h")
-    train = stage.keep(suffixes(rows.filter("kind = 1"), bloom, bits), "train")
-    hot = stage.keep(boilerplate(held, train), "hot")
-    crowded = hot.limit(1).count() > 0
-    x, y = (held.join(hot, "h", "left_anti"), train.join(hot, "h", "left_anti")) if crowded else (held, train)
-    spans = shared_spans(x, y).filter(F.col("coverage") >= COVERAGE).select("a", "b")
-    x, y = (known.filter(f"kind = {k}").select(F.col("rec").alias(r), F.col("sig").alias(s)) for k, r, s in ((0, "a", "x"), (1, "b", "y")))
-    spans = stage.keep(spans.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "spans")
-    stage.drop("held")
-    stage.drop("train")
-    # what shares no long enough or sampled span comes from the set join; each pair is verified once
-    near = stage.keep(spans.unionByName(by_sets(stage, classes, num, den)).distinct(), "near")
-    stage.drop("held-first")
-    links = stage.keep(sets.verify(near, classes, num, den), "links")
-    for name in ("spans", "near", "sets"):
-        stage.drop(name)
-    ids = member.join(known, ["rec", "kind"]).select("id", "sig").distinct()
+    return similar_across(stage, prepare(stage, records, most), num, den)
+
+
+def similar_across(stage: Stage, t: dict[str, DataFrame], num: int, den: int) -> DataFrame:
+    """Pairs of ``crossing`` from its prepared tables."""
+    known = t["known"]
+    x, y = (known.filter(f"kind = {k}").select(F.col("rec").alias(r), F.col("sig").alias(s), F.col("n").alias(n)) for k, r, s, n in ((0, "rec", "x", "nx"), (1, "partner", "y", "ny")))
+    # neighbours in the suffix order whose sets may be similar by their sizes
+    spans = t["prefixes"].select("rec", "partner").distinct().join(x, "rec").join(y, "partner").filter(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
+    spans = spans.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    near = stage.keep(spans.unionByName(by_sets(stage, t["classes"], num, den)).distinct(), "near")
+    links = stage.keep(sets.verify(near, t["classes"], num, den), "links")
+    stage.drop("near")
+    ids = t["member"].join(known, ["rec", "kind"]).select("id", "sig").distinct()
     ways = links.select(F.when(F.expr("a & 1 = 0"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.expr("a & 1 = 0"), F.col("b")).otherwise(F.col("a")).alias("y"))
     met = ways.join(ids.select(F.col("sig").alias("x"), F.col("id").alias("held_id")), "x").join(ids.select(F.col("sig").alias("y"), F.col("id").alias("train_id")), "y")
     return met.select("held_id", "train_id").filter("held_id <> train_id").distinct()
@@ -185,9 +230,25 @@ def p7_found(spark, d):
     return pairs.select(F.least("held_id", "train_id").alias("sample_id_a"), F.greatest("held_id", "train_id").alias("sample_id_b")).distinct()
 
 
+def record_coverage(stage: Stage, t: dict[str, DataFrame]) -> DataFrame:
+    """(held_id, coverage, longest): share of each held-out record's tokens in spans that train has, too, and its longest such span; records without one are not listed."""
+    by_text = merged_spans(t["prefixes"]).groupBy("rec").agg((F.sum(F.col("stop") - F.col("start")) / F.max("size")).alias("coverage"), F.max(F.col("stop") - F.col("start")).alias("longest"))
+    return t["member"].filter("kind = 0").join(by_text, "rec").groupBy(F.col("id").alias("held_id")).agg(F.max("coverage").alias("coverage"), F.max("longest").alias("longest"))
+
+
+@query("p7_coverage")
+def p7_coverage(spark, d):
+    """(held_id, coverage, longest) of every held-out record that shares a span with train."""
+    stage = Stage(spark, "p7c")
+    return record_coverage(stage, prepare(stage, sft_records(spark, d)))
+
+
 @query("p7_report")
 def p7_report(spark, d):
-    """Per split and source of the held-out record: records, those that overlap train, and pairs."""
+    """Per split and source of the held-out record: records, those that overlap train, pairs, records that share a span with train, and the mean share that spans cover."""
+    stage = Stage(spark, "p7r")
+    t = prepare(stage, sft_records(spark, d))
     sft = table(spark, d, "sft_sample").select(F.col("sample_id").alias("held_id"), split_name(F.col("split")).alias("split"), F.translate(plain(F.col("source_type")), "-", "_").alias("source_type")).filter("split <> 'train'").dropDuplicates(["held_id"])
-    pairs = crossing(Stage(spark, "p7r"), sft_records(spark, d)).groupBy("held_id").agg(F.count(F.lit(1)).alias("pairs"))
-    return sft.join(pairs, "held_id", "left").groupBy("split", "source_type").agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    pairs = similar_across(stage, t, 3, 4).groupBy("held_id").agg(F.count(F.lit(1)).alias("pairs"))
+    rows = sft.join(pairs, "held_id", "left").join(record_coverage(stage, t), "held_id", "left")
+    return rows.groupBy("split", "source_type").agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.count("coverage").alias("sharing"), F.avg(F.coalesce("coverage", F.lit(0.0))).alias("mean_coverage"))
