@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with short cuts."""
+"""Connected components by minimum labels; nodes of one label become one node for the next round."""
 
 from __future__ import annotations
 
@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 from plinth.runtime import Stage
 
 
-def connected(stage: Stage, pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, label): least node that is linked with each node of ``pairs``; about log(longest chain) rounds.
+def connected(stage: Stage, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label): least node that is linked with each node of ``pairs``. Null ends and loops link nothing.
 
-    Minima are combined before each shuffle, and hot keys of the joins are split by adaptive execution. Raises if the labels do not settle.
+    In each round every node takes the least label of itself and its neighbours, least by a hash, so that a chain in the order of its ids is none in that of the
+    labels; nodes with one label become one, and edges between them vanish. What is left shrinks geometrically, also where a hub has a third
+    of all links, and the rounds end when no edge is left. Minima are combined before each shuffle; a hub's rows in a join are split by adaptive execution.
     """
-    e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    edges = stage.keep(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = stage.keep(edges.groupBy("x").agg(F.least("x", F.min("y")).alias("label")).withColumnRenamed("x", "node"), "label0")
-    for k in range(1, max_rounds):
-        near = edges.join(labels.withColumnsRenamed({"node": "y"}), "y").select(F.col("x").alias("node"), "label")
-        hop = labels.join(labels.select(F.col("label").alias("up"), F.col("node").alias("label")), "label").select("node", F.col("up").alias("label"))
-        root = near.join(labels.withColumnRenamed("label", "own"), "node").select(F.col("own").alias("node"), "label").filter("label < node")
-        every = labels.withColumn("old", F.col("label"))
-        for part in (near, hop, root):
-            every = every.unionByName(part, allowMissingColumns=True)
-        new = stage.keep(every.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), f"label{k}")
-        moved = new.filter("label < old").limit(1).count()
-        stage.drop(f"label{k - 1}")
-        labels = new.select("node", "label")
-        if not moved:
-            stage.drop("edges")
-            return labels
-    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+    ends = lambda e: e.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    edges = stage.keep(ends(pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))), "edges0")
+    maps: list[DataFrame] = []
+    while edges.limit(1).count():
+        k = len(maps)
+        both = edges.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y")
+        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+        near = both.groupBy("x").agg(F.min(rank("y")).alias("best"))
+        maps.append(stage.keep(near.select(F.col("x").alias("node"), F.least(rank("x"), "best")["n"].alias("up")), f"map{k}"))
+        x, y = (maps[k].withColumnsRenamed({"node": c, "up": f"u{c}"}) for c in "xy")
+        edges = stage.keep(ends(edges.join(x, "x").join(y, "y").select(F.col("ux").alias("x"), F.col("uy").alias("y"))), f"edges{k + 1}")
+        stage.drop(f"edges{k}")
+    if not maps:
+        return edges.select(F.col("x").alias("node"), F.col("y").alias("label"))
+    label = maps[-1]
+    for one in reversed(maps[:-1]):
+        label = one.join(label.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+    label = stage.keep(label, "tops")
+    least = label.groupBy("up").agg(F.min("node").alias("label"))
+    return label.join(least, "up").select("node", "label")
