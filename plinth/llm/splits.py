@@ -6,7 +6,7 @@ label's own label taken as a short cut, so that a chain of n links settles in ab
 entities all stand in its row, so the record's half step needs no shuffle: what is kept between
 rounds is one row for each distinct pair (entity, least entity of one of its records).
 
-Groups then get a split by largest shortage, in strata, see ``assign``.
+Groups then get a split by largest shortage, in strata, see ``assign``: groups of like size and strata form one class, whose members are dealt out together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.registry import query
-from plinth.operators.ranking import hash_key
+from plinth.operators.components import connected
+from plinth.operators.ranking import bucketed_rank, hash_key
 from plinth.runtime import Stage, table
 
 #: Values that link nothing, after trimming and lower-casing.
@@ -48,30 +49,9 @@ def entities(group: Column, refs: Column) -> Column:
     return F.array_distinct(F.transform(F.array_compact(keys), lambda k: F.xxhash64(k)))
 
 
-def components(stage: Stage, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(ent, label): the least entity that is linked with ``ent``; links: distinct (ent, top).
-
-    Hot entities are no trouble: minima are combined before each shuffle, and a join's hot key is
-    split by adaptive execution. Raises if ``max_rounds`` do not settle the labels.
-    """
-    both = links.select(F.col("ent").alias("a"), F.col("top").alias("b"))
-    edges = stage.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = stage.keep(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("ent"), "label"), "labels0")
-    for k in range(1, max_rounds):
-        near = edges.join(labels.withColumnsRenamed({"ent": "b", "label": "lb"}), "b").select(F.col("a").alias("ent"), F.col("lb").alias("label"))
-        # the label's label: the entity that stands for the label so far
-        hop = labels.join(labels.select(F.col("ent").alias("label"), F.col("label").alias("up")), "label").select("ent", F.col("up").alias("label"))
-        # what a neighbour has learnt goes to the entity that stands for it, too
-        stands = near.join(labels.withColumnRenamed("label", "own"), "ent").select(F.col("own").alias("ent"), "label").filter("label < ent")
-        new = labels.withColumn("old", F.col("label")).unionByName(near.withColumn("old", F.lit(None).cast("bigint"))).unionByName(hop.withColumn("old", F.lit(None).cast("bigint"))).unionByName(stands.withColumn("old", F.lit(None).cast("bigint")))
-        new = stage.keep(new.groupBy("ent").agg(F.min("label").alias("label"), F.max("old").alias("old")), f"labels{k}")
-        moved = new.filter("old is null or label < old").limit(1).count()
-        stage.drop(f"labels{k - 1}")
-        labels = new.select("ent", "label")
-        if not moved:
-            stage.drop("edges")
-            return labels
-    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+def components(stage: Stage, links: DataFrame) -> DataFrame:
+    """(ent, label): the least entity that is linked with ``ent``; links: (ent, top)."""
+    return connected(stage, links, "ent", "top").withColumnRenamed("node", "ent")
 
 
 def linked_records(records: DataFrame, key: str, group: str, refs: str, stage: Stage, carry: dict[str, Column]) -> DataFrame:
@@ -101,39 +81,50 @@ def broken_sets(spark, d: str) -> DataFrame:
     return placed.join(bad, "set_id", "left_semi").select(F.col("rec").alias("sample_id")).unionByName(lone.select(F.col("rec").alias("sample_id"))).distinct()
 
 
-def assign(groups: DataFrame, targets: list[tuple[str, int]], strata: list[str], seed: int = 42, shards: int = 4096, head: int = 2000) -> DataFrame:
-    """Adds ``new_split`` to (set_id, n, *strata counts) so that shares and strata come near the targets.
+def deal(counts: tuple[int, ...], many: int, totals: tuple[int, ...], shares: list[float], have: list[list[float]], pieces: int) -> list[int]:
+    """How many of ``many`` equal groups each split gets, dealt in at most ``pieces`` (and as many as there are splits) steps to where the squared deviation of sizes and strata from their targets rises least."""
+    out = [0] * len(shares)
+    left = many
+    while left:
+        n = max(1, left // pieces) if left > pieces else 1
 
-    The ``head`` largest groups, a bounded number, are placed one by one on the driver, each where it
-    least raises the squared deviation of the split sizes and of the stratum counts from their
-    targets. The many small rest go by seeded hash in ``shards`` shards: the shards' summed counts, at most
-    ``shards`` rows, are placed the same way after the head, largest first.
-    """
-    totals = groups.agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in strata]).first()
-    top = groups.orderBy(F.desc("n"), "set_id").limit(head)
-    big = [(r["set_id"], (r["n"], *[r[s] for s in strata])) for r in top.collect()]
-    least = groups.sparkSession.createDataFrame([(b[0],) for b in big], "set_id bigint")
-    shard = F.pmod(hash_key(seed, "set_id"), F.lit(shards).cast("bigint"))
-    rest = groups.join(F.broadcast(least), "set_id", "left_anti").withColumn("shard", shard)
-    small = [(r["shard"], (r["n"], *[r[s] for s in strata])) for r in rest.groupBy("shard").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in strata]).collect()]
-    names, shares = [t[0] for t in targets], [t[1] / max(1, sum(t[1] for t in targets)) for t in targets]
-    want = [[(x or 0) * s for x in totals] for s in shares]
-    have = [[0.0] * (1 + len(strata)) for _ in names]
+        def worse(i: int, n: int = n) -> float:
+            return sum(((h + n * c - t * shares[i]) ** 2 - (h - t * shares[i]) ** 2) / max(t, 1) / max(shares[i], 1e-9) for h, c, t in zip(have[i], counts, totals, strict=True))
 
-    def place(counts) -> str:
-        def worse(i: int) -> float:
-            return sum(((h + c - w) ** 2 - (h - w) ** 2) / max(t or 0, 1) / max(shares[i], 1e-9) for h, c, w, t in zip(have[i], counts, want[i], totals, strict=True))
+        i = min(range(len(shares)), key=lambda j: (worse(j), j))
+        have[i] = [h + n * c for h, c in zip(have[i], counts, strict=True)]
+        out[i] += n
+        left -= n
+    return out
 
-        i = min(range(len(names)), key=lambda j: (worse(j), j))
-        have[i] = [h + c for h, c in zip(have[i], counts, strict=True)]
-        return names[i]
 
-    by_set = [(k, place(c)) for k, c in sorted(big, key=lambda x: (-x[1][0], x[0]))]
-    by_shard = [(k, place(c)) for k, c in sorted(small, key=lambda x: (-x[1][0], x[0]))]
+def assign(stage: Stage, groups: DataFrame, targets: list[tuple[str, int]], strata: list[str], seed: int = 42, digits: int = 2, pieces: int = 64) -> DataFrame:
+    """(set_id, new_split) of groups (set_id, n, *strata counts) so that shares and strata come near the targets.
+
+    Groups whose counts agree in their leading ``digits`` binary places form a class; there are no more classes than (places x 2^digits) for each count, however many
+    groups. Classes are placed on the driver, those of the largest groups first: their members are dealt to the splits where they
+    least raise the squared deviation of split sizes and stratum counts from their targets. Which members go where is the rank of a
+    seeded hash within the class. All groups go this one way, whatever their number and sizes.
+    """
+    places = lambda c: F.when(F.col(c) > 0, F.floor(F.log2(F.col(c).cast("double")) * (1 << (digits - 1)))).otherwise(-1).cast("int")
+    kind = F.array(*[places(c) for c in ("n", *strata)])
+    rows = stage.keep(groups.withColumn("kind", kind).withColumn("key", hash_key(seed, "set_id")), "kinds")
+    sums = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in strata]).collect()
+    names, shares = [t[0] for t in targets], [t[1] / max(1, sum(t[1] for t in targets)) for t in targets]
+    totals = tuple(sum(r[c] or 0 for r in sums) for c in ("n", *strata))
+    have = [[0.0] * len(totals) for _ in names]
+    where = []
+    for r in sorted(sums, key=lambda r: (-r["n"] / r["many"], list(r["kind"]))):
+        mean = tuple((r[c] or 0) / r["many"] for c in ("n", *strata))
+        upto = 0
+        for name, n in zip(names, deal(mean, r["many"], totals, shares, have, pieces), strict=True):
+            if n:
+                where.append((list(r["kind"]), upto, upto + n, name))
+                upto += n
     spark = groups.sparkSession
-    at_top = groups.join(F.broadcast(spark.createDataFrame(by_set, "set_id bigint, new_split string")), "set_id").select("set_id", "new_split")
-    below = rest.join(F.broadcast(spark.createDataFrame(by_shard, "shard bigint, new_split string")), "shard").select("set_id", "new_split")
-    return at_top.unionByName(below)
+    spans = spark.createDataFrame(where, "kind array<int>, above bigint, upto bigint, new_split string")
+    ranked = bucketed_rank(rows.select("set_id", "kind", "key"), ["kind"], "key", ["set_id"])
+    return ranked.join(F.broadcast(spans), "kind").filter("rank_no > above and rank_no <= upto").select("set_id", "new_split")
 
 
 @query("p1_found")
@@ -153,8 +144,9 @@ def p1_splits(spark, d):
     placed = stage.keep(placed.withColumn("set_id", F.coalesce("set_id", F.xxhash64(F.lit("r:"), "rec"))), "records")
     levels = ["easy", "medium", "hard", "expert"]
     groups = stage.keep(placed.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("level") == v).alias(v) for v in levels]), "groups")
-    targets = [(r["split_name"], r["target_pct"]) for r in table(spark, d, "split_target").orderBy(F.desc("target_pct"), "split_name").limit(100).collect()]
-    where = assign(groups, targets, levels)
+    # split_target bounds what is collected: a split is a name and a share
+    targets = [(r["split_name"], r["target_pct"]) for r in table(spark, d, "split_target").filter("split_name is not null and target_pct > 0").orderBy(F.desc("target_pct"), "split_name").collect()]
+    where = assign(stage, groups, targets, levels)
     return placed.join(where, "set_id").select(F.col("rec").alias("sample_id"), "set_id", "present", "new_split")
 
 

@@ -54,7 +54,7 @@ def test_long_chain_settles(spark):
 
 def test_groups_stay_whole_and_near_targets(spark):
     groups = spark.range(3000).select(F.col("id").alias("set_id"), F.when(F.col("id") == 0, 900).otherwise(1 + F.col("id") % 3).cast("bigint").alias("n")).withColumn("easy", F.expr("n div 2"))
-    got = splits.assign(groups, [("train", 80), ("validation", 10), ("test", 10)], ["easy"], head=50)
+    got = splits.assign(Stage(spark, "t"), groups, [("train", 80), ("validation", 10), ("test", 10)], ["easy"])
     assert got.count() == 3000 and got.select("set_id").distinct().count() == 3000
     n = {r["new_split"]: r["n"] for r in got.join(groups, "set_id").groupBy("new_split").agg(F.sum("n").alias("n")).collect()}
     total = sum(n.values())
