@@ -59,9 +59,18 @@ def bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
 
 
+#: No placeholder or label has as many letters and digits.
+MOST = 64
+
+
 def is_empty(a: str) -> bool:
-    if len(a) >= 80:
-        return not any(c.isalnum() for c in a)
+    """Nothing but blanks, punctuation, labels and placeholders, however long."""
+    n = 0
+    for c in a:
+        if c.isalnum():
+            n += 1
+            if n > MOST:
+                return False
     b = bare(a)
     return b == "" or (b in PLACEHOLDERS and not re.fullmatch(r"\s*A[.)。]?\s*", a)) or bare(LABEL.sub("", a)) == ""
 
@@ -124,7 +133,7 @@ def language(text: str) -> str | None:
                 return name
     if zh >= 4 and zh * 4 > len(text) - zh:
         return "zh"
-    en = sum(map(len, LATIN.findall(CODE.sub(" ", text) if len(text) < 200 else text)))
+    en = sum(map(len, LATIN.findall(CODE.sub(" ", text))))
     if zh >= 4 and zh * 4 > en:
         return "zh"
     if en >= 16 and zh * 12 < en:
@@ -147,41 +156,31 @@ LEADS = re.compile(r"^\s*(?:(?:the|your) (?:question|instruction|task|prompt) (?
 
 
 def is_copy(q: str, a: str) -> bool:
+    """Whether the answer, after a lead-in of less than half of it, is made of the prompt's own passages; eight tokens at least."""
     y = tokens(a)
     if len(y) < 8:
         return False
     x = tokens(q)
     known = set(x)
-    if sum(t not in known for t in y) > 12:
-        return False
-    for lead in (0, *range(1, min(13, len(y) // 2))):
-        rest = y[lead:]
-        if len(rest) < 8:
-            break
-        if covered(x, rest):
-            return True
-    return False
-
-
-def covered(x: list[str], rest: list[str], run: int = 6) -> bool:
-    """Whether ``rest`` is made of passages of ``x``, each of ``run`` tokens or more (the last may be shorter)."""
-    if rest[0] not in x:
-        return False
-    at, n = 0, len(x)
-    while at < len(rest):
-        best = 0
-        for i in range(n):
-            if x[i] == rest[at]:
-                k = 1
-                while i + k < n and at + k < len(rest) and x[i + k] == rest[at + k]:
-                    k += 1
-                best = max(best, k)
-        if best < run and at + best < len(rest):
-            return False
-        if best == 0:
-            return False
-        at += best
-    return True
+    # what the prompt does not have must be in the lead-in
+    new = max((i + 1 for i, t in enumerate(y) if t not in known), default=0)
+    made = covered(x, y)
+    return any(made[lead] for lead in range(new, (len(y) + 1) // 2) if len(y) - lead >= 8)
+
+
+def covered(x: list[str], y: list[str], run: int = 6) -> list[bool]:
+    """For each place of ``y`` whether the rest is made of passages of ``x``, each the longest there and of ``run`` tokens or more (the last may be shorter); in time of the two lengths' product at most."""
+    where: dict[str, list[int]] = {}
+    for i, t in enumerate(x):
+        where.setdefault(t, []).append(i)
+    made = [False] * len(y)
+    after: dict[int, int] = {}
+    for at in range(len(y) - 1, -1, -1):
+        after = {i: after.get(i + 1, 0) + 1 for i in where.get(y[at], ())}
+        best = max(after.values(), default=0)
+        end = at + best
+        made[at] = best > 0 and (end == len(y) or best >= run and made[end])
+    return made
 
 
 #: Words that no item consists of.
