@@ -25,6 +25,25 @@ def test_defects(q, a, want):
     assert pairs.defects(q, a) == want
 
 
+@pytest.mark.parametrize("n", [1, 5, 30, 79, 80, 100, 199, 205, 1000])
+def test_verdicts_do_not_change_with_length(n):
+    """Blanks, dots and repetition, whatever their number, change no verdict."""
+    assert pairs.defects(Q_ZH, "答案：" + " " * n) == ["empty_answer"] and pairs.defects(Q_EN, "N/A" + "." * n) == ["empty_answer"] and pairs.defects(Q_EN, "." * n) == ["empty_answer"]
+    mixed = "把 RTM-6 与 TG-800 在 180 MPa 下混合。"
+    assert pairs.language(mixed) == "zh" and pairs.language(mixed * n) == "zh"
+    lead = " ".join(f"well{i}" for i in range(min(n, 15)))
+    assert pairs.defects(Q_EN, f"{lead}: {Q_EN}") == ["question_copy"]
+
+
+def test_long_copies():
+    assert pairs.is_copy("a b c d e f g h", "a b c d e f g h " * 50_000) and not pairs.is_copy("a b c d e f g h", "a b a b " * 50_000)
+
+
+def kind(text):
+    m = quality.measure([text], COMMON, USUAL)[0]
+    return quality.kind_of(m)
+
+
 def test_null_prompt_and_long_text():
     assert pairs.defects(None, A_EN) == [] and pairs.defects(None, A_ZH) == []
     assert pairs.defects(Q_EN, A_EN * 20_000) == []
@@ -37,6 +56,8 @@ def test_flag(spark):
 
 
 COMMON = frozenset(["the", "of", "and", "is", "in", "a", "to", "的", "了", "在"])
+#: Letter pairs of ordinary words, as counted over all texts.
+USUAL = quality.np.ones(676, bool)
 PROSE = "The resin flows in the mould and the fibre is wetted. A void is left in the corner of the part, and the crew repairs it."
 
 
@@ -50,15 +71,15 @@ PROSE = "The resin flows in the mould and the fibre is wetted. A void is left in
     ],
 )
 def test_kinds(text, want):
-    assert quality.measure(text, COMMON)["text_kind"] == want
+    assert kind(text) == want
 
 
 def test_periodic_lines_are_items():
     """Unmarked items of long lines with an indented note each; prose of the same lines without the period stays prose."""
     item = "the stiff outer core of panel {} is held by the crew in the tool while the resin cures and then it is cut to size"
     text = "\n".join(f"{item.format(i)}\n    see the drawing of the panel {i}." for i in range(8))
-    assert quality.measure(text, COMMON)["text_kind"] == "list"
-    assert quality.measure("\n".join([item.format(i) for i in range(8)] + ["it is seen in the drawing."]), COMMON)["text_kind"] == "prose"
+    assert kind(text) == "list"
+    assert kind("\n".join([item.format(i) for i in range(8)] + ["it is seen in the drawing."])) == "prose"
 
 
 def test_statistics(spark):
@@ -68,6 +89,30 @@ def test_statistics(spark):
     assert quality.text_statistics(df.limit(0), "doc_id", "text", COMMON).count() == 0
 
 
+def test_weights_follow_labels_but_stay_near_the_start():
+    """Labels that contradict a clear text count little; many for doubtful texts move their verdict."""
+    rows = quality.measure([PROSE] * 40 + ["items:\n- stiff core\n- dry fibre\n- thin ply\n- hot tool"] * 40, COMMON, USUAL)
+    x = quality.np.array([quality.vector(m) for m in rows])
+    wrong = quality.fit(x, quality.np.array([quality.KINDS.index("table")] * 80))
+    assert [quality.kind_of(m, wrong) for m in (rows[0], rows[-1])] == ["prose", "list"]
+    doubt = dict(rows[0], list_share=0.48, prose_share=0.52)
+    taught = quality.fit(quality.np.array([quality.vector(doubt)] * 2000), quality.np.array([quality.KINDS.index("list")] * 2000))
+    assert quality.kind_of(doubt) == "prose" and quality.kind_of(doubt, taught) == "list"
+    assert (quality.fit(x[:0], quality.np.zeros(0, int)) == quality.START).all()
+
+
+@pytest.mark.parametrize("blanks", [0, 300, 500])
+def test_blanks_count_alike_in_short_and_long_texts(blanks):
+    assert kind("<b>&nbsp;</b>\t\t" * 20 + "\t " * blanks) == "junk"
+
+
+def test_letter_pairs_are_counted_over_all_texts(spark):
+    df = spark.createDataFrame([("there where these",)] * 20 + [("zqxj",), (None,)], "text string")
+    usual = quality.usual_pairs(df, "text")
+    at = lambda p: (ord(p[0]) - 97) * 26 + ord(p[1]) - 97
+    assert usual[at("he")] and usual[at("er")] and not usual[at("zq")] and not usual[at("qx")]
+
+
 def model(texts):
     return ocr.Model(*ocr.count_arrays(texts), {})
 
