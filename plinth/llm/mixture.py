@@ -3,12 +3,14 @@
 The budget, half of all tokens, is cut into equal blocks. Sainte-Laguë's method gives each block to the source with the
 highest quotient weight / (2 * blocks so far + 1) among those that still have tokens within their
 repeats; consecutive runs of blocks form the shards, so each shard has integer quotas near the target shares. A source
-fills its blocks with its documents in the order of a seeded hash, whole rounds first.
+lays its documents in the order of a seeded hash, round after round, over its blocks: each copy belongs to the block, and so to the shard, in
+which it begins. A source is short if the tokens that its repeats grant it are fewer than its share; the blocks it is denied go to others.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -35,25 +37,26 @@ def sainte_lague(weights: dict[str, int], caps: dict[str, int], seats: int) -> l
 
 
 def plan(spark, d: str) -> tuple[list[dict], list[str], int, DataFrame]:
-    """(report rows, seats, block size, documents with spelt source and size)."""
+    """(report rows, seats, block size, documents with spelt source and size). mix_target, a table that does not grow, bounds what is collected."""
     docs = table(spark, d, "documents").select("doc_id", spelling(F.col("source")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
     docs = Stage(spark, "p9").keep(docs, "sizes")
-    # mix_target bounds what is collected
     targets = table(spark, d, "mix_target").select("source_name", F.coalesce("target_pct", F.lit(0)).alias("target_pct"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), spelling(F.col("source_name")).alias("key")).filter("source_name is not null").dropDuplicates(["source_name"])
     sums = docs.filter("key is not null").groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("documents"))
-    rows = [r.asDict() for r in targets.join(sums, "key", "left").fillna(0, ["size", "documents"]).orderBy("source_name").limit(10_001).collect()]
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 sources in mix_target")
+    rows = [r.asDict() for r in targets.join(sums, "key", "left").fillna(0, ["size", "documents"]).orderBy("source_name").collect()]
     total = docs.agg(F.sum("size")).first()[0] or 0
     budget = total // 2
     block = max(1, -(-budget // BLOCKS))
     # the last, broken block of a source that is used up counts as one
     caps = {r["source_name"]: -(-r["size"] * r["max_repeats"] // block) for r in rows}
-    seats = sainte_lague({r["source_name"]: r["target_pct"] for r in rows}, caps, -(-budget // block) if budget else 0)
+    weights, number = {r["source_name"]: r["target_pct"] for r in rows}, -(-budget // block) if budget else 0
+    entitled = Counter(sainte_lague(weights, dict.fromkeys(weights, number), number))
+    seats = sainte_lague(weights, caps, number)
+    got = Counter(seats)
     for r in rows:
-        n = seats.count(r["source_name"])
-        most = r["size"] * r["max_repeats"]
-        r |= {"blocks": n, "quota": min(most, n * block), "short": 100 * most < r["target_pct"] * budget, "budget": budget}
+        s, most = r["source_name"], r["size"] * r["max_repeats"]
+        # hundredths of tokens: what the target asks for, and what of it the source can give
+        wanted, granted = r["target_pct"] * budget, min(r["target_pct"] * budget, 100 * most)
+        r |= {"blocks": got[s], "denied": max(0, entitled[s] - caps[s]), "quota": min(most, got[s] * block), "short": granted < wanted, "budget": budget}
     return rows, seats, block, docs
 
 
@@ -67,32 +70,37 @@ def p9_found(spark, d):
     return spark.createDataFrame([(r["source_name"],) for r in rows if r["short"]], "source_name string")
 
 
-@query("p9_shares")
-def p9_shares(spark, d):
-    """Each source's planned blocks, quota, and the share that its chosen documents have in the mix."""
-    rows, _, _, _ = plan(spark, d)
-    kinds = "source_name string, target_pct int, max_repeats int, documents bigint, size bigint, blocks bigint, quota bigint, short boolean, budget bigint"
-    head = spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in rows], kinds)
-    got = p9_mix(spark, d).groupBy("source_name").agg(F.sum(F.col("size") * F.col("times")).alias("mixed"))
-    out = head.join(got, "source_name", "left").fillna(0, ["mixed"])
-    whole = out.agg(F.sum("mixed").alias("whole"))
-    return out.crossJoin(F.broadcast(whole)).select("*", F.expr("try_divide(100 * mixed, whole)").alias("actual_pct")).drop("whole")  # whole is one row
-
-
-@query("p9_mix")
-def p9_mix(spark, d, seed: int = 42):
-    """(source_name, doc_id, size, times, shard): how often each chosen document comes; shard of its first copy."""
-    rows, seats, block, docs = plan(spark, d)
+def mix(spark, rows: list[dict], seats: list[str], block: int, docs: DataFrame, seed: int = 42) -> DataFrame:
+    """(source_name, doc_id, copy_no, size, shard), one row per copy of each chosen document."""
     per = max(1, -(-len(seats) // SHARDS))
-    nth: dict[str, int] = {}
+    nth: Counter = Counter()
     where = []
     for i, s in enumerate(seats):
-        where.append((s, nth.get(s, 0), i // per))
-        nth[s] = nth.get(s, 0) + 1
-    kinds = "source_name string, key string, rounds bigint, rest bigint"
-    quota = spark.createDataFrame([(r["source_name"], r["key"], r["quota"] // r["size"], r["quota"] % r["size"]) for r in rows if r["quota"] > 0], kinds)
+        where.append((s, nth[s], i // per))
+        nth[s] += 1
+    quota = spark.createDataFrame([(r["source_name"], r["key"], r["quota"], r["size"]) for r in rows if r["quota"] > 0], "source_name string, key string, quota bigint, whole bigint")
     ranked = bucketed_rank(docs.join(F.broadcast(quota.select("key").distinct()), "key", "left_semi").withColumn("h", hash_key(seed, "doc_id")), ["key"], "h", ["doc_id"], F.col("size"))
-    out = ranked.join(F.broadcast(quota), "key").withColumn("times", F.col("rounds") + F.when(F.col("size_before") < F.col("rest"), 1).otherwise(0)).filter("times > 0")
+    # where each copy begins: whole rounds before it, then the documents before it; at most max_repeats copies
+    begins = F.col("copy_no") * F.col("whole") + F.col("size_before")
+    copies = ranked.join(F.broadcast(quota), "key").withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(quota - 1) div whole"))))
+    copies = copies.withColumn("begins", begins).filter("begins < quota").withColumn("seat", F.expr(f"begins div {block}"))
     seat = spark.createDataFrame(where, "source_name string, seat bigint, shard bigint")  # at most BLOCKS rows
-    out = out.withColumn("seat", F.expr(f"size_before div {block}"))
-    return out.join(F.broadcast(seat), ["source_name", "seat"], "left").select("source_name", "doc_id", "size", "times", F.coalesce("shard", F.lit(0)).alias("shard"))
+    return copies.join(F.broadcast(seat), ["source_name", "seat"]).select("source_name", "doc_id", F.col("copy_no") + 1, "size", "shard").toDF("source_name", "doc_id", "copy_no", "size", "shard")
+
+
+@query("p9_mix")
+def p9_mix(spark, d):
+    """Each copy of each chosen document with its shard."""
+    return mix(spark, *plan(spark, d))
+
+
+@query("p9_shares")
+def p9_shares(spark, d):
+    """Each source's planned and denied blocks, quota, and the share that its chosen copies have in the mix."""
+    made = plan(spark, d)
+    kinds = "source_name string, target_pct int, max_repeats int, documents bigint, size bigint, blocks bigint, denied bigint, quota bigint, short boolean, budget bigint"
+    head = spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in made[0]], kinds)
+    got = mix(spark, *made).groupBy("source_name").agg(F.sum("size").alias("mixed"))
+    out = head.join(got, "source_name", "left").fillna(0, ["mixed"])
+    whole = out.agg(F.sum("mixed").alias("whole"))
+    return out.crossJoin(F.broadcast(whole)).select("*", F.expr("try_divide(100 * mixed, whole)").alias("actual_pct")).drop("whole")  # whole is one row
