@@ -16,7 +16,7 @@ from plinth.operators.ranking import bucketed_rank, hash_key
 from plinth.runtime import Stage, spelling, table
 
 FIELDS = ("source_type", "task_type", "difficulty")
-#: Families of categories; a category that is not named is a family of its own.
+#: Families of the categories of these tables, the default of a parameter; a category that is not named is a family of its own.
 FAMILIES = {
     "source_type": {"written": ["text", "knowledge_unit"], "tested": ["exam", "benchmark_candidate"], "agents": ["agent_task", "dtcg_trace", "error_repair"]},
     "task_type": {"answers": ["qa", "explanation", "comparison"], "reasoning": ["process_reasoning", "error_diagnosis", "constraint_satisfaction"], "exams": ["exam_single_choice", "exam_true_false", "exam_short_answer"], "transforms": ["information_extraction", "translation"]},
@@ -43,7 +43,7 @@ def pour(amount: int, rooms: list[tuple[str, int, int]]) -> dict[str, int]:
 
 
 def allocate(size: int, targets: list[dict], families: dict[str, list[str]]) -> list[dict]:
-    """One row per target of one field: wanted, quota and what came from or went to others.
+    """One row per target of one field: wanted, what the category grants of it itself (own), its quota, and what of that came from others.
 
     ``targets``: category, target_pct, min_records, available. Minima and shares may add up to more
     than ``size``; the sample is then as much larger.
@@ -51,7 +51,7 @@ def allocate(size: int, targets: list[dict], families: dict[str, list[str]]) ->
     family = {c: f for f, cs in families.items() for c in cs}
     rows = [t | {"family": family.get(t["category"], t["category"]), "wanted": max(t["min_records"], t["target_pct"] * size // 100)} for t in targets]
     for r in rows:
-        r["quota"] = min(r["wanted"], r["available"])
+        r["own"] = r["quota"] = min(r["wanted"], r["available"])
     names = sorted({r["family"] for r in rows})
     for level in ("siblings", "cousins"):
         for f in names if level == "siblings" else [None]:
@@ -64,24 +64,21 @@ def allocate(size: int, targets: list[dict], families: dict[str, list[str]]) ->
     return rows
 
 
-def report(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """(allocation, members): quota of every target, and each record's (field, category, id)."""
+def report(spark, d: str, families: dict = FAMILIES) -> tuple[DataFrame, DataFrame]:
+    """(allocation, members): quota of every target, and each record's (field, category, id). sample_target, a table that does not grow, bounds what is collected."""
     sft = table(spark, d, "sft_sample").filter("sample_id is not null").select("sample_id", *[spelling(F.col(c)).alias(c) for c in FIELDS])
     # a record that comes again counts once
     members = Stage(spark, "p5").keep(sft.groupBy("sample_id").agg(*[F.min(c).alias(c) for c in FIELDS]), "records")
     long = members.select("sample_id", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in FIELDS]), F.array(*FIELDS))).alias("field_name", "category"))
     counts = long.groupBy("field_name", "category").agg(F.count(F.lit(1)).alias("available"))
-    # sample_target and the categories it names are few (bounded by that table, checked here)
     targets = table(spark, d, "sample_target").select("field_name", "category", "target_pct", "min_records").dropDuplicates(["field_name", "category"])
-    known = targets.withColumn("key", spelling(F.col("category"))).join(counts.withColumnRenamed("category", "key"), ["field_name", "key"], "left").fillna(0, ["available", "target_pct", "min_records"]).limit(100_001).collect()
-    if len(known) > 100_000:
-        raise ValueError("more than 100,000 targets")
+    known = targets.withColumn("key", spelling(F.col("category"))).join(counts.withColumnRenamed("category", "key"), ["field_name", "key"], "left").fillna(0, ["available", "target_pct", "min_records"]).collect()
     size = members.count() // 5
     rows = []
     for field in sorted({r["field_name"] for r in known if r["field_name"] is not None}):
         part = [r.asDict() for r in known if r["field_name"] == field and r["category"] is not None]
-        rows += [r for r in allocate(size, part, FAMILIES.get(field, {}))]
-    schema = "field_name string, category string, key string, family string, target_pct int, min_records int, available bigint, wanted bigint, quota bigint, from_siblings bigint, from_cousins bigint"
+        rows += [r for r in allocate(size, part, families.get(field, {}))]
+    schema = "field_name string, category string, key string, family string, target_pct int, min_records int, available bigint, wanted bigint, own bigint, quota bigint, from_siblings bigint, from_cousins bigint"
     names = [c.split()[0] for c in schema.split(", ")]
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema), long
 
@@ -96,7 +93,7 @@ WHERE coalesce(c.n, 0) < greatest(t.min_records, t.target_pct * ((SELECT count(*
 
 @query("p5_found", SHORT_SQL)
 def p5_found(spark, d):
-    return report(spark, d)[0].filter("available < wanted").select("field_name", "category")
+    return report(spark, d)[0].filter("own < wanted").select("field_name", "category")
 
 
 @query("p5_report")
