@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.registry import query
-from plinth.runtime import Stage, table
+from plinth.runtime import Stage, ship, table
 
 DIMS, BITS, FEATURES = 3, 10, 4096
 #: Bytes of text whose vectors are computed at once.
@@ -136,11 +136,10 @@ def pack(spark, docs: DataFrame, key: str, text: str, specs: DataFrame, window:
 
     A document is divided only if its size exceeds the capacity; then all its pieces but the last fill a container.
     Sizes are UTF-8 bytes, the tokens of the public byte-level ByT5 tokenizer without end mark. Empty
-    and null texts are items of size 0. Specs with null or non-positive capacity are left out; no specs give no rows.
+    and null texts are items of size 0. Specs with null or non-positive capacity are left out; no specs give no rows; they are a table that does not grow.
     """
-    want = [(r[0], int(r[1])) for r in specs.select("container_name", "capacity_tokens").filter("capacity_tokens > 0").distinct().orderBy("container_name", "capacity_tokens").limit(1001).collect()]
-    if len(want) > 1000:
-        raise ValueError("more than 1000 container specs")
+    ship(spark)
+    want = [(r[0], int(r[1])) for r in specs.select("container_name", "capacity_tokens").filter("capacity_tokens > 0").distinct().orderBy("container_name", "capacity_tokens").collect()]
     placed = Stage(spark, "p8").keep(place_on_curve(docs, key, text), "curve")
     ranged = placed.withColumn("tie", F.xxhash64("key")).repartitionByRange("curve", "tie").sortWithinPartitions("curve", "tie", "key").select("key", "size")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.registry import query
-from plinth.runtime import table
+from plinth.runtime import ship, table
 
 DEFECTS = ("empty_answer", "refusal", "wrong_language", "question_copy", "truncated")
 
@@ -273,6 +273,7 @@ def flag(pairs: DataFrame) -> DataFrame:
             keep = pa.array([bool(x) for x in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], ["record_type", "record_id", "defects"]).filter(keep)
 
+    ship(pairs.sparkSession)
     return pairs.select("record_type", "record_id", "prompt", "answer").mapInArrow(run, "record_type string, record_id string, defects array<string>")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import tokens
 from plinth.llm.registry import query
-from plinth.runtime import Stage, table
+from plinth.runtime import Stage, ship, table
 
 #: Cells of the sketch of token counts: eight a set, between these powers of two (4 to 16 MB are broadcast); entries of an index list that are one part.
 LEAST_CELLS, MOST_CELLS, PART = 20, 22, 16_384
@@ -426,6 +426,7 @@ def similar_classes(stage: Stage, records: DataFrame, num: int = 3, den: int = 4
     Similarity is Jaccard, at least ``num`` / ``den``. Records without tokens (null, empty, only punctuation) are similar
     to none and have no class; rows that repeat an id with the same text are one record.
     """
+    ship(records.sparkSession)
     sets = stage.keep(tokenise(records.filter("id is not null")), "sets")
     # the kind is part of the class, so that equal sets of different kinds stay apart
     sets = sets.withColumn("sig", F.xxhash64("kind", "sig"))
@@ -469,7 +470,7 @@ def p4_found(spark, d):
 
 @query("p4_groups")
 def p4_groups(spark, d):
-    """(record_type, record_id, class_id, group_id, copies): class of equal sets, and group of all that links reach."""
+    """(record_type, record_id, class_id, group_id, copies, links): class of equal sets and its number of records, group of all that links reach, and how many other classes are similar."""
     from plinth.llm.splits import components
 
     stage = Stage(spark, "p4g")
@@ -477,5 +478,13 @@ def p4_groups(spark, d):
     labels = components(stage, links.select(F.col("b").alias("ent"), F.col("a").alias("top")))
     members = stage.keep(members, "members")
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
-    out = members.join(sizes, "sig").join(labels.select(F.col("ent").alias("sig"), "label"), "sig", "left")
-    return out.select(kind_name(F.col("kind")).alias("record_type"), F.col("id").alias("record_id"), F.col("sig").alias("class_id"), F.coalesce("label", "sig").alias("group_id"), "copies")
+    many = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
+    out = members.join(sizes, "sig").join(labels.select(F.col("ent").alias("sig"), "label"), "sig", "left").join(many, "sig", "left")
+    return out.select(kind_name(F.col("kind")).alias("record_type"), F.col("id").alias("record_id"), F.col("sig").alias("class_id"), F.coalesce("label", "sig").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query("p4_links")
+def p4_links(spark, d):
+    """(class_a, class_b): similar pairs of class representatives, class_a < class_b; with the classes of p4_groups no copies need be paired."""
+    _, links = similar_classes(Stage(spark, "p4l"), sft_texts(spark, d).unionByName(chunk_texts(spark, d)), 4, 5)
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))

@@ -82,9 +82,9 @@ def broken_sets(spark, d: str) -> DataFrame:
 
 
 def deal(counts: tuple[int, ...], many: int, totals: tuple[int, ...], shares: list[float], have: list[list[float]], pieces: int) -> list[int]:
-    """How many of ``many`` equal groups each split gets, dealt in at most ``pieces`` (and as many as there are splits) steps to where the squared deviation of sizes and strata from their targets rises least."""
+    """How many of ``many`` equal groups each split gets, dealt in shrinking steps, ``pieces`` for each split and size, to where the squared deviation of sizes and strata from their targets rises least."""
     out = [0] * len(shares)
-    left = many
+    left, pieces = many, pieces * len(shares)
     while left:
         n = max(1, left // pieces) if left > pieces else 1
 
@@ -98,7 +98,7 @@ def deal(counts: tuple[int, ...], many: int, totals: tuple[int, ...], shares: li
     return out
 
 
-def assign(stage: Stage, groups: DataFrame, targets: list[tuple[str, int]], strata: list[str], seed: int = 42, digits: int = 2, pieces: int = 64) -> DataFrame:
+def assign(stage: Stage, groups: DataFrame, targets: list[tuple[str, int]], strata: list[str], seed: int = 42, digits: int = 2, pieces: int = 32) -> DataFrame:
     """(set_id, new_split) of groups (set_id, n, *strata counts) so that shares and strata come near the targets.
 
     Groups whose counts agree in their leading ``digits`` binary places form a class; there are no more classes than (places x 2^digits) for each count, however many

@@ -137,6 +137,32 @@ def test_sainte_lague():
     assert mixture.sainte_lague({}, {}, 5) == []
 
 
+def test_each_copy_has_the_shard_it_begins_in(spark):
+    """Shard quotas are met up to one document, also for a source that is repeated."""
+    docs = spark.createDataFrame([(i, "small" if i < 30 else "large", 10 + i % 7) for i in range(400)], "doc_id bigint, key string, size bigint")
+    sums = {r["key"]: r["n"] for r in docs.groupBy("key").agg(F.sum("size").alias("n")).collect()}
+    block, seats = 40, mixture.sainte_lague({"S": 50, "L": 50}, {"S": 24, "L": 100}, 48)
+    rows = [{"source_name": n, "key": k, "size": sums[k], "quota": min(seats.count(n) * block, 3 * sums[k])} for n, k in (("S", "small"), ("L", "large"))]
+    got = mixture.mix(spark, rows, seats, block, docs).collect()
+    per, quota = defaultdict(int), Counter()
+    for r in got:
+        per[r["source_name"], r["shard"]] += r["size"]
+    for i, s in enumerate(seats):
+        quota[s, i // -(-len(seats) // mixture.SHARDS)] += block
+    assert all(abs(per[k] - n) <= 2 * 17 for k, n in quota.items()) and set(per) <= set(quota)
+    copies = Counter((r["source_name"], r["doc_id"]) for r in got)
+    assert max(copies.values()) <= 3 and len({(r["source_name"], r["doc_id"], r["copy_no"]) for r in got}) == len(got)
+    assert {r["copy_no"] for r in got if r["source_name"] == "S"} == {1, 2, 3}
+
+
+def test_every_split_gets_its_share(spark):
+    """As many splits as the target table has, more than a hundred, too."""
+    groups = spark.range(20_000).select(F.col("id").alias("set_id"), (1 + F.col("id") % 3).cast("bigint").alias("n"))
+    got = splits.assign(Stage(spark, "t"), groups, [(f"s{i:03d}", 1) for i in range(120)], [])
+    n = [r["n"] for r in got.join(groups, "set_id").groupBy("new_split").agg(F.sum("n").alias("n")).collect()]
+    assert len(n) == 120 and sum(n) == 39_999 and max(n) - min(n) <= 40
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_queries_on_the_small_tables(spark, sf):
     import os
