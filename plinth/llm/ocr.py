@@ -1,10 +1,14 @@
 """Problem 3: noise in text from scanned pages.
 
-All texts give counts of words and of neighbouring CJK characters (a count-min sketch of fixed size) and skip-gram vectors: for each
-hashed word, its counts of hashed words within two places, as pointwise mutual information. Character confusions come
-from the repairs that cleaned chunks record, beside a few fixed ones. In a pending chunk, page furniture is found by form, page
-numbers and titles that the file repeats; then each rare word is linked to frequent neighbours by plausible glyph edits, and the
-neighbour that fits the context best is the correction. What is left is reflowed into paragraphs.
+All texts give counts of words and of neighbouring CJK characters (a count-min sketch whose size follows the data up to a bound) and how often words,
+and CJK characters as words of their own, occur within two places of each other. From these sums the driver learns skip-gram vectors: by
+gradient steps on the skip-gram objective with negative sampling, in expectation over all pairs, so that every row of the input counts
+and no sample is drawn. What is misread for what is learnt too: from the repairs that cleaned chunks record, and from what differs between
+their page text and their cleaned text.
+
+In a pending chunk, page furniture is found by form, page numbers and titles that the file repeats; then each rare word is linked to frequent
+words that plausible glyph edits reach and that are neighbours of its context by their vectors, and the one that fits
+best is the correction; CJK characters likewise. What is left is reflowed into paragraphs.
 """
 
 from __future__ import annotations
@@ -12,7 +16,6 @@ from __future__ import annotations
 import bisect
 import math
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,16 +27,13 @@ from pyspark.sql import functions as F
 
 from plinth.llm import tokens
 from plinth.llm.registry import query
-from plinth.runtime import Stage, table
+from plinth.runtime import Stage, ship, table
 
-ROWS, CELLS = 2, 1 << 20
-WORDS, CONTEXTS = 1 << 14, 32
-#: Cells of a summed block of an array.
-BLOCK = 1 << 16
+#: Rows of the sketch of counts, and its cells a row: one for 64 characters of all texts, between these powers of two (8 to 32 MB are broadcast).
+ROWS, LEAST_CELLS, MOST_CELLS = 2, 20, 22
+#: Hashed words and contexts that have vectors, dimensions, negative samples a pair, and gradient steps.
+WORDS, CONTEXTS, DIMS, NEGATIVE, STEPS = 1 << 13, 128, 24, 5, 40
 
-#: What a glyph is often misread as, wrong then right.
-GLYPHS = [("c", "e"), ("e", "c"), ("1", "l"), ("!", "i"), ("|", "l"), ("|", "i"), ("0", "o"), ("b", "h"), ("h", "b"), ("5", "s"), ("ii", "u"), ("u", "ii"), ("rn", "m"), ("m", "rn"), ("ü", "ti"), ("h", "li"), ("li", "h"), ("vv", "w"), ("cl", "d"), ("d", "cl"), ("9", "g"), ("6", "b"), ("8", "B"), ("i", "l"), ("l", "i"), ("I", "l"), ("f", "t"), ("n", "ri"), ("nn", "m"), ("q", "g"), ("ﬁ", "fi"), ("ﬂ", "fl")]
-CJK_GLYPHS = "庋度 屋层 比化 畀界 湿温 庄压 囿固 牲性 枳织 执热 氛氧 侵浸 扳板 而面 扎孔 钎纤 磷碳 横模 村树 村材 幺丝 牵率 科料 弪强 刀力 未末 末未 己已 已己 人入 入人 大太 土士 日曰 干千 天夭 析折 拆折 侯候 徽微 拔拨 炼练 晴睛 洒酒 免兔 乌鸟 乒乓 戊戌 今令 冶治 亨享 雏维 烈裂 魔磨 府腐 护炉 指脂 棍辊 置量 位拉"
 #: Letters that stand for digits, and digits for letters, in numbers and codes.
 DIGIT_LIKE = {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "B": "8", "Z": "2", "!": "1", "|": "1"}
 
@@ -51,52 +51,121 @@ STOPS = re.compile(r"[。，；：！？,;:!?]|[.](?:\s|$)")
 SENTENCE_END = re.compile(r"[。！？!?…]|[.](?:[\"'”’)]*)$")
 
 
-def cells(h: np.ndarray) -> np.ndarray:
-    """The sketch's cell of each hash in every row, (ROWS, n)."""
-    h = h.astype(np.uint64)
-    return np.stack([(tokens.mix(h + np.uint64(r * 7919)) % np.uint64(CELLS)).astype(np.int64) + r * CELLS for r in range(ROWS)])
+_MASK = (1 << 64) - 1
+
+
+def _mix(h: int) -> int:
+    """``tokens.mix`` of one integer."""
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & _MASK
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & _MASK
+    return h ^ h >> 31
+
+
+_POWERS = [1]
+_CHARS: dict[str, int] = {}
 
 
 def word_hash(w: str) -> int:
-    return (zlib.crc32(w.encode("utf-8", "surrogatepass")) << 32 | zlib.adler32(w.encode("utf-8", "surrogatepass"))) & 0xFFFFFFFFFFFFFFFF
-
-
-def count_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(sketch counts, context counts) of texts."""
-    sketch = np.zeros(ROWS * CELLS, np.int64)
-    context = np.zeros(WORDS * CONTEXTS, np.int64)
-    ids: dict[str, int] = {}
-    seq: list[int] = []
-    for t in texts:
-        t = t.lower()
-        for w in WORD.findall(t):
-            for part in {w, *w.split("-")} if "-" in w else (w,):
-                k = ids.setdefault(part, len(ids))
-                seq.append(k)
-        seq.append(-1)
-    if ids:
-        h = np.array([word_hash(w) for w in ids], np.uint64)
-        s = np.array(seq, np.int64)
-        n = np.bincount(s[s >= 0], minlength=len(ids))
-        for row in cells(h):
-            sketch += np.bincount(row, weights=n, minlength=ROWS * CELLS).astype(np.int64)
-        bucket, ctx = (h % np.uint64(WORDS)).astype(np.int64), (tokens.mix(h) % np.uint64(CONTEXTS)).astype(np.int64)
-        for d in (1, 2):
-            a, b = s[:-d], s[d:]
-            ok = (a >= 0) & (b >= 0)
-            a, b = a[ok], b[ok]
-            context += np.bincount(np.concatenate([bucket[a] * CONTEXTS + ctx[b], bucket[b] * CONTEXTS + ctx[a]]), minlength=WORDS * CONTEXTS)
-    h = pair_hashes(texts)
-    if len(h):
-        u, n = np.unique(h, return_counts=True)
-        for row in cells(u):
-            sketch += np.bincount(row, weights=n, minlength=ROWS * CELLS).astype(np.int64)
-    return sketch, context
+    """The hash that ``tokens`` gives a word of these characters."""
+    while len(_POWERS) < len(w):
+        _POWERS.append(_POWERS[-1] * int(tokens._BASE) & _MASK)
+    total = len(w)
+    for c, p in zip(w, _POWERS, strict=False):
+        m = _CHARS.get(c)
+        if m is None:
+            m = _CHARS[c] = _mix(ord(c) + 1)
+        total += m * p
+    return _mix(total & _MASK)
+
+
+def cells(h: np.ndarray, n: int) -> np.ndarray:
+    """The sketch's cell of each hash in every row, (ROWS, n)."""
+    h = h.astype(np.uint64)
+    return np.stack([(tokens.mix(h + np.uint64(r * 7919)) % np.uint64(n)).astype(np.int64) + r * n for r in range(ROWS)])
+
+
+_LATIN: np.ndarray | None = None
+
+
+def latin() -> np.ndarray:
+    """For each code point 1 (letter of WORD), 2 (CJK) or 0."""
+    global _LATIN
+    if _LATIN is None:
+        c = np.zeros(len(tokens.char_class()), np.uint8)
+        c[65:91] = c[97:123] = c[0xC0:0x250] = 1
+        c[0x3400:0xA000] = 2
+        _LATIN = c
+    return _LATIN
+
+
+def count_arrays(texts: list[str], n: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(cells, counts) of a sketch with ``n`` cells a row, and (cells, counts) of words within two places: word * CONTEXTS + context."""
+    code = np.frombuffer(("\0".join(t.lower() for t in texts) + "\0\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where((code == 0x2010) | (code == 0x2011), 45, code)
+    cls = latin()[code]
+    bounds = np.array([0, len(code)])
+    start, h = tokens._words(tokens.Chars(code, cls, bounds))
+    # compounds: words with hyphens inside count whole and by their parts
+    hyphen = np.flatnonzero((code[1:-1] == 45) & (cls[:-2] == 1) & (cls[2:] == 1)) + 1
+    whole = np.zeros(0, np.uint64)
+    if len(hyphen):
+        joint = cls.copy()
+        joint[hyphen] = 1
+        at, hj = tokens._words(tokens.Chars(code, joint, bounds))
+        whole = hj[np.unique(np.searchsorted(at, hyphen, "right") - 1)]
+    cjk = np.flatnonzero(cls == 2)
+    hc = tokens.mix(code[cjk].astype(np.uint64) + np.uint64(1 << 40))
+    key, count = np.unique(np.concatenate([h, whole, pair_hashes(texts)]), return_counts=True)
+    sketch = cells(key, n).ravel()
+    # words and characters in order, texts apart
+    end = np.flatnonzero(code == 0)
+    at = np.concatenate([start, cjk, end])
+    order = np.argsort(at, kind="stable")
+    seq = np.concatenate([h, hc, np.zeros(len(end), np.uint64)])[order]
+    inside = (np.concatenate([np.ones(len(start) + len(cjk), bool), np.zeros(len(end), bool)]))[order]
+    word, context = slots(seq)
+    near = []
+    for d in (1, 2):
+        ok = inside[:-d] & inside[d:] & (inside[1:-1] if d == 2 else True)
+        near += [word[:-d][ok] * CONTEXTS + context[d:][ok], word[d:][ok] * CONTEXTS + context[:-d][ok]]
+    cell, times = np.unique(np.concatenate(near), return_counts=True)
+    return (sketch, np.tile(count, ROWS)), (cell, times)
+
+
+def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and context cells of hashes."""
+    return (h % np.uint64(WORDS)).astype(np.int64), ((h >> np.uint64(40)) % np.uint64(CONTEXTS)).astype(np.int64)
+
+
+def learn_vectors(counts: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(words, contexts) vectors from the counts of their pairs: Adam steps on the mean skip-gram objective with negative sampling,
+    #(w, c) log s(wc) + NEGATIVE #(w) #(c) / N log s(-wc), over all pairs at once."""
+    c = counts.reshape(WORDS, CONTEXTS).astype(np.float32)
+    total = max(1.0, float(c.sum()))
+    r = np.random.default_rng(seed)
+    u, v = (r.normal(0, 0.1, (n, DIMS)).astype(np.float32) for n in (WORDS, CONTEXTS))
+    row, col = c.sum(1, keepdims=True), c.sum(0, keepdims=True)
+    # each word's pairs and its negative samples count by shares, so that words of every frequency learn alike fast
+    pos = c / np.maximum(row, 1)
+    neg = NEGATIVE * np.where(row > 0, col / total, 0).astype(np.float32)
+    moments = [np.zeros_like(x) for x in (u, u, v, v)]
+    weight = np.sqrt(row / total).astype(np.float32)
+    for t in range(1, STEPS + 1):
+        s = 1 / (1 + np.exp(-np.clip(u @ v.T, -20, 20)))
+        g = pos * (1 - s) - neg * s
+        for k, (x, d) in enumerate(((u, g @ v), (v, (g * weight).T @ u))):
+            m, q = moments[2 * k], moments[2 * k + 1]
+            m += 0.1 * (d - m)
+            q += 0.05 * (d * d - q)
+            x += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.95**t)) + 1e-6)
+    return np.where(row > 0, u, 0).astype(np.float32), v
 
 
 def pair_hashes(texts: list[str]) -> np.ndarray:
     """Hashes of neighbours in CJK runs, 0 for what is beyond a run."""
-    code = np.frombuffer(("\n".join(re.sub(r"\s+", "", t) for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.frombuffer(("\n" + "\n".join(re.sub(r"\s+", "", t) for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     cjk = (code >= 0x3400) & (code < 0xA000)
     c = np.where(cjk, code, np.uint64(0))
     near = cjk[:-1] | cjk[1:]
@@ -107,45 +176,56 @@ def pair_key(a, b):
     return (np.uint64(1) << np.uint64(60)) | (np.uint64(a) if np.isscalar(a) else a) << np.uint64(21) | (np.uint64(b) if np.isscalar(b) else b)
 
 
+#: Entries that a task's look-up tables hold before they are emptied; they only save repeated work.
+MEMO = 200_000
+
+
+def remember(memo: dict, key, value):
+    if len(memo) >= MEMO:
+        memo.clear()
+    memo[key] = value
+    return value
+
+
 class Model:
     """Counts, vectors and confusions, looked up by word or pair of characters."""
 
-    def __init__(self, sketch: np.ndarray, context: np.ndarray, learnt: dict[str, list[str]]):
-        self.sketch, self.memo, self.pairs, self.sound = sketch, {}, {}, set()
-        c = context.reshape(WORDS, CONTEXTS).astype(np.float64)
-        total = max(1.0, c.sum())
-        expect = c.sum(1, keepdims=True) * c.sum(0, keepdims=True) / total
-        self.vectors = np.log((c + 0.5) / (expect + 0.5)).astype(np.float32)
+    def __init__(self, sketch: np.ndarray, words: np.ndarray, contexts: np.ndarray, learnt: dict[str, list[str]]):
+        self.sketch, self.n, self.memo, self.pairs, self.sound = sketch, len(sketch) // ROWS, {}, {}, set()
+        self.words, self.contexts = words, contexts
+        used = words[words.any(1)]
+        self.mean, self.spread = (used.mean(0), np.atleast_2d(np.cov(used.T))) if len(used) > 1 else (np.zeros(DIMS), np.zeros((DIMS, DIMS)))
         self.glyphs: dict[str, list[str]] = defaultdict(list)
         self.cjk: dict[str, list[str]] = defaultdict(list)
-        for wrong, right in [*GLYPHS, *((p[0], p[1]) for p in CJK_GLYPHS.split()), *((w, r) for w, rs in learnt.items() for r in rs)]:
-            into = self.cjk if CJK.match(wrong) else self.glyphs
-            if right not in into[wrong]:
-                into[wrong].append(right)
+        for wrong, rights in learnt.items():
+            (self.cjk if CJK.match(wrong) else self.glyphs)[wrong] += rights
         self.suspects = re.compile("[" + "".join(map(re.escape, self.cjk)) + "]") if self.cjk else re.compile(r"(?!)")
         self.memo_fix: dict[str, list] = {}
+        self.skeleton = Skeleton(learnt)
+
+    def _count(self, h: int) -> int:
+        return min(int(self.sketch[_mix((h + r * 7919) & _MASK) % self.n + r * self.n]) for r in range(ROWS))
 
     def count(self, word: str) -> int:
         n = self.memo.get(word)
-        if n is None:
-            n = self.memo[word] = int(self.sketch[cells(np.array([word_hash(word)], np.uint64))[:, 0]].min())
-        return n
+        return remember(self.memo, word, self._count(word_hash(word))) if n is None else n
 
     def pair(self, a: str, b: str) -> int:
         """Count of neighbours in a CJK run; an empty string is what is beyond it."""
         n = self.pairs.get(a + "\0" + b)
-        if n is None:
-            k = pair_key(ord(a) if a else 0, ord(b) if b else 0)
-            n = self.pairs[a + "\0" + b] = int(self.sketch[cells(np.array([k], np.uint64))[:, 0]].min())
-        return n
+        return remember(self.pairs, a + "\0" + b, self._count(1 << 60 | (ord(a) if a else 0) << 21 | (ord(b) if b else 0))) if n is None else n
 
-    def fit(self, word: str, around: list[str]) -> float:
-        """Mean mutual information of the word with the words around it."""
+    def fit(self, words: list[str], around: list[str]) -> list[float]:
+        """How near each word is to the context by the vectors, in standard deviations of all words; 0 without a context."""
         if not around:
-            return 0.0
-        v = self.vectors[word_hash(word) % WORDS]
-        ctx = [int(tokens.mix(np.array([word_hash(w)], np.uint64))[0] % np.uint64(CONTEXTS)) for w in around]
-        return float(v[ctx].mean())
+            return [0.0] * len(words)
+        slot = lambda ws: slots(np.array([self.slot_hash(w) for w in ws], np.uint64))
+        c = self.contexts[slot(around)[1]].mean(0)
+        return (((self.words[slot(words)[0]] - self.mean) @ c) / max(1e-6, float(np.sqrt(max(0.0, c @ self.spread @ c))))).tolist()
+
+    @staticmethod
+    def slot_hash(w: str) -> int:
+        return _mix(ord(w) + (1 << 40)) if len(w) == 1 and CJK.match(w) else word_hash(w)
 
     def variants(self, word: str) -> Iterator[tuple[str, int]]:
         """Words one glyph edit away, and where the edit is."""
@@ -164,21 +244,34 @@ class Model:
             out = [(c, v, at) for v, at in one if (c := self.count(v)) >= least and SIMPLE.fullmatch(v)]
             if not out and len(word) >= 5:
                 out = [(c, v, min(at, at2)) for w, at in one for v, at2 in self.variants(w) if v != word and (c := self.count(v)) >= max(20, least) and SIMPLE.fullmatch(v)]
-            self.memo_fix[word] = out
+            remember(self.memo_fix, word, out)
         return out
 
 
-#: Glyphs that are mistaken for each other, as one: to compare titles that may be misread.
-_SKELETON = [("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("ü", "ti"), ("ﬁ", "fi"), ("ﬂ", "fl")]
-_ALIKE = str.maketrans("01!|i5ch" + "".join(p[0] for p in CJK_GLYPHS.split()), "olllls" + "eb" + "".join(p[1] for p in CJK_GLYPHS.split()))
 _DIGITS = str.maketrans("OolI!|SBZ", "001111582")
 
 
-def skeleton(title: str) -> str:
-    t = title.casefold()
-    for a, b in _SKELETON:
-        t = t.replace(a, b)
-    return t.translate(_ALIKE)
+class Skeleton:
+    """Titles with what is mistaken for each other made one: the learnt confusions, longest first, and letters like digits."""
+
+    def __init__(self, learnt: dict[str, list[str]]):
+        one = {w: rs[0] for w, rs in learnt.items()}
+        self.long = sorted(((w.casefold(), r.casefold()) for w, r in one.items() if len(w.casefold()) > 1 and w.casefold() != r.casefold()), key=lambda x: (-len(x[0]), x))
+        single = {w.casefold(): r.casefold() for w, r in one.items() if len(w.casefold()) == 1} | {"0": "o", "1": "l"}
+        self.table: dict[int, str] = {}
+        for w in single:
+            r, seen = w, set()
+            while r in single and r not in seen:
+                seen.add(r)
+                r = single[r]
+            # a circle of confusions is named by its least member
+            self.table[ord(w)] = min(seen) if r in seen else r
+
+    def __call__(self, title: str) -> str:
+        t = title.casefold()
+        for a, b in self.long:
+            t = t.replace(a, b)
+        return t.translate(self.table)
 
 
 def page_number(line: str, pages: set[int]) -> bool:
@@ -201,10 +294,14 @@ def page_number(line: str, pages: set[int]) -> bool:
     return False
 
 
-def title_of(line: str, pages: set[int]) -> tuple[str, bool] | None:
+#: By definition a title is a line of at most so many characters, of CJK characters, of words.
+TITLE, TITLE_CJK, TITLE_WORDS = 90, 40, 10
+
+
+def title_of(line: str, pages: set[int], skeleton: Skeleton) -> tuple[str, bool] | None:
     """(normalised title, whether a page number stands with it) of a line with the form of a running header."""
     s = line.strip()
-    if not s or len(s) > 90 or NUMBERED.match(s):
+    if not s or len(s) > TITLE or NUMBERED.match(s):
         return None
     numbered = False
     for p in (NUM_HEAD, NUM_TAIL):
@@ -216,16 +313,16 @@ def title_of(line: str, pages: set[int]) -> tuple[str, bool] | None:
     if not s or STOPS.search(s) or s[-1] in HYPHENS or re.search(r"\d{2}|\b\d|\d\b(?<![A-Za-z]\d)", CHAPTER.sub("", s)):
         return None
     if CJK.search(s):
-        if len(s) > 40:
+        if len(s) > TITLE_CJK:
             return None
     else:
         words = s.split()
-        if len(words) > 10 or not all(w[0].isupper() or w.lower() in ("of", "the", "and", "in", "for", "on", "to", "a", "an", "with", "by", "at", "from") for w in words if w[0].isalpha()) or not any(c.isalpha() for c in s):
+        if len(words) > TITLE_WORDS or not all(w[0].isupper() or w.lower() in ("of", "the", "and", "in", "for", "on", "to", "a", "an", "with", "by", "at", "from") for w in words if w[0].isalpha()) or not any(c.isalpha() for c in s):
             return None
     return skeleton(re.sub(r"\s+", " ", s)), numbered
 
 
-def furniture(lines: list[str], pages: set[int], known: set[str]) -> dict[int, str]:
+def furniture(lines: list[str], pages: set[int], known: set[str], skeleton: Skeleton) -> dict[int, str]:
     """Kind of each line (from 0) that is a running header or a page number."""
     out: dict[int, str] = {}
     title: dict[int, tuple[str, bool]] = {}
@@ -234,7 +331,7 @@ def furniture(lines: list[str], pages: set[int], known: set[str]) -> dict[int, s
             continue
         if page_number(x, pages):
             out[i] = "page_number"
-        elif t := title_of(x, pages):
+        elif t := title_of(x, pages, skeleton):
             title[i] = t
     seen = defaultdict(int)
     for t, _ in title.values():
@@ -376,7 +473,11 @@ def repair(body: Body, model: Model) -> list[tuple[int, int, str, str]]:
             if found:
                 plain = plain or [w.strip(EDGE + "!?").lower() for _, w in words]
                 near = [x for x in plain[max(0, k - 2) : k] + plain[k + 1 : k + 3] if x]
-                best = max(found, key=lambda f: math.log(f[0]) + model.fit(f[1], near))
+                best = max(zip(found, model.fit([f[1] for f in found], near), strict=True), key=lambda x: math.log(x[0][0]) + x[1])
+                # no neighbour of this context
+                if best[1] < FAR:
+                    continue
+                best = best[0]
                 name = w[0].isupper() and not w.isupper() and (at == 0 or k == 0 or text[max(0, at - 2) : at].strip()[-1:] not in ".。\n")
                 if name and best[0] < 40:
                     continue
@@ -398,7 +499,10 @@ def repair(body: Body, model: Model) -> list[tuple[int, int, str, str]]:
         left, right = left if CJK.match(left or " ") else "", right if CJK.match(right or " ") else ""
         was = math.log(model.pair(left, x) + 0.5) + math.log(model.pair(x, right) + 0.5)
         best, gain = "", 0.0
-        for y in model.cjk[x]:
+        around = [c for c in text[max(0, i - 2) : i] + text[i + 1 : i + 3] if CJK.match(c)]
+        for y, near in zip(model.cjk[x], model.fit(model.cjk[x], around), strict=True):
+            if near < FAR:
+                continue
             a, b = model.pair(left, y) if left else 0, model.pair(y, right) if right else 0
             if max(a, b) < 5:
                 continue
@@ -410,6 +514,8 @@ def repair(body: Body, model: Model) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
+#: A word or character so many standard deviations farther from the context than the mean of all is no neighbour of it.
+FAR = -2.0
 #: How much more likely (log of counts with both neighbours) a CJK character must be than the one read.
 THRESHOLD = 4.0
 
@@ -418,7 +524,7 @@ def clean(text: str, pages: list[int] | None, known: set[str], model: Model) ->
     """((line from 1, kind) rows, continuous paragraphs, repairs) of a page text."""
     lines = re.sub(r"\r\n?", "\n", text).split("\n")
     near = {p for p in pages or [] if p is not None}
-    out = furniture(lines, near, known)
+    out = furniture(lines, near, known, model.skeleton)
     body = Body(lines, out, model)
     fixes = repair(body, model)
     rows = {(i + 1, k) for i, k in out.items()} | {(i + 1, "hyphen_break") for i in body.breaks}
@@ -450,61 +556,92 @@ def diff_pairs(wrong: str | None, right: str | None) -> list[tuple[str, str]]:
     return [(x, y)] if len(x) <= 2 and len(y) <= 2 else []
 
 
-def summed(rows: DataFrame, arrays, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Sums over all partitions of arrays of fixed sizes: ``arrays(texts)`` gives them for some texts.
-
-    What is shuffled and reaches the driver is bounded by the sizes: compressed blocks, added block by block.
-    """
+def summed(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch, counts of neighbours) of the texts in the only column: cells are summed map-side and by cell, so no task and not the driver sees more than the arrays' sizes."""
+    sizes = (ROWS * n, WORDS * CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(n, np.int64) for n in sizes]
+        total = [np.zeros(k, np.int64) for k in sizes]
         for b in batches:
             texts = [x for x in b.column(0).to_pylist() if x]
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (size < 2_000_000 or end == at):
+                while end < len(texts) and (size < 1_000_000 or end == at):
                     size += len(texts[end])
                     end += 1
-                for t, a in zip(total, arrays(texts[at:end]), strict=True):
-                    t += a
+                for t, (cell, count) in zip(total, count_arrays(texts[at:end], n), strict=True):
+                    np.add.at(t, cell, count)
                 at = end
-        out = []
         for k, t in enumerate(total):
-            for lo in range(0, len(t), BLOCK):
-                part = t[lo : lo + BLOCK]
-                if part.any():
-                    out.append((k, lo, zlib.compress(part.tobytes(), 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["k", "lo", "data"])
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        t = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in f["data"])
-        return pd.DataFrame({"k": f["k"][:1], "lo": f["lo"][:1], "data": [zlib.compress(t.astype(np.int64).tobytes(), 1)]})
-
-    kinds = "k int, lo bigint, data binary"
-    out = [np.zeros(n, np.int64) for n in sizes]
-    for r in rows.mapInArrow(run, kinds).groupBy("k", "lo").applyInPandas(add, kinds).collect():
-        part = np.frombuffer(zlib.decompress(bytes(r["data"])), np.int64)
-        out[r["k"]][r["lo"] : r["lo"] + len(part)] = part
+            cell = np.flatnonzero(t)
+            for lo in range(0, len(cell), 100_000):
+                part = cell[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part + k * sizes[0]), pa.array(t[part])], ["cell", "n"])
+
+    got = rows.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(sum(sizes), np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out[: sizes[0]].clip(0, 2**32 - 1).astype(np.uint32), out[sizes[0] :]
+
+
+def text_confusions(page: str, clean: str) -> list[tuple[str, str]]:
+    """What differs between a page text and its cleaned text in one place of a word, or in one CJK character between the same two others."""
+    out = []
+    read = lambda t: {w.strip(EDGE) for w in TOKEN.findall(t)}
+    a, b = read(page), read(clean)
+    wrong, right = a - b, b - a
+    by_edge: dict[tuple, list[str]] = defaultdict(list)
+    for r in right:
+        if len(r) >= 4:
+            by_edge["^", r[:2]].append(r)
+            by_edge["$", r[-2:]].append(r)
+    for w in wrong:
+        if len(w) >= 4:
+            near = {r for k in (("^", w[:2]), ("$", w[-2:])) for r in by_edge.get(k, ()) if abs(len(r) - len(w)) <= 1}
+            if len(near) == 1:
+                out += diff_pairs(w, near.pop())
+    x, y = ("".join(CJK_RUN.findall(t)) for t in (page, clean))
+    x, y = (set(zip(t, t[1:], t[2:], strict=False)) for t in (x, y))
+    between: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for p, q, r in y - x:
+        between[p, r].add(q)
+    for p, q, r in x - y:
+        if len(c := between.get((p, r), ())) == 1:
+            out += [(q, c0) for c0 in c]
     return out
 
 
-def learnt_confusions(chunks: DataFrame, most: int = 20_000) -> dict[str, list[str]]:
-    """What the recorded repairs show to be misread for what; there are no more kinds than pairs of glyphs."""
+#: A difference of texts (not a recorded repair) counts as a confusion from so many occurrences on, and for one wrong glyph only those right ones that
+#: have a tenth of the commonest one's.
+SEEN, SHARE = 3, 0.1
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([p for w, r in zip(f["w"], f["r"], strict=True) for p in diff_pairs(w, r)], columns=["wrong", "right"])
+def learnt_confusions(chunks: DataFrame) -> dict[str, list[str]]:
+    """What is misread for what, commonest first: pairs of at most two characters in recorded repairs, and in the texts of cleaned chunks. The driver gets one row per distinct pair that counts: they are as many as glyphs are alike, not as rows."""
 
-    one = chunks.select(F.explode("ocr_repairs").alias("m")).select(F.col("m")["original"].alias("w"), F.col("m")["repaired"].alias("r")).filter("w is not null and r is not null and w <> r")
-    rows = one.mapInPandas(run, "wrong string, right string").groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} confusions")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for repairs, page, clean in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for m in repairs or ():
+                    m = dict(m or ())
+                    rows += [(w, r, 1) for w, r in diff_pairs(m.get("original"), m.get("repaired"))]
+                if page and clean and clean.strip():
+                    rows += [(w, r, 0) for w, r in text_confusions(page, clean)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["wrong", "right", "recorded"])
+
+    pairs = chunks.select("ocr_repairs", "original_text", "cleaned_text").mapInArrow(run, "wrong string, right string, recorded int")
+    rows = pairs.groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("n"), F.max("recorded").alias("recorded")).filter(f"recorded = 1 or n >= {SEEN}").collect()
     out: dict[str, list[str]] = defaultdict(list)
+    most: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (-r["n"], r["wrong"], r["right"])):
-        if r["wrong"] not in DIGIT_LIKE or not r["right"].isdigit():
-            out[r["wrong"]].append(r["right"])
-    return out
+        w, x = r["wrong"], r["right"]
+        if (w in DIGIT_LIKE and x.isdigit()) or x.isspace() or w.isspace() or bool(CJK.search(w)) != bool(CJK.search(x)) or w in HYPHENS or x in HYPHENS:
+            continue
+        if r["recorded"] or r["n"] >= SHARE * most.setdefault(w, r["n"]):
+            out[w].append(x)
+    return dict(out)
 
 
 def denoise(spark, chunks: DataFrame) -> DataFrame:
@@ -515,15 +652,20 @@ def denoise(spark, chunks: DataFrame) -> DataFrame:
     """
     blank = F.coalesce(F.trim(F.regexp_replace("cleaned_text", r"(?U)\s+", " ")), F.lit("")) == ""
     text = F.when(blank, F.col("original_text")).otherwise(F.col("cleaned_text"))
-    sketch, context = summed(chunks.select(text.alias("text")), count_arrays, (ROWS * CELLS, WORDS * CONTEXTS))
-    held = spark.sparkContext.broadcast((sketch.astype(np.uint32), context.astype(np.uint32), dict(learnt_confusions(chunks))))
+    ship(spark)
+    chars = chunks.agg(F.sum(F.length(text))).first()[0] or 0
+    n = 1 << max(LEAST_CELLS, min(MOST_CELLS, (chars // 64).bit_length()))
+    sketch, context = summed(chunks.select(text.alias("text")), n)
+    learnt = learnt_confusions(chunks)
+    held = spark.sparkContext.broadcast((sketch, *learn_vectors(context), learnt))
 
     def titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skeleton = Skeleton(held.value[3])
         for b in batches:
             rows = []
             for i, f, t, p in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 near = {x for x in p or [] if x is not None}
-                found = {x[0] for line in t.split("\n") if len(line) <= 100 and (x := title_of(line, near))}
+                found = {x[0] for line in t.split("\n") if (x := title_of(line, near, skeleton))}
                 rows += [(i, f, x) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["chunk_id", "source_file", "title"])
 

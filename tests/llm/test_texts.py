@@ -113,8 +113,15 @@ def test_letter_pairs_are_counted_over_all_texts(spark):
     assert usual[at("he")] and usual[at("er")] and not usual[at("zq")] and not usual[at("qx")]
 
 
-def model(texts):
-    return ocr.Model(*ocr.count_arrays(texts), {})
+LEARNT = {"c": ["e"], "0": ["o"], "b": ["h"], "屋": ["层"], "庄": ["压"], "湿": ["温"]}
+
+
+def model(texts, learnt=LEARNT):
+    n = 1 << 16
+    out = [quality.np.zeros(ocr.ROWS * n, quality.np.int64), quality.np.zeros(ocr.WORDS * ocr.CONTEXTS, quality.np.int64)]
+    for t, (cell, count) in zip(out, ocr.count_arrays(texts, n), strict=True):
+        quality.np.add.at(t, cell, count)
+    return ocr.Model(out[0], *ocr.learn_vectors(out[1]), learnt)
 
 
 CLEAN = ["the threshold of the resin remains low-viscosity and the liner degrades within the minimum load"] * 60 + ["低温固化剂覆盖涂层与热压罐，升温段随之稳定边界。"] * 60
@@ -135,6 +142,8 @@ def test_correction_does_not_depend_on_corpus_size():
         assert ocr.clean("the resin reacbcs the liner", [5], set(), model(base * times))[1] == "the resin reaches the liner"
     m = model(["the liner is held by the liner"] * 9000 + ["thc liner"] * 1001)
     assert ocr.clean("thc liner is held", [5], set(), m)[1] == "the liner is held"
+    memo = {i: i for i in range(ocr.MEMO)}
+    assert ocr.remember(memo, "x", 1) == 1 and memo == {"x": 1}
 
 
 def test_chinese_page():
@@ -149,6 +158,34 @@ def test_headings_names_and_numbers_stay():
     assert ocr.clean("", None, set(), m) == ([], "", [])
 
 
+def test_hashes_of_words_are_those_of_batches():
+    code = quality.np.array([ord(c) for c in "resin ply"], quality.np.uint32)
+    batch = ocr.tokens._words(ocr.tokens.Chars(code, ocr.latin()[code], quality.np.array([0, len(code)])))[1]
+    assert [ocr.word_hash("resin"), ocr.word_hash("ply")] == batch.tolist()
+
+
+def test_vectors_tell_a_words_contexts():
+    """Words that stand among like words are near to these contexts, others are not."""
+    m = model(["the cat drinks cold milk", "the dog drinks cold water", "an engine burns heavy fuel", "an engine burns heavy oil"] * 50)
+    for word, own, other in (("milk", ["drinks", "cold"], ["burns", "heavy"]), ("fuel", ["burns", "heavy"], ["drinks", "cold"])):
+        assert m.fit([word], own)[0] > m.fit([word], other)[0] + 0.5
+    assert m.fit(["milk"], []) == [0.0]
+
+
+def test_confusions_are_learnt(spark):
+    """From recorded repairs at once, from texts that differ in one place when this recurs; what is only left out is none."""
+    rows = [([{"original": "thc", "repaired": "the"}], None, None)] + [(None, f"the lbad {i} of thc resin\n低湿固化{i}", f"the load {i} of the resin\n低温固化{i}") for i in range(3)] + [(None, "the ply word here", "the word here"), ([None, {"original": None, "repaired": "x"}], "a", " ")]
+    df = spark.createDataFrame(rows, "ocr_repairs array<map<string,string>>, original_text string, cleaned_text string")
+    assert ocr.learnt_confusions(df) == {"c": ["e"], "b": ["o"], "湿": ["温"]}
+
+
+def test_sums_do_not_depend_on_partitions(spark):
+    """Three hundred partitions give the same sums, cell by cell; counts beyond 32 bits are cut off, not wrapped."""
+    df = spark.createDataFrame([(t,) for t in CLEAN * 10], "text string")
+    one, many = ocr.summed(df.coalesce(1), 1 << 16), ocr.summed(df.repartition(300), 1 << 16)
+    assert all((a == b).all() for a, b in zip(one, many, strict=True)) and one[0].sum() > 0
+
+
 def test_counts_are_upper_bounds():
     m = model(CLEAN)
     assert m.count("threshold") >= 60 and m.pair("涂", "层") >= 60 and m.count("nowhere") == 0
