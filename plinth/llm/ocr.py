@@ -612,9 +612,9 @@ def text_confusions(page: str, clean: str) -> list[tuple[str, str]]:
     return out
 
 
-#: A difference of texts (not a recorded repair) counts as a confusion from so many occurrences on, and for one wrong glyph only those right ones that
-#: have a tenth of the commonest one's.
-SEEN, SHARE = 3, 0.1
+#: A difference of texts that no repair records counts as a confusion from so many occurrences on and from this share of all differences, whatever the size of the
+#: input; and for one wrong glyph only those right ones that have a tenth of the commonest one's.
+SEEN, LEAST_SHARE, SHARE = 3, 0.001, 0.1
 
 
 def learnt_confusions(chunks: DataFrame) -> dict[str, list[str]]:
@@ -633,13 +633,14 @@ def learnt_confusions(chunks: DataFrame) -> dict[str, list[str]]:
 
     pairs = chunks.select("ocr_repairs", "original_text", "cleaned_text").mapInArrow(run, "wrong string, right string, recorded int")
     rows = pairs.groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("n"), F.max("recorded").alias("recorded")).filter(f"recorded = 1 or n >= {SEEN}").collect()
+    whole = sum(r["n"] for r in rows)
     out: dict[str, list[str]] = defaultdict(list)
     most: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (-r["n"], r["wrong"], r["right"])):
         w, x = r["wrong"], r["right"]
         if (w in DIGIT_LIKE and x.isdigit()) or x.isspace() or w.isspace() or bool(CJK.search(w)) != bool(CJK.search(x)) or w in HYPHENS or x in HYPHENS:
             continue
-        if r["recorded"] or r["n"] >= SHARE * most.setdefault(w, r["n"]):
+        if w.casefold() != x.casefold() and (r["recorded"] or r["n"] >= max(LEAST_SHARE * whole, SHARE * most.setdefault(w, r["n"]))):
             out[w].append(x)
     return dict(out)
 
