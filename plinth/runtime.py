@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stage:
-    """Tables of one run below the shared folder; ``drop`` removes those no longer read, and lets Spark's cleaner see which steps are over, so that their shuffle files go, too, and not only at its periodic collection."""
+    """Tables of one run below the shared folder; ``drop`` removes those no longer read, and ``free`` lets Spark's cleaner see which steps are over, so that their shuffle files go, too, and not only at its periodic collection."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -55,6 +55,9 @@ class Stage:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.free()
+
+    def free(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()
 
