@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,28 +137,99 @@ def partnered(stage: Stage, texts: DataFrame, about: int, most: int) -> DataFram
     return x.withColumn("kind", F.lit(0)).unionByName(y.withColumn("kind", F.lit(1)))
 
 
-def neighbours(stage: Stage, rows: DataFrame) -> DataFrame:
-    """Held-out suffixes with ``near``, the suffixes (ranks, rec) of train that stand next above and below each in the order (null at the ends)."""
-    order = ["ranks", "rec", "at"]
-    ranged = stage.keep(rows.repartitionByRange(*order).withColumn("p", F.spark_partition_id()), "order")
-    of_train = F.struct("ranks", "rec")
-    # what stands beyond a range's edges: one row per range
-    edge = ranged.groupBy("p").agg(*[F.expr(f"{f}(case when kind = 1 then struct(ranks, rec) end, case when kind = 1 then struct(ranks, rec, at) end)").alias(n) for f, n in (("min_by", "low"), ("max_by", "high"))])
-    before = [Window.partitionBy().orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("p"), F.desc("p"))]
-    edge = edge.select("p", F.last("high", True).over(before[0]).alias("above"), F.last("low", True).over(before[1]).alias("below"))
-    up, down = (Window.partitionBy("p").orderBy(*[o(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc, F.desc))
-    of_train = F.when(F.col("kind") == 1, of_train)
-    met = ranged.withColumn("up", F.last(of_train, True).over(up)).withColumn("down", F.last(of_train, True).over(down)).filter("kind = 0").join(edge, "p")
-    return met.select("rec", "at", "m", "size", "ranks", F.array(F.coalesce("up", "above"), F.coalesce("down", "below")).alias("near"))
+NEAR = "rec bigint, at int, size int, m int, side int, p int, partner bigint, k int, ranks array<bigint>"
+
+
+def levels(ranks: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ranks, ranks as a matrix) of each suffix."""
+    offsets = ranks.offsets.to_numpy()
+    n = np.diff(offsets)
+    out = np.zeros((len(n), max(1, int(n.max(initial=0)))), np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = ranks.values.to_numpy()[offsets[0] : offsets[-1]]
+    return n, out
+
+
+def compare(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """For the ordered suffixes (SUFFIX, kind) of one range: each held-out one's neighbours from train above and below it (side 0 and 1) with the number k of ranks in common, if there is any.
+
+    A held-out suffix whose neighbour lies beyond the range's edge comes with its ranks and k null; the range's outermost suffixes of train (side 2 and 3) come, too.
+    """
+    held: pa.RecordBatch | None = None
+    first = last = None
+
+    def rows(b: pa.RecordBatch, i: np.ndarray, side: np.ndarray, partner=None, k=None, ranks: bool = False) -> pa.RecordBatch:
+        t, idx = len(i), pa.array(i)
+        of = lambda c: b.column(c).take(idx)
+        null = lambda kind: pa.nulls(t, kind)
+        return pa.RecordBatch.from_arrays([of("rec"), of("at"), of("size"), of("m"), pa.array(side.astype(np.int32)), pa.array(np.full(t, part, np.int32)), null(pa.int64()) if partner is None else pa.array(partner), null(pa.int32()) if k is None else pa.array(k.astype(np.int32)), of("ranks").cast(pa.list_(pa.int64())) if ranks else null(pa.list_(pa.int64()))], [c.split()[0] for c in NEAR.split(", ")])
+
+    def settle(b: pa.RecordBatch, final: bool) -> Iterator[pa.RecordBatch]:
+        """Answers for all but what follows the last suffix of train, which is kept for the next batch unless ``final``."""
+        nonlocal held, first, last
+        train = b.column("kind").to_numpy() == 1
+        at = np.flatnonzero(train)
+        n, ranks = levels(b.column("ranks").cast(pa.list_(pa.int64())))
+        rec = b.column("rec").to_numpy()
+        if len(at):
+            first = first if first is not None else b.slice(int(at[0]), 1)
+            last = b.slice(int(at[-1]), 1)
+        stop = len(b) if final else int(at[-1]) if len(at) else 0
+        # a leading suffix of train that an earlier batch has answered for is only a neighbour
+        i = np.flatnonzero(~train[:stop])
+        up = np.maximum.accumulate(np.where(train, np.arange(len(b)), -1))[i]
+        down = np.minimum.accumulate(np.where(train, np.arange(len(b)), len(b))[::-1])[::-1][i]
+        for side, j in ((0, up), (1, down)):
+            there = (j >= 0) & (j < len(b))
+            x, y = i[there], j[there]
+            common = np.zeros(len(x), np.int64)
+            alike = np.ones(len(x), bool)
+            for c in range(ranks.shape[1]):
+                alike &= (n[x] > c) & (n[y] > c) & (ranks[x, c] == ranks[y, c])
+                common += alike
+            hit = common > 0
+            yield rows(b, x[hit], np.full(int(hit.sum()), side), rec[y[hit]], common[hit])
+            beyond = i[~there]
+            if len(beyond):
+                yield rows(b, beyond, np.full(len(beyond), side), ranks=True)
+        held = b.slice(stop) if stop < len(b) else None
+
+    for b in batches:
+        b = pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(b.columns, (pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["ranks", "rec", "at", "m", "size", "kind"])
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if len(b):
+            yield from settle(b, False)
+    if held is not None:
+        yield from settle(held, True)
+    for side, edge in ((2, first), (3, last)):
+        if edge is not None:
+            yield rows(edge, np.zeros(1, np.int64), np.array([side]), edge.column("rec").to_numpy(), ranks=True)
 
 
 def common_prefixes(stage: Stage, texts: DataFrame, about: int, most: int = filters.MAX_BITS) -> DataFrame:
     """(rec, at, size, partner, n): held-out text ``rec`` of ``size`` tokens has from its token ``at`` a prefix of at least n tokens in common with train's text ``partner`` (less than 2n with any)."""
-    rows = neighbours(stage, partnered(stage, texts, about, most)).select("rec", "at", "m", "size", "ranks", F.explode("near").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from compare(batches, TaskContext.get().partitionId())
+
+    order = ["ranks", "rec", "at"]
+    rows = stage.keep(partnered(stage, texts, about, most), "partnered")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    met = stage.keep(ranged.mapInArrow(run, NEAR), "met")
+    for name in ("partnered", "train"):
+        stage.drop(name)
+    # neighbours beyond an edge: the outermost suffixes of the ranges before and after, one row per range and side
+    edge = met.filter("side > 1").groupBy("p").agg(F.max(F.when(F.col("side") == 2, F.struct("ranks", "partner"))).alias("low"), F.max(F.when(F.col("side") == 3, F.struct("ranks", "partner"))).alias("high"))
+    edge = met.select("p").distinct().join(edge, "p", "left")
+    before = [Window.partitionBy().orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("p"), F.desc("p"))]
+    edge = edge.select("p", F.last("high", True).over(before[0]).alias("above"), F.last("low", True).over(before[1]).alias("below"))
+    edge = edge.select("p", F.posexplode(F.array("above", "below")).alias("side", "t"))
     # equal ranks are those of the common prefixes of m, 2m, 4m, ... tokens
     k = F.size(F.filter(F.zip_with("ranks", "t.ranks", lambda a, b: a.eqNullSafe(b)), lambda x: x))
-    out = rows.withColumn("k", k).filter("k > 0").select("rec", "at", "size", F.col("t.rec").alias("partner"), F.expr("m * shiftleft(1, k - 1)").alias("n"))
-    return stage.keep(out, "prefixes")
+    far = met.filter("side < 2 and k is null").drop("k", "partner").join(edge.filter("t is not null"), ["p", "side"]).withColumn("k", k).filter("k > 0").select("rec", "at", "size", F.col("t.partner").alias("partner"), "m", "k")
+    near = met.filter("side < 2 and k is not null").select("rec", "at", "size", "partner", "m", "k").unionByName(far)
+    return near.select("rec", "at", "size", "partner", F.expr("m * shiftleft(1, k - 1)").alias("n"))
 
 
 def merged_spans(prefixes: DataFrame) -> DataFrame:
@@ -179,8 +251,10 @@ def by_sets(stage: Stage, classes: DataFrame, num: int, den: int) -> DataFrame:
     """
     every = classes.withColumn("kind", F.lit(0))
     counts = sets.count_tokens(every)
-    entries = sets.postings(every, counts, num, den, sets.list_lengths(every, counts, num, den))
-    return sets.candidates(entries, num, den, across=True)
+    sides = [sets.list_lengths(every.filter(f"sig & 1 = {k}"), counts, num, den) for k in (0, 1)]
+    # an entry whose list has none of the other side is left out
+    entries = [sets.postings(every.filter(f"sig & 1 = {k}"), counts, num, den, sides[0], sides[1]) for k in (0, 1)]
+    return sets.candidates(entries[0].unionByName(entries[1]), num, den, across=True)
 
 
 def prepare(stage: Stage, records: DataFrame, most: int = filters.MAX_BITS) -> dict[str, DataFrame]:
@@ -212,8 +286,10 @@ def similar_across(stage: Stage, t: dict[str, DataFrame], num: int, den: int) ->
     spans = t["prefixes"].select("rec", "partner").distinct().join(x, "rec").join(y, "partner").filter(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
     spans = spans.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     near = stage.keep(spans.unionByName(by_sets(stage, t["classes"], num, den)).distinct(), "near")
+    stage.free()
     links = stage.keep(sets.verify(near, t["classes"], num, den), "links")
-    stage.drop("near")
+    for name in ("near", "sets"):
+        stage.drop(name)
     ids = t["member"].join(known, ["rec", "kind"]).select("id", "sig").distinct()
     ways = links.select(F.when(F.expr("a & 1 = 0"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.expr("a & 1 = 0"), F.col("b")).otherwise(F.col("a")).alias("y"))
     met = ways.join(ids.select(F.col("sig").alias("x"), F.col("id").alias("held_id")), "x").join(ids.select(F.col("sig").alias("y"), F.col("id").alias("train_id")), "y")

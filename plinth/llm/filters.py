@@ -51,7 +51,8 @@ def build(hashes: DataFrame, n: int, most: int = MAX_BITS) -> tuple[Broadcast, i
             part = at[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], ["word", "bits"])
 
-    got = hashes.mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    # few tasks with many hashes each set more bits a word that is shuffled
+    got = hashes.coalesce(max(1, hashes.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << (k - 6), np.int64)
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(table.view(np.uint8)), k

@@ -163,8 +163,8 @@ def wide_sketches(flat: np.ndarray, n: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def postings(sets: DataFrame, counts: Broadcast, num: int, den: int, lengths: Broadcast | None = None) -> DataFrame:
-    """Index entries of each class's first tokens; ``lengths`` cut long lists into parts."""
+def postings(sets: DataFrame, counts: Broadcast, num: int, den: int, lengths: Broadcast, others: Broadcast | None = None) -> DataFrame:
+    """Index entries of each class's first tokens; ``lengths`` cut long lists into parts. ``lengths`` and ``others``, if given, are those of two sides, and entries of lists that one side does not have are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -180,8 +180,13 @@ def postings(sets: DataFrame, counts: Broadcast, num: int, den: int, lengths: Br
             kind, sig = b.column(0).to_numpy(), b.column(2).to_numpy()
             r, tok, p = prefix(flat, n, counts.value, num, den)
             # entries of long lists go to parts; each pair of parts gets both sides
-            cut = lengths.value if lengths is not None else counts.value
-            parts = np.maximum(1, -(-cut[tok & np.uint32(len(cut) - 1)].astype(np.int64) // PART))
+            cell = tok & np.uint32(len(counts.value) - 1)
+            long = lengths.value[cell].astype(np.int64)
+            if others is not None:
+                other = others.value[cell].astype(np.int64)
+                both = np.flatnonzero((long > 0) & (other > 0))
+                r, tok, p, long = r[both], tok[both], p[both], long[both] + other[both]
+            parts = np.maximum(1, -(-long // PART))
             key = tokens.mix((tok.astype(np.uint64) << np.uint64(8)) + kind[r].astype(np.uint64))
             own = (tokens.mix(sig[r].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
             i = np.repeat(np.arange(len(r)), parts)
@@ -382,9 +387,16 @@ def candidates(entries: DataFrame, num: int, den: int, across: bool = False) ->
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+#: At most so many keys of sets (some 10 MB) are broadcast.
+BROADCAST = 500_000
+
+
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) whose sets are similar, by their tokens."""
     ids = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    # few wanted sets are picked where they lie, without a shuffle of all
+    if ids.count() <= BROADCAST:
+        ids = F.broadcast(ids)
     held = sets.select("sig", "toks").join(ids, "sig", "left_semi").groupBy("sig").agg(F.first("toks").alias("toks"))
     both = pairs.join(held.withColumnsRenamed({"sig": "a", "toks": "x"}), "a").join(held.withColumnsRenamed({"sig": "b", "toks": "y"}), "b").select("a", "b", "x", "y")
 
@@ -432,6 +444,7 @@ def similar_classes(stage: Stage, records: DataFrame, num: int = 3, den: int = 4
     sets = sets.withColumn("sig", F.xxhash64("kind", "sig"))
     counts = count_tokens(sets)
     found = stage.keep(candidates(postings(sets, counts, num, den, list_lengths(sets, counts, num, den)), num, den), "candidates")
+    stage.free()
     links = stage.keep(verify(found, sets, num, den), "links")
     stage.drop("candidates")
     return sets.select("kind", "id", "sig").distinct(), links
