@@ -16,12 +16,17 @@ NOISE = {
     "char_repetition": r"(.)\1{4,}",
     "page_number_header": r"^第\d+页|^\s*Page\s*\d+\s*$",
     "repeated_header": r"^(碳纤维|Carbon Fiber|CFRP|第\d+章|Chapter\s+\d+)\s*$",
+    "garbled_unicode": r"[^\p{L}\p{N}_\s\u4e00-\u9fff\u3000-\u303f\uff00-\uffef.,;:!?()\[\]{}\"'/@#$%&*-+=<>~°μΩαβγδεηθλπσφψω℃±×÷≈≠≤≥∝∞∫∑∂√∇≡⊥∠∥∏]",
     "broken_line_hyphen": r"-\s*\n\s*",
 }
 HEADERS = [r"第\d+页", r"Page\s*\d+", r"\d+$", r"第\d+章\s*.*$", r"Chapter\s+\d+", r"目\s*录$", r"Contents$", r"碳纤维.*丛书$", r"Carbon Fiber.*Series$"]
 FORMULA = [r"[=≈≠≤≥±×÷∝∞∫∑∂√∇≡]", r"[αβγδεηθλπσφψωμΩ]", r"\b\d+\s*[°%℃]\b", r"[Ee]\s*[=≈]\s*[\d.×]+", r"σ|ρ|ε|η|ν|ξ|λ|μ|κ|τ", r"\\frac|\\sqrt|\\int|\\sum|\\prod", r"[＋－×÷＝≠≈≤≥]"]
 TABULAR = [r"(\S+\s{2,}\S+\s{2,}\S+\s{2,}\S+)", r"[│┃┤├┬┴┼─━┏┓┗┛]", r"^\s*\S+\t\S+", r"表\s*\d+", r"Table\s+\d+", r"[┌┬┐├┼┤└┴┘]"]
 DOMAIN_TERMS = ["碳纤维", "复合材料", "CFRP", "碳化", "纤维", "树脂", "基体", "carbon", "fiber", "composite", "PAN", "预浸料", "层压"]
+DOMAIN_KEYWORDS = [
+    "碳纤维", "碳素纤维", "碳丝", "碳化", "石墨化", "PAN", "聚丙烯腈", "预浸料", "prepreg", "复合材料", "composite", "基体", "增强", "纤维", "fiber", "fibre", "纺丝", "spinning", "原丝", "力学性能", "拉伸", "压缩", "弯曲", "剪切", "模量", "强度", "固化", "cure", "树脂", "resin", "环氧", "epoxy",
+    "T300", "T700", "T800", "M40", "M55", "M60", "碳纤维布", "碳纤维板", "碳纤维管", "碳纤维加固", "复合材料制备", "成型工艺", "RTM", "真空袋", "热压罐", "层间剪切", "界面", "interfacial", "表面处理", "碳纤维生产", "碳纤维制造", "氧化炉", "碳化炉",
+]
 LABELS = {
     "stage:precursor": ["precursor", "前驱体"], "stage:spinning": ["spinning", "纺丝"], "stage:oxidation": ["oxidation", "stabilization", "预氧化"],
     "stage:carbonization": ["carbonization", "graphitization", "碳化", "石墨化"], "stage:surface_treatment": ["surface treatment", "sizing", "上浆", "表面处理"],

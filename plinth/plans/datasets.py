@@ -8,7 +8,7 @@ from plinth.functions import answers as A
 from plinth.functions import text as T
 from plinth.operators import assemble, dedup, quality, sampling, splitting
 from plinth.operators.ranking import range_rank
-from plinth.plans.registry import CHUNK, SFT, norm, query, strip
+from plinth.plans.registry import CHUNK, SFT, WS, norm, query, strip
 from plinth.plans.texts import chunks, samples
 from plinth.runtime import Stage, table
 
@@ -20,14 +20,28 @@ def items(spark, d):
 # --- filters ---------------------------------------------------------------------------------------------------------
 
 
-@query("items_ready", "SELECT benchmark_id FROM benchmark_item WHERE validation_status = 'passed' AND coalesce(quality_scores.clarity, 0) >= 0.3 AND coalesce(quality_scores.completeness, 0) >= 0.3 AND coalesce(quality_scores.answerability, 0) >= 0.3 AND coalesce(quality_scores.domain_relevance, 0) >= 0.3")
-def items_ready(spark, d):
+def ready(spark, d, least: float):
+    """Items that passed validation with the four scores at ``least`` or more; missing scores count as 0."""
     ok = F.col("validation_status") == "passed"
     for c in ("clarity", "completeness", "answerability", "domain_relevance"):
-        ok = ok & (F.coalesce(F.col(f"quality_scores.{c}"), F.lit(0.0)) >= 0.3)
+        ok = ok & (F.coalesce(F.col(f"quality_scores.{c}"), F.lit(0.0)) >= least)
     return items(spark, d).filter(ok).select("benchmark_id")
 
 
+_READY = "SELECT benchmark_id FROM benchmark_item WHERE validation_status = 'passed' AND " + " AND ".join(f"coalesce(quality_scores.{c}, 0) >= %s" for c in ("clarity", "completeness", "answerability", "domain_relevance"))
+
+
+@query("items_ready", _READY.replace("%s", "0.3"))
+def items_ready(spark, d):
+    return ready(spark, d, 0.3)
+
+
+@query("items_publishable", _READY.replace("%s", "0.7"))
+def items_publishable(spark, d):
+    """With the published threshold of the scores."""
+    return ready(spark, d, 0.7)
+
+
 _MARK = " + ".join(f"CASE WHEN contains(o, '{m.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END" for m in A.NO_ANSWER)
 
 
@@ -38,14 +52,26 @@ def sample_gate(spark, d):
     return samples(spark, d, "sample_id", "instruction", "output").select("sample_id", F.size(hard).alias("hard_issues"))
 
 
-@query("sample_issues")
+_WORD = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+"
+_ISSUES = f"""SELECT sample_id, i, o, evidence, list_distinct(regexp_extract_all(substr(o, 1, 200), '{_WORD}')) AS w, list_distinct(regexp_extract_all(substr(array_to_string(coalesce(evidence, [])[1:3], ' '), 1, 500), '{_WORD}')) AS e FROM (SELECT *, coalesce(instruction, '') AS i, coalesce(output, '') AS o FROM {SFT})"""
+_RULES = [
+    (f"length({strip('i')}) < 5", "empty_or_short_instruction", 0.5), (f"length({strip('o')}) < 2", "empty_output", 0.5), ("length(o) > 5000", "output_too_long", 0.2), *[(f"contains(o, '{m.replace(chr(39), chr(39) * 2)}')", f"no_answer: {m.replace(chr(39), chr(39) * 2)}", 0.3) for m in A.NO_ANSWER],
+    (f"o <> '' AND length(regexp_replace(o, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}{WS[1:-1]}]', '', 'g')) < length(o) * 0.3", "output_mostly_noise", 0.4),
+    (f"NOT ({' OR '.join(f'contains(i || o, {chr(39)}{t}{chr(39)})' for t in T.DOMAIN_TERMS)})", "no_domain_relevance", 0.3), ("coalesce(len(evidence), 0) > 0 AND len(list_intersect(w, e)) < 2 AND len(w) > 5", "low_evidence_support", 0.2), ("length(i) > 2000", "instruction_too_long", 0.1),
+]
+_NAMES = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n, _ in _RULES) + "], lambda x: x IS NOT NULL)"
+_SCORE = "greatest(0.0, 1 - (" + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0.0 END" for c, _, p in _RULES) + "))"
+
+
+@query("sample_issues", f"SELECT sample_id, array_to_string(n, ';') AS issues, round(CAST(s AS DOUBLE), 3) AS score, len(n) = 0 AND s >= 0.5 AS passed FROM (SELECT sample_id, {_NAMES} AS n, {_SCORE} AS s FROM ({_ISSUES}))")
 def sample_issues(spark, d):
     """Issues of every sample, its score and whether it passes (no issue at all and 0.5 or more)."""
     names, score = quality.issues(F.col("instruction"), F.col("output"), F.col("evidence"), [(F.length("instruction") > 2000, "instruction_too_long", 0.1)])
-    return samples(spark, d, "sample_id", "instruction", "output", "evidence").select("sample_id", names.alias("issues"), F.round(score, 3).alias("score")).withColumn("passed", (F.size("issues") == 0) & (F.col("score") >= 0.5))
+    return samples(spark, d, "sample_id", "instruction", "output", "evidence").select("sample_id", F.array_join(names, ";").alias("issues"), F.round(score, 3).alias("score")).withColumn("passed", (F.col("issues") == "") & (F.col("score") >= 0.5))
 
 
-@query("support_tiers")
+@query("support_tiers", f"""WITH w AS (SELECT sample_id, list_distinct(regexp_extract_all(substr(coalesce(output, ''), 1, 100000), '{_WORD}')) AS o, list_distinct(regexp_extract_all(substr(array_to_string(coalesce(evidence, []), ' '), 1, 100000), '{_WORD}')) AS e FROM {SFT}), s AS (SELECT sample_id, CASE WHEN len(o) = 0 THEN 0.0 ELSE CAST(len(list_intersect(o, e)) AS DOUBLE) / len(o) END AS support FROM w)
+SELECT sample_id, CAST(support AS DOUBLE) AS support, CASE WHEN support >= 0.25 THEN 'gold' WHEN support >= 0.15 THEN 'silver' ELSE 'rejected' END AS tier FROM s""")
 def support_tiers(spark, d):
     """gold, silver or rejected by the share of an answer's words that its evidence has."""
     words = lambda c: quality.overlap_words(c, 100_000)

@@ -79,7 +79,19 @@ def language_by_document(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", T.detect_language(F.col("text")).alias("detected"), T.is_chinese(F.col("text")).alias("chinese"))
 
 
-@query("noise_flags")
+_REPEATED = "list_bool_or(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 1) NOT IN (chr(10), chr(13)) AND substr(t, i, 5) = repeat(substr(t, i, 1), 5)))"
+_GARBLED = "[^\\p{L}\\p{N}_\\s\\x{4e00}-\\x{9fff}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}.,;:!?()\\[\\]{}\"''/@#$%&*-+=<>~°μΩαβγδεηθλπσφψω℃±×÷≈≠≤≥∝∞∫∑∂√∇≡⊥∠∥∏]"
+
+
+@query("noise_flags", f"""WITH c AS (SELECT chunk_id, original_text AS t FROM {CHUNK} WHERE original_text IS NOT NULL), long AS (SELECT * FROM c WHERE length({strip('t')}) >= 15)
+SELECT chunk_id, 'empty_page' AS issue FROM c WHERE length({strip('t')}) < 15
+UNION ALL SELECT chunk_id, 'box_drawing' FROM long WHERE regexp_matches(t, '[{T.BOX}]')
+UNION ALL SELECT chunk_id, 'irregular_spacing' FROM long WHERE regexp_matches(t, '\\S\\s{{3,}}\\S')
+UNION ALL SELECT chunk_id, 'char_repetition' FROM long WHERE coalesce({_REPEATED}, false)
+UNION ALL SELECT chunk_id, 'page_number_header' FROM long WHERE regexp_matches(t, '^第\\d+页|^\\s*Page\\s*\\d+\\s*$')
+UNION ALL SELECT chunk_id, 'repeated_header' FROM long WHERE regexp_matches(t, '^(碳纤维|Carbon Fiber|CFRP|第\\d+章|Chapter\\s+\\d+)\\s*$')
+UNION ALL SELECT chunk_id, 'garbled_unicode' FROM long WHERE regexp_matches(t, '{_GARBLED}')
+UNION ALL SELECT chunk_id, 'broken_line_hyphen' FROM long WHERE regexp_matches(t, '-\\s*\\n\\s*')""")
 def noise_flags(spark, d):
     """One row per chunk and noise pattern of its page text."""
     return chunks(spark, d, "chunk_id", "original_text").select("chunk_id", F.explode(T.noise_issues(F.col("original_text"))).alias("issue"))
@@ -132,12 +144,12 @@ def token_estimates(spark, d):
     return samples(spark, d, "sample_id", "instruction", "output").select("sample_id", T.estimate_tokens(F.col("instruction")).cast("bigint").alias("prompt_tokens"), T.estimate_tokens(F.col("output")).cast("bigint").alias("answer_tokens"))
 
 
-_TERMS = " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in T.DOMAIN_TERMS)
+_TERMS = " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in T.DOMAIN_KEYWORDS)
 
 
 @query("domain_relevance", f"SELECT doc_id, ({_TERMS}) AS relevant FROM documents WHERE text IS NOT NULL")
 def domain_relevance(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.contains_any(F.col("text"), T.DOMAIN_TERMS, True).alias("relevant"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.contains_any(F.col("text"), T.DOMAIN_KEYWORDS, True).alias("relevant"))
 
 
 def _labels_sql(c: str) -> str:
@@ -212,7 +224,7 @@ def dedup_words(sets, least: float):
 
 
 @query("sign_code_pairs", """WITH c AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings)
-SELECT a, b, distance FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT AS distance FROM c x JOIN c y ON x.vec_id < y.vec_id) WHERE distance <= 18 AND distance > 0""")
+SELECT a, b, distance FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT AS distance FROM c x JOIN c y ON x.vec_id < y.vec_id) WHERE distance <= 18""")
 def sign_code_pairs(spark, d):
     codes = table(spark, d, "embeddings").select("vec_id", similarity.sign_code(F.col("embedding")).alias("code"))
     return similarity.hamming_pairs(codes, "vec_id", "code", 18)
