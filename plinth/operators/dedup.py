@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,16 +49,16 @@ def surplus_ids(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct(key).alias("ids")).withColumn("surplus", F.col("row_count") - F.col("ids"))
 
 
-def leaders(stage: Stage, pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
+def leaders(stage: Stage, pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(leader, member): greedy leader clustering: in order of key, each row that no one has claimed claims its later similar rows.
 
     ``pairs``: each similar pair once, a < b. The order's result is reached in rounds, over all rows at once: a row none of whose earlier
-    neighbours is still open leads, later neighbours of leaders are claimed. Rows in no pair are not listed.
+    neighbours is still open leads, later neighbours of leaders are claimed. Each round settles the first open row at least, so the rounds end. Rows in no pair are not listed.
     """
     edges = stage.keep(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "pairs")
     node = edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k"))).distinct()
     state = stage.keep(node.select("k", F.lit(0).alias("s")), "state0")  # 0 open, 1 leads, 2 claimed
-    for n in range(1, max_rounds):
+    for n in itertools.count(1):
         open_ = state.filter("s = 0").select("k")
         left = edges.join(open_.withColumnRenamed("k", "a"), "a", "left_semi").join(open_.withColumnRenamed("k", "b"), "b", "left_semi")
         lead = open_.join(left.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
@@ -68,7 +70,6 @@ def leaders(stage: Stage, pairs: DataFrame, a: str, b: str, max_rounds: int = 20
             leads = state.filter("s = 1").select(F.col("k").alias("a"))
             members = state.filter("s = 2").select(F.col("k").alias("b"))
             return edges.join(leads, "a", "left_semi").join(members, "b", "left_semi").groupBy("b").agg(F.min("a").alias("leader")).select("leader", F.col("b").alias("member"))
-    raise RuntimeError(f"leaders were not settled in {max_rounds} rounds")
 
 
 def code_groups(stage: Stage, df: DataFrame, key: str, code: str, most: int) -> DataFrame:

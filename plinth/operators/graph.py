@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,13 +95,13 @@ def greedy_select(scored: DataFrame, budget: int, lam: float = 0.6, mu: float =
     return scored.select("start", "node", "name", "kind", "score", "tokens").groupBy("start").applyInPandas(pick, f"start {kinds['start']}, node {kinds['node']}, place bigint, gain double")
 
 
-def levels(stage: Stage, steps: DataFrame, needs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def levels(stage: Stage, steps: DataFrame, needs: DataFrame) -> DataFrame:
     """(step, level): level 0 has no unmet needs, others one more than their deepest need; steps of a cycle have null.
 
     ``steps``: step; ``needs``: (step, need). Needs that are no steps are unmet for ever.
     """
     done = stage.keep(steps.join(needs.select("step").distinct(), "step", "left_anti").select("step", F.lit(0).cast("bigint").alias("level")), "level0")
-    for k in range(1, max_rounds):
+    for k in itertools.count(1):
         open_ = steps.join(done, "step", "left_anti")
         blocked = needs.join(done.select(F.col("step").alias("need")), "need", "left_anti").select("step").distinct()
         ready = open_.join(blocked, "step", "left_anti").select("step", F.lit(k).cast("bigint").alias("level"))
@@ -107,4 +109,3 @@ def levels(stage: Stage, steps: DataFrame, needs: DataFrame, max_rounds: int = 2
         if new.count() == done.count():
             return steps.join(new, "step", "left")
         done = new
-    raise RuntimeError(f"more than {max_rounds} levels")

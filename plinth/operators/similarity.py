@@ -28,10 +28,10 @@ def sign_code(v: Column) -> Column:
 
 
 def hamming_pairs(df: DataFrame, key: str, code: str, most: int = 8) -> DataFrame:
-    """(a, b, distance) of all pairs of distinct keys with at most ``most`` differing bits of 64.
+    """(a, b, distance) of all pairs of distinct keys, a < b, with at most ``most`` differing bits of 64, equal codes (distance 0) included.
 
     The code is cut into most + 1 bands, of which one at least is equal in such a pair; pairs are reported by their first equal
-    band. Equal codes are one class, so that a crowd of copies is not compared with itself.
+    band. Codes are compared once, whatever the number of their rows; ``code_classes`` has them with their members, where copies need not be expanded into pairs.
     """
     bands = most + 1
     edges = [i * 64 // bands for i in range(bands + 1)]
@@ -44,7 +44,9 @@ def hamming_pairs(df: DataFrame, key: str, code: str, most: int = 8) -> DataFram
     near = x.join(y, ["band", "v"]).filter("x < y").filter(first).withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("bigint")).filter(F.col("distance") <= most)
     m = df.select(F.col(key).alias("k"), F.col(code).alias("code"))
     across = near.join(m.withColumnsRenamed({"k": "a", "code": "x"}), "x").join(m.withColumnsRenamed({"k": "b", "code": "y"}), "y").select("a", "b", "distance")
-    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    m = m.filter("code is not null")
+    inside = m.withColumnRenamed("k", "a").join(m.withColumnRenamed("k", "b"), "code").filter("a < b").select("a", "b", F.lit(0).cast("bigint").alias("distance"))
+    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").unionByName(inside).distinct()
 
 
 def dot(a: Column, b: Column) -> Column:

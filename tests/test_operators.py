@@ -58,7 +58,7 @@ def test_hamming_matches_brute_force(spark):
     codes = base + [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 10))) for b in base for _ in range(5)]
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame(list(enumerate(signed)), "id bigint, code bigint")
-    want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if 0 < (codes[i] ^ codes[j]).bit_count() <= 8}
+    want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (codes[i] ^ codes[j]).bit_count() <= 8}
     got = similarity.hamming_pairs(df, "id", "code", 8).collect()
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
