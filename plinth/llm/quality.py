@@ -420,7 +420,7 @@ def text_statistics(docs: DataFrame, key: str, text: str, common: frozenset[str]
     if labels is not None:
         some = labels.filter(F.col("text_kind").isin(*KINDS) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("text_kind").alias("said")).orderBy(F.xxhash64("key"), "said").limit(LABELS)
         rows = src.join(F.broadcast(some), "key").select("key", "text").mapInArrow(over(weights), f"key {kind}, {STATS}").join(F.broadcast(some), "key").orderBy("key", "said").collect()
-        weights = fit(np.array([vector(r.asDict()) for r in rows]).reshape(len(rows), -1), np.array([KINDS.index(r["said"]) for r in rows], np.int64))
+        weights = fit(np.array([vector(r.asDict()) for r in rows], float).reshape(len(rows), len(FEATURES) + 1), np.array([KINDS.index(r["said"]) for r in rows], np.int64))
     return src.mapInArrow(over(weights), f"key {kind}, {STATS}").withColumnRenamed("key", key)
 
 
