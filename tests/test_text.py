@@ -16,7 +16,7 @@ def test_language(spark):
 
 def test_noise(spark):
     got = one(spark, ["", "abc", "表格内容 ─── │┃┏┓ 数据 一二三四五", "碳纤维    材料     应用 一二三四五六七八", "aaaaaaa and more text here"], T.noise_issues)
-    assert got == [["empty_page"], ["empty_page"], ["box_drawing"], ["irregular_spacing", "char_repetition"], ["char_repetition"]]
+    assert got == [["empty_page"], ["empty_page"], ["box_drawing", "garbled_unicode"], ["irregular_spacing", "char_repetition"], ["char_repetition"]]
 
 
 def test_headers(spark):
