@@ -36,11 +36,43 @@ def undirected(edges: DataFrame, a: str = "source_id", b: str = "target_id") ->
     return e.union(e.select("y", "x")).distinct()
 
 
+def reach(near: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(start, node) one hop from each start node, (start, same) and (same, node) two hops and not one from the starts of class ``same``.
+
+    Start nodes with the same neighbours are one class, named by its least start, as they have the same second hop but for themselves: each
+    start's own row is still among its class's nodes. Sets are compared by 128 bits of hash and their size.
+    """
+    one = start.select("start").distinct().join(near.withColumnsRenamed({"x": "start", "y": "node"}), "start").select("start", "node")
+    sets = one.groupBy("start").agg(*[F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (0, 1)], F.count(F.lit(1)).alias("n"))
+    named = sets.groupBy("h0", "h1", "n").agg(F.min("start").alias("same"))
+    same = sets.join(named, ["h0", "h1", "n"]).select("start", "same")
+    first = one.join(named.select(F.col("same").alias("start")), "start", "left_semi").select(F.col("start").alias("same"), "node")
+    second = first.join(near.withColumnsRenamed({"x": "node", "y": "far"}), "node").select("same", F.col("far").alias("node")).distinct()
+    return one, same, second.join(first, ["same", "node"], "left_anti")
+
+
+def spread(same: DataFrame, rows: DataFrame, size: int = 1000) -> DataFrame:
+    """``start`` and the columns of ``rows`` (same, node, ...) for all starts of each class (start, same) but a node itself.
+
+    Starts and rows of a class are cut into blocks of about ``size``, and each pair of blocks is a unit of its own, so only blocks are shuffled and a class of any size
+    is shared by all tasks.
+    """
+
+    def blocks(df: DataFrame, key: str, name: str, number: str) -> DataFrame:
+        n = df.groupBy("same").agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+        cut = df.join(n, "same").withColumn(number, F.pmod(F.xxhash64(key), "_n"))
+        return cut.groupBy("same", number).agg(F.collect_list(F.struct(*[c for c in df.columns if c != "same"])).alias(name))
+
+    units = blocks(same, "start", "_starts", "_i").join(blocks(rows, "node", "_rows", "_j"), "same").repartition("same", "_i", "_j")
+    each = units.select(F.explode("_starts.start").alias("start"), "_rows").select("start", F.explode("_rows").alias("_row"))
+    return each.filter("start <> _row.node").select("start", "_row.*")
+
+
 def within_two_hops(near: DataFrame, start: DataFrame) -> DataFrame:
     """(start, node, hops) of the distinct nodes one or two hops from each start node, least hops."""
-    one = start.join(near.withColumnsRenamed({"x": "start", "y": "node"}), "start").select("start", "node")
-    two = one.join(near.withColumnsRenamed({"x": "node", "y": "far"}), "node").select("start", F.col("far").alias("node"))
-    return one.withColumn("hops", F.lit(1)).union(two.withColumn("hops", F.lit(2))).filter("start <> node").groupBy("start", "node").agg(F.min("hops").cast("bigint").alias("hops"))
+    one, same, second = reach(near, start)
+    hops = lambda k: F.lit(k).cast("bigint").alias("hops")
+    return one.select("start", "node", hops(1)).unionByName(spread(same, second).select("start", "node", hops(2)))
 
 
 def remove_nodes(edges: DataFrame, gone: DataFrame, key: str = "node_id") -> DataFrame:

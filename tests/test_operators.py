@@ -115,6 +115,29 @@ def test_greedy_redundancy(spark):
     assert [r["node"] for r in graph.greedy_select(df, 8000).orderBy("place").collect()] == ["a", "c"]
     assert [r["node"] for r in graph.greedy_select(df, 400).orderBy("place").collect()] == ["a"]
 
+def test_two_hops_by_classes_of_starts(spark):
+    rnd = random.Random(3)
+    pairs = [(f"s{i}", "hub") for i in range(300)] + [(f"c{i}", "hub") for i in range(700)] + [(f"s{rnd.randrange(320)}", f"m{rnd.randrange(8)}") for _ in range(60)] + [("s1", "s1"), ("s2", "s3")]
+    near = graph.undirected(spark.createDataFrame(pairs, "source_id string, target_id string"))
+    start = spark.createDataFrame([(f"s{i}",) for i in [*range(320), 1, 1]], "start string")
+    of: dict = {}
+    for x, y in pairs:
+        if x != y:
+            of.setdefault(x, set()).add(y)
+            of.setdefault(y, set()).add(x)
+    want = {}
+    for s in {f"s{i}" for i in range(320)} & of.keys():
+        want |= {(s, z): 2 for y in of[s] for z in of[y]} | {(s, y): 1 for y in of[s]}
+        want.pop((s, s), None)
+    got = graph.within_two_hops(near, start).collect()
+    assert len(got) == len(want) and {(r["start"], r["node"]): r["hops"] for r in got} == want
+    # starts that have only the hub are one class, and its second hop is joined once
+    one, same, second = graph.reach(near, start)
+    classes = len({frozenset(of[s]) for s, _ in want})
+    assert same.select("same").distinct().count() == classes and second.count() <= classes * 1008 < len(want)
+    few = graph.spread(same, second, 7)
+    assert sorted((r["start"], r["node"]) for r in few.collect()) == sorted(k for k, h in want.items() if h == 2)
+
 
 def test_paired_tests(spark):
     rows = [(True, False)] * 8 + [(False, True)] * 2 + [(True, True)] * 5
