@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.runtime import Stage
+from plinth.runtime import Stage, ship
 
 # Weights of the edge score and tokens by type of node.
 WEIGHTS = {"relevance": 1.0, "dependency": 0.5, "recency": 0.3, "trust": 0.4, "redundancy": -0.6, "cost": -0.2}
@@ -82,18 +83,84 @@ def remove_nodes(edges: DataFrame, gone: DataFrame, key: str = "node_id") -> Dat
     return edges
 
 
-def candidate_scores(candidates: DataFrame, edges: DataFrame, beta: float = 0.3, gamma: float = 0.4) -> DataFrame:
-    """Adds ``score`` to (start, node, quality): relevance + beta * dependency + gamma * trust of the edge with the least id.
+def node_score(quality: Column, edge: Column | None = None, beta: float = 0.3, gamma: float = 0.4) -> Column:
+    """relevance + beta * dependency + gamma * trust of an edge (struct).
 
     Stored scores of 0 count as missing, and nodes without an edge have relevance 0.5, dependency and trust 0; trust is at least
     the node's quality.
     """
+    given = lambda c, d: F.lit(d) if edge is None else F.coalesce(F.nullif(edge[c], F.lit(0.0)), F.lit(d))
+    return given("relevance", 0.5) + beta * given("dependency", 0.0) + gamma * F.greatest(given("trust", 0.0), F.coalesce(quality, F.lit(0.0)))
+
+
+def candidate_scores(candidates: DataFrame, edges: DataFrame, beta: float = 0.3, gamma: float = 0.4) -> DataFrame:
+    """Adds ``score`` to (start, node, quality): that of the edge with the least id by ``node_score``."""
     both = edges.select(F.col("source_id").alias("start"), F.col("target_id").alias("node"), "edge_id", "relevance", "dependency", "trust")
     both = both.unionByName(both.select(F.col("node").alias("start"), F.col("start").alias("node"), "edge_id", "relevance", "dependency", "trust"))
     best = both.groupBy("start", "node").agg(F.min_by(F.struct("relevance", "dependency", "trust"), "edge_id").alias("e"))
-    given = lambda c, d: F.coalesce(F.nullif(F.col(f"e.{c}"), F.lit(0.0)), F.lit(d))
     out = candidates.join(best, ["start", "node"], "left")
-    return out.withColumn("score", given("relevance", 0.5) + beta * given("dependency", 0.0) + gamma * F.greatest(given("trust", 0.0), F.coalesce("quality", F.lit(0.0)))).drop("e")
+    return out.withColumn("score", node_score(F.col("quality"), F.col("e"), beta, gamma)).drop("e")
+
+
+class Candidates:
+    """Candidates (node, name, kind, score, tokens) by falling score, ties by node; those without score or tokens are never chosen."""
+
+    BLOCK = 512
+
+    def __init__(self, f: pd.DataFrame):
+        f = f.dropna(subset=["score", "tokens"]).sort_values(["score", "node"], ascending=[False, True])
+        self.rows = list(zip((-f["score"]).tolist(), f["node"].tolist(), f["name"].tolist(), f["kind"].tolist(), f["tokens"].tolist()))
+        self.tokens = f["tokens"].to_numpy()
+        self.least = np.minimum.reduceat(self.tokens, np.arange(0, len(f), self.BLOCK)) if len(f) else self.tokens
+
+    def fitting(self, i: int, left: float) -> int:
+        """First place from ``i`` on whose tokens are at most ``left``, or the number of rows; blocks without one are passed over."""
+        if i < len(self.rows) and self.rows[i][4] <= left:
+            return i
+        while i < len(self.rows):
+            block = i // self.BLOCK
+            hit = np.flatnonzero(self.tokens[i : (block + 1) * self.BLOCK] <= left)
+            if len(hit):
+                return i + int(hit[0])
+            later = np.flatnonzero(self.least[block + 1 :] <= left)
+            if not len(later):
+                break
+            i = (block + 1 + int(later[0])) * self.BLOCK
+        return len(self.rows)
+
+
+def greedy(lists: list[Candidates], start: object, budget: int, lam: float, mu: float, most: int, default_budget: int) -> list[tuple]:
+    """(start, node, place, gain) of the nodes chosen from the lists as if these were one; ``start`` itself is no candidate."""
+    chosen: list[tuple] = []
+    names: set[str] = set()
+    spent = 0
+    at = [0] * len(lists)
+    while True:
+        best = None
+        for k, c in enumerate(lists):
+            at[k] = c.fitting(at[k], budget - spent)
+            if at[k] < len(c.rows) and (best is None or c.rows[at[k]][:2] < lists[best].rows[at[best]][:2]):
+                best = k
+        if best is None:
+            break
+        score, node, name, kind, tokens = lists[best].rows[at[best]]
+        at[best] += 1
+        if node == start:
+            continue
+        words = set(name.split())
+        many = max(len(name.split()), 1)
+        red = max([1.0 if n == name else len(w & words) / many for n, k, w in (c[4:] for c in chosen) if n == name or k == kind], default=0.0)
+        gain = -score - lam * min(red, 1.0) - mu * tokens / default_budget
+        if gain > 0 and name not in names:
+            chosen.append((start, node, len(chosen) + 1, gain, name, kind, words))
+            names.add(name)
+            spent += tokens
+        if len(chosen) >= most:
+            break
+    return [c[:4] for c in chosen]
+
+
+CHOSEN = ["start", "node", "place", "gain"]
 
 
 def greedy_select(scored: DataFrame, budget: int, lam: float = 0.6, mu: float = 0.2, most: int = 50, default_budget: int = 8000) -> DataFrame:
@@ -102,31 +169,35 @@ def greedy_select(scored: DataFrame, budget: int, lam: float = 0.6, mu: float =
     Redundancy is 1 for an equal name, else the share of the name's words in a selected name of the same kind. Input:
     start, node, name, kind, score, tokens. A start's candidates are its two-hop neighbourhood.
     """
+    ship(scored.sparkSession)
 
     def pick(f: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[tuple] = []
-        names: set[str] = set()
-        spent = 0
-        for r in f.sort_values(["score", "node"], ascending=[False, True]).itertuples():
-            if spent + r.tokens > budget:
-                continue
-            words = r.name.split()
-            red = max([1.0 if n == r.name else len(set(n.split()) & set(words)) / max(len(words), 1) for n, k in ((c[1], c[2]) for c in chosen) if n == r.name or k == r.kind], default=0.0)
-            gain = r.score - lam * min(red, 1.0) - mu * r.tokens / default_budget
-            if gain > 0 and r.name not in names:
-                chosen.append((r.node, r.name, r.kind, len(chosen) + 1, gain))
-                names.add(r.name)
-                spent += r.tokens
-            if len(chosen) >= most:
-                break
-        out = pd.DataFrame([(c[0], c[3], c[4]) for c in chosen], columns=["node", "place", "gain"])
-        out.insert(0, "start", f["start"].iloc[0])
-        return out
+        return pd.DataFrame(greedy([Candidates(f)], f["start"].iloc[0], budget, lam, mu, most, default_budget), columns=CHOSEN)
 
     kinds = dict(scored.dtypes)
     return scored.select("start", "node", "name", "kind", "score", "tokens").groupBy("start").applyInPandas(pick, f"start {kinds['start']}, node {kinds['node']}, place bigint, gain double")
 
 
+def greedy_select_shared(own: DataFrame, same: DataFrame, shared: DataFrame, budget: int, lam: float = 0.6, mu: float = 0.2, most: int = 50, default_budget: int = 8000, size: int = 1000) -> DataFrame:
+    """``greedy_select`` where starts of a class (start, same) have the candidates ``shared`` (same, node, ...) but themselves besides their ``own`` (start, node, ...).
+
+    A class's candidates are ordered once for about ``size`` starts, not for each. Every start has some of its own.
+    """
+    ship(own.sparkSession)
+    n = same.groupBy("same").agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+    block = same.join(n, "same").select("start", "same", F.pmod(F.xxhash64("start"), "_n").alias("_i"))
+    columns = ["node", "name", "kind", "score", "tokens"]
+    left = own.select("start", *columns).join(block, "start")
+    right = shared.select(F.col("same").alias("_same"), *columns).join(block.select(F.col("same").alias("_same"), F.col("_i").alias("_j")).distinct(), "_same")
+
+    def pick(mine: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
+        common = Candidates(all_)
+        return pd.DataFrame([c for s, f in mine.groupby("start", sort=False) for c in greedy([Candidates(f), common], s, budget, lam, mu, most, default_budget)], columns=CHOSEN)
+
+    kinds = dict(left.dtypes)
+    return left.groupBy("same", "_i").cogroup(right.groupBy("_same", "_j")).applyInPandas(pick, f"start {kinds['start']}, node {kinds['node']}, place bigint, gain double")
+
+
 def levels(stage: Stage, steps: DataFrame, needs: DataFrame) -> DataFrame:
     """(step, level): level 0 has no unmet needs, others one more than their deepest need; steps of a cycle have null.
 

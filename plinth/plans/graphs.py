@@ -42,22 +42,30 @@ def two_hops(spark, d):
 
 
 def scored(spark, d):
-    near = two_hops(spark, d).join(edges(spark, d).select(F.col("source_id").alias("node"), (F.col("k") % 3 / 3).alias("quality")).groupBy("node").agg(F.max("quality").alias("quality")), "node", "left")
-    return graph.candidate_scores(near, edges(spark, d))
+    """Scored nodes of one hop (start, node), classes of starts (start, same) and scored nodes two hops from these (same, node)."""
+    e = edges(spark, d)
+    start = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("start"))
+    one, same, second = graph.reach(graph.undirected(e), start)
+    quality = e.select(F.col("source_id").alias("node"), (F.col("k") % 3 / 3).alias("quality")).groupBy("node").agg(F.max("quality").alias("quality"))
+    own, shared = (x.join(quality, "node", "left").withColumn("hops", F.lit(hops).cast("bigint")) for x, hops in ((one, 1), (second, 2)))
+    # an edge to the start would make it one hop
+    return graph.candidate_scores(own, e), same, shared.withColumn("score", graph.node_score(F.col("quality")))
 
 
 @query("candidate_scores")
 def candidate_scores(spark, d):
     """Score of every node within two hops of a supplier."""
-    return scored(spark, d).select("start", "node", "hops", "score")
+    own, same, shared = scored(spark, d)
+    return own.select("start", "node", "hops", "score").unionByName(graph.spread(same, shared.select("same", "node", "hops", "score")))
 
 
 @query("selected_context")
 def selected_context(spark, d):
     """Nodes chosen for each supplier within 4000 tokens."""
     kind = F.when(F.col("node").startswith("n"), "task").when(F.col("node").startswith("r"), "constraint").otherwise("artifact")
-    s = scored(spark, d).withColumn("kind", kind).withColumn("name", F.concat_ws(" ", "kind", "node")).withColumn("tokens", graph.node_tokens(F.col("kind")).cast("bigint"))
-    return graph.greedy_select(s, 4000)
+    own, same, shared = scored(spark, d)
+    own, shared = (x.withColumn("kind", kind).withColumn("name", F.concat_ws(" ", "kind", "node")).withColumn("tokens", graph.node_tokens(F.col("kind")).cast("bigint")) for x in (own, shared))
+    return graph.greedy_select_shared(own, same, shared, 4000)
 
 
 @query("context_packages")

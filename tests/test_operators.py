@@ -138,6 +138,33 @@ def test_two_hops_by_classes_of_starts(spark):
     few = graph.spread(same, second, 7)
     assert sorted((r["start"], r["node"]) for r in few.collect()) == sorted(k for k, h in want.items() if h == 2)
 
+def test_shared_selection_is_that_of_each_start(spark):
+    rnd = random.Random(5)
+    kinds = ["task", "tool", "artifact", "constraint"]
+    shared = [("s0", f"s{i}" if i < 40 else f"n{i}", f"{rnd.choice('abcde')} {rnd.choice('vwxyz')}", rnd.choice(kinds), rnd.choice([0.2, 0.5, 0.7, None]), rnd.choice([150, 400, 700])) for i in range(1500)]
+    own = [(f"s{i}", f"m{k}", f"own {k}", rnd.choice(kinds), rnd.random(), 200) for i in range(40) for k in range(2)]
+    names = "node string, name string, kind string, score double, tokens bigint"
+    o, c = spark.createDataFrame(own, f"start string, {names}"), spark.createDataFrame(shared, f"same string, {names}")
+    same = spark.createDataFrame([(f"s{i}", "s0") for i in range(40)], "start string, same string")
+    whole = o.unionByName(c.join(same, "same").filter("start <> node").drop("same"))
+    for budget, most in ((1000, 50), (9000, 6)):
+
+        def slow(rows):
+            out, chosen, spent = [], [], 0
+            for node, name, kind, score, size in sorted(rows, key=lambda r: (-r[3], r[0])):
+                if spent + size <= budget and len(chosen) < most:
+                    red = max([1.0 if n == name else len(set(n.split()) & set(name.split())) / len(name.split()) for n, k in chosen if n == name or k == kind], default=0.0)
+                    gain = score - 0.6 * red - 0.2 * size / 8000
+                    if gain > 0 and name not in {n for n, _ in chosen}:
+                        chosen.append((name, kind))
+                        spent += size
+                        out.append((node, len(chosen), gain))
+            return out
+
+        want = sorted((f"s{i}", *r) for i in range(40) for r in slow([r[1:] for r in own if r[0] == f"s{i}"] + [r[1:] for r in shared if r[4] is not None and r[1] != f"s{i}"]))
+        assert sorted(tuple(r) for r in graph.greedy_select_shared(o, same, c, budget, most=most, size=7).collect()) == want
+        assert sorted(tuple(r) for r in graph.greedy_select(whole, budget, most=most).collect()) == want
+
 
 def test_paired_tests(spark):
     rows = [(True, False)] * 8 + [(False, True)] * 2 + [(True, True)] * 5
