@@ -138,6 +138,23 @@ def test_two_hops_by_classes_of_starts(spark):
     few = graph.spread(same, second, 7)
     assert sorted((r["start"], r["node"]) for r in few.collect()) == sorted(k for k, h in want.items() if h == 2)
 
+
+def test_scores_of_the_second_hop_are_those_of_its_class(spark, tmp_path):
+    from plinth.plans import graphs
+
+    put = lambda name, rows, cols: spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("customer", [(i, i % 3) for i in range(200)], "c_custkey bigint, c_nationkey int")
+    put("supplier", [(i, i % 3) for i in range(90)], "s_suppkey bigint, s_nationkey int")
+    put("nation", [(i, i % 2) for i in range(3)], "n_nationkey int, n_regionkey int")
+    e, near = graphs.edges(spark, str(tmp_path)), graphs.two_hops(spark, str(tmp_path))
+    quality = e.groupBy(F.col("source_id").alias("node")).agg(F.max(F.col("k") % 3 / 3).alias("quality"))
+    want = graph.candidate_scores(near.join(quality, "node", "left"), e).select("start", "node", "hops", "score")
+    got = graphs.candidate_scores(spark, str(tmp_path))
+    assert got.count() == want.count() == near.count() and got.exceptAll(want).count() == 0
+    # a score per class and node of the second hop, not per start
+    assert graphs.scored(spark, str(tmp_path))[2].count() <= 3 * 99
+
+
 def test_shared_selection_is_that_of_each_start(spark):
     rnd = random.Random(5)
     kinds = ["task", "tool", "artifact", "constraint"]
