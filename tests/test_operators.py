@@ -155,6 +155,26 @@ def test_scores_of_the_second_hop_are_those_of_its_class(spark, tmp_path):
     assert graphs.scored(spark, str(tmp_path))[2].count() <= 3 * 99
 
 
+def test_packages_come_from_shared_candidates(spark, tmp_path):
+    from plinth.plans import graphs
+
+    put = lambda name, rows, cols: spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("customer", [(i, i % 3) for i in range(40)], "c_custkey bigint, c_nationkey int")
+    put("supplier", [(i, i % 3) for i in range(12)], "s_suppkey bigint, s_nationkey int")
+    put("nation", [(i, i % 2) for i in range(3)], "n_nationkey int, n_regionkey int")
+    kind = F.when(F.col("node").startswith("n"), "task").when(F.col("node").startswith("r"), "constraint").otherwise("artifact")
+    whole = graphs.candidate_scores(spark, str(tmp_path)).withColumn("kind", kind).withColumn("name", F.concat_ws(" ", "kind", "node")).withColumn("tokens", graph.node_tokens(F.col("kind")).cast("bigint"))
+    want: dict = {}
+    for r in graph.greedy_select(whole, 4000).collect():
+        k = {"n": "task", "r": "constraint"}.get(r["node"][0], "artifact")
+        want.setdefault(r["start"], {}).setdefault(k, []).append(r["node"])
+    packages = graphs.context_packages(spark, str(tmp_path))
+    got = {r["start"]: {k: r[k].split() for k in ("artifact", "constraint", "task") if r[k]} for r in packages.collect()}
+    assert len(got) == 12 and got == {s: {k: sorted(v) for k, v in kinds.items()} for s, kinds in want.items()}
+    # a class's candidates meet its starts by block, not each start by itself
+    assert "CoGroups" in packages._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shared_selection_is_that_of_each_start(spark):
     rnd = random.Random(5)
     kinds = ["task", "tool", "artifact", "constraint"]
