@@ -52,6 +52,10 @@ def reach(near: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame, Data
     return one, same, second.join(first, ["same", "node"], "left_anti")
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(same: DataFrame, rows: DataFrame, size: int = 1000) -> DataFrame:
     """``start`` and the columns of ``rows`` (same, node, ...) for all starts of each class (start, same) but a node itself.
 
@@ -64,9 +68,11 @@ def spread(same: DataFrame, rows: DataFrame, size: int = 1000) -> DataFrame:
         cut = df.join(n, "same").withColumn(number, F.pmod(F.xxhash64(key), "_n"))
         return cut.groupBy("same", number).agg(F.collect_list(F.struct(*[c for c in df.columns if c != "same"])).alias(name))
 
-    units = blocks(same, "start", "_starts", "_i").join(blocks(rows, "node", "_rows", "_j"), "same").repartition("same", "_i", "_j")
-    each = units.select(F.explode("_starts.start").alias("start"), "_rows").select("start", F.explode("_rows").alias("_row"))
-    return each.filter("start <> _row.node").select("start", "_row.*")
+    # a stated number of partitions, as adaptive execution would put the units into a few tasks of unlike size
+    units = blocks(same, "start", "_starts", "_i").join(blocks(rows, "node", "_rows", "_j"), "same").repartition(partitions(rows), "same", "_i", "_j")
+    # one loop over a unit's pairs would hold a copy of each of its rows at once; with the lambda Spark generates one for each start
+    each = units.select(F.explode(F.transform("_starts", lambda x: x["start"])).alias("start"), "_rows")
+    return each.select("start", F.inline("_rows")).filter("start <> node")
 
 
 def within_two_hops(near: DataFrame, start: DataFrame) -> DataFrame:

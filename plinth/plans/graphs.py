@@ -48,15 +48,17 @@ def scored(spark, d):
     one, same, second = graph.reach(graph.undirected(e), start)
     quality = e.select(F.col("source_id").alias("node"), (F.col("k") % 3 / 3).alias("quality")).groupBy("node").agg(F.max("quality").alias("quality"))
     own, shared = (x.join(quality, "node", "left").withColumn("hops", F.lit(hops).cast("bigint")) for x, hops in ((one, 1), (second, 2)))
-    # an edge to the start would make it one hop
-    return graph.candidate_scores(own, e), same, shared.withColumn("score", graph.node_score(F.col("quality")))
+    # of one hop only edges at a start matter; an edge from the second hop to the start would make it one hop
+    at_start = [e.join(start.withColumnRenamed("start", c), c, "left_semi").select(*e.columns) for c in ("source_id", "target_id")]
+    return graph.candidate_scores(own, at_start[0].unionByName(at_start[1])), same, shared.withColumn("score", graph.node_score(F.col("quality")))
 
 
 @query("candidate_scores")
 def candidate_scores(spark, d):
     """Score of every node within two hops of a supplier."""
     own, same, shared = scored(spark, d)
-    return own.select("start", "node", "hops", "score").unionByName(graph.spread(same, shared.select("same", "node", "hops", "score")))
+    far = graph.spread(same, shared.select("same", "node", "score")).select("start", "node", F.lit(2).cast("bigint").alias("hops"), "score")
+    return own.select("start", "node", "hops", "score").unionByName(far)
 
 
 @query("selected_context")

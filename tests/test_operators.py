@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -155,6 +156,19 @@ def test_scores_of_the_second_hop_are_those_of_its_class(spark, tmp_path):
     assert graphs.scored(spark, str(tmp_path))[2].count() <= 3 * 99
 
 
+def test_spread_is_dealt_evenly_and_row_by_row(spark):
+    same = spark.createDataFrame([(f"s{i}", "s0") for i in range(50)], "start string, same string")
+    rows = spark.createDataFrame([("s0", f"s{i}" if i < 50 else f"c{i}", i / 7) for i in range(200)], "same string, node string, score double")
+    out = graph.spread(same, rows, 10)
+    want = {(f"s{i}", f"s{k}" if k < 50 else f"c{k}", k / 7) for i in range(50) for k in range(200) if i != k}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # units are not put together into a few tasks, and no generated loop holds all pairs of a unit
+    assert "REPARTITION_BY_NUM" in plan
+    assert re.search(r"\*\(\d+\) Generate inline", plan) and not re.search(r"\*\(\d+\) Generate explode", plan)
+
+
 def test_packages_come_from_shared_candidates(spark, tmp_path):
     from plinth.plans import graphs
 
