@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -113,11 +114,30 @@ class Candidates:
 
     BLOCK = 512
 
-    def __init__(self, f: pd.DataFrame):
-        f = f.dropna(subset=["score", "tokens"]).sort_values(["score", "node"], ascending=[False, True])
-        self.rows = list(zip((-f["score"]).tolist(), f["node"].tolist(), f["name"].tolist(), f["kind"].tolist(), f["tokens"].tolist()))
-        self.tokens = f["tokens"].to_numpy()
-        self.least = np.minimum.reduceat(self.tokens, np.arange(0, len(f), self.BLOCK)) if len(f) else self.tokens
+    def __init__(self, rows: list[tuple], tokens: np.ndarray):
+        """``rows``, by falling score: (-score, node, name, kind, tokens)."""
+        self.rows, self.tokens = rows, tokens
+        self.least = np.minimum.reduceat(tokens, np.arange(0, len(rows), self.BLOCK)) if rows else tokens
+
+    @classmethod
+    def by_start(cls, f: pd.DataFrame) -> Iterator[tuple[object, Candidates]]:
+        """Each start of a frame and its candidates; the frame is ordered once, not per start."""
+        code, starts = pd.factorize(f["start"])
+        rows, tokens, code = cls._ordered(f, code)
+        bounds = np.searchsorted(code, np.arange(len(starts) + 1)).tolist()
+        for k, start in enumerate(starts):
+            part = slice(bounds[k], bounds[k + 1])
+            yield start, cls(rows[part], tokens[part])
+
+    @classmethod
+    def of(cls, f: pd.DataFrame) -> Candidates:
+        return cls(*cls._ordered(f, np.zeros(len(f), np.int64))[:2])
+
+    @staticmethod
+    def _ordered(f: pd.DataFrame, code: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        f = f.assign(_code=code).dropna(subset=["score", "tokens"]).sort_values(["_code", "score", "node"], ascending=[True, False, True])
+        rows = list(zip((-f["score"]).tolist(), f["node"].tolist(), f["name"].tolist(), f["kind"].tolist(), f["tokens"].tolist()))
+        return rows, f["tokens"].to_numpy(), f["_code"].to_numpy()
 
     def fitting(self, i: int, left: float) -> int:
         """First place from ``i`` on whose tokens are at most ``left``, or the number of rows; blocks without one are passed over."""
@@ -178,7 +198,7 @@ def greedy_select(scored: DataFrame, budget: int, lam: float = 0.6, mu: float =
     ship(scored.sparkSession)
 
     def pick(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(greedy([Candidates(f)], f["start"].iloc[0], budget, lam, mu, most, default_budget), columns=CHOSEN)
+        return pd.DataFrame(greedy([Candidates.of(f)], f["start"].iloc[0], budget, lam, mu, most, default_budget), columns=CHOSEN)
 
     kinds = dict(scored.dtypes)
     return scored.select("start", "node", "name", "kind", "score", "tokens").groupBy("start").applyInPandas(pick, f"start {kinds['start']}, node {kinds['node']}, place bigint, gain double")
@@ -197,10 +217,12 @@ def greedy_select_shared(own: DataFrame, same: DataFrame, shared: DataFrame, bud
     right = shared.select(F.col("same").alias("_same"), *columns).join(block.select(F.col("same").alias("_same"), F.col("_i").alias("_j")).distinct(), "_same")
 
     def pick(mine: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
-        common = Candidates(all_)
-        return pd.DataFrame([c for s, f in mine.groupby("start", sort=False) for c in greedy([Candidates(f), common], s, budget, lam, mu, most, default_budget)], columns=CHOSEN)
+        common = Candidates.of(all_)
+        return pd.DataFrame([c for s, own in Candidates.by_start(mine) for c in greedy([own, common], s, budget, lam, mu, most, default_budget)], columns=CHOSEN)
 
     kinds = dict(left.dtypes)
+    # a stated number of partitions, as adaptive execution would put the blocks into a few tasks of unlike size
+    left, right = left.repartition(partitions(own), "same", "_i"), right.repartition(partitions(own), "_same", "_j")
     return left.groupBy("same", "_i").cogroup(right.groupBy("_same", "_j")).applyInPandas(pick, f"start {kinds['start']}, node {kinds['node']}, place bigint, gain double")
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -217,6 +218,20 @@ def test_shared_selection_is_that_of_each_start(spark):
         assert sorted(tuple(r) for r in graph.greedy_select(whole, budget, most=most).collect()) == want
 
 
+def test_own_candidates_are_ordered_once_for_all_starts(monkeypatch):
+    rnd = random.Random(8)
+    rows = [(f"s{i % 90}", f"n{k}", f"name {k}", "tool", rnd.choice([0.1, 0.5, None]), rnd.choice([200, 700])) for k, i in enumerate(rnd.choices(range(90), k=1500))]
+    rows.append(("s90", "n0", "name 0", "tool", None, 200))
+    f = pd.DataFrame(rows, columns=["start", "node", "name", "kind", "score", "tokens"])
+    calls = []
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda self, *a, _of=pd.DataFrame.sort_values, **k: (calls.append(len(self)), _of(self, *a, **k))[1])
+    got = {s: (c.rows, c.tokens.tolist(), c.least.tolist()) for s, c in graph.Candidates.by_start(f)}
+    assert len(calls) == 1
+    each = {s: graph.Candidates.of(one) for s, one in f.groupby("start")}
+    assert got == {s: (c.rows, c.tokens.tolist(), c.least.tolist()) for s, c in each.items()}
+    assert got["s90"][0] == [] and got["s1"][0] == sorted((-r[4], *r[1:4], r[5]) for r in rows if r[0] == "s1" and r[4] is not None)
+
+
 def test_paired_tests(spark):
     rows = [(True, False)] * 8 + [(False, True)] * 2 + [(True, True)] * 5
     r = statistics.mcnemar(spark.createDataFrame(rows, "a boolean, b boolean").withColumn("g", F.lit(1)), ["g"], "a", "b").first()
