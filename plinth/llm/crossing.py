@@ -132,8 +132,11 @@ def partnered(stage: Stage, texts: DataFrame, about: int, most: int) -> DataFram
         x = suffixes(held, None).join(first_ranks(train).distinct(), first, "left_semi")
         y = suffixes(train, None).join(first_ranks(held).distinct(), first, "left_semi")
     else:
+        stage.hold(bloom[0])
         y = stage.keep(suffixes(train, bloom), "train")
-        x = suffixes(held, filters.build(y.select(F.col("ranks")[0].alias("h")), about, most))
+        both = filters.build(y.select(F.col("ranks")[0].alias("h")), about, most)
+        stage.hold(both[0])
+        x = suffixes(held, both)
     return x.withColumn("kind", F.lit(0)).unionByName(y.withColumn("kind", F.lit(1)))
 
 
@@ -215,6 +218,7 @@ def common_prefixes(stage: Stage, texts: DataFrame, about: int, most: int = filt
 
     order = ["ranks", "rec", "at"]
     rows = stage.keep(partnered(stage, texts, about, most), "partnered")
+    stage.release()
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     met = stage.keep(ranged.mapInArrow(run, NEAR), "met")
     for name in ("partnered", "train"):
@@ -253,6 +257,8 @@ def by_sets(stage: Stage, classes: DataFrame, num: int, den: int) -> DataFrame:
     counts = sets.count_tokens(every)
     sides = [sets.list_lengths(every.filter(f"sig & 1 = {k}"), counts, num, den) for k in (0, 1)]
     # an entry whose list has none of the other side is left out
+    for b in (counts, *sides):
+        stage.hold(b)
     entries = [sets.postings(every.filter(f"sig & 1 = {k}"), counts, num, den, sides[0], sides[1]) for k in (0, 1)]
     return sets.candidates(entries[0].unionByName(entries[1]), num, den, across=True)
 
@@ -286,6 +292,7 @@ def similar_across(stage: Stage, t: dict[str, DataFrame], num: int, den: int) ->
     spans = t["prefixes"].select("rec", "partner").distinct().join(x, "rec").join(y, "partner").filter(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
     spans = spans.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     near = stage.keep(spans.unionByName(by_sets(stage, t["classes"], num, den)).distinct(), "near")
+    stage.release()
     stage.free()
     links = stage.keep(sets.verify(near, t["classes"], num, den), "links")
     for name in ("near", "sets"):

@@ -15,6 +15,7 @@ Lists longer than a limit are cut into parts, and each pair of parts is a task's
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +82,19 @@ def first_of_batch(b: pa.RecordBatch, seen: set) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+class Packed:
+    """An array that is compressed where it is stored: the driver and each executor keep a file of a broadcast, and most cells of a sketch are 0 or small."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array
+
+    def __getstate__(self) -> tuple[str, bytes]:
+        return self.array.dtype.str, zlib.compress(self.array.tobytes(), 1)
+
+    def __setstate__(self, state: tuple[str, bytes]) -> None:
+        self.array = np.frombuffer(zlib.decompress(state[1]), state[0])
+
+
 def counted(sets: DataFrame, cells: int, choose) -> Broadcast:
     """``cells`` sums, map-side combined: how many sets have a token of each cell among those that ``choose(tokens, sizes)`` gives."""
 
@@ -101,7 +115,7 @@ def counted(sets: DataFrame, cells: int, choose) -> Broadcast:
     rows = sets.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells, np.int64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return sets.sparkSession.sparkContext.broadcast(out.clip(0, 2**31 - 1).astype(np.uint32))
+    return sets.sparkSession.sparkContext.broadcast(Packed(out.clip(0, 2**31 - 1).astype(np.uint32)))
 
 
 def count_tokens(sets: DataFrame) -> Broadcast:
@@ -124,7 +138,7 @@ def prefix(flat: np.ndarray, n: np.ndarray, df: np.ndarray, num: int, den: int)
 
 def list_lengths(sets: DataFrame, counts: Broadcast, num: int, den: int) -> Broadcast:
     """How many entries the index lists of each cell have: what decides into how many parts a list is cut."""
-    return counted(sets, len(counts.value), lambda flat, n: prefix(flat, n, counts.value, num, den)[1])
+    return counted(sets, len(counts.value.array), lambda flat, n: prefix(flat, n, counts.value.array, num, den)[1])
 
 
 #: meta: size << 33 | position << 2 | side of a pair of parts << 1 | whether it is one.
@@ -178,21 +192,22 @@ def postings(sets: DataFrame, counts: Broadcast, num: int, den: int, lengths: Br
             s0, s1 = sketches(flat, n)
             wide = wide_sketches(flat, n)
             kind, sig = b.column(0).to_numpy(), b.column(2).to_numpy()
-            r, tok, p = prefix(flat, n, counts.value, num, den)
+            r, tok, p = prefix(flat, n, counts.value.array, num, den)
             # entries of long lists go to parts; each pair of parts gets both sides
-            cell = tok & np.uint32(len(counts.value) - 1)
-            long = lengths.value[cell].astype(np.int64)
+            cell = tok & np.uint32(len(counts.value.array) - 1)
+            long = lengths.value.array[cell].astype(np.int64)
             if others is not None:
-                other = others.value[cell].astype(np.int64)
+                other = others.value.array[cell].astype(np.int64)
                 both = np.flatnonzero((long > 0) & (other > 0))
                 r, tok, p, long = r[both], tok[both], p[both], long[both] + other[both]
             parts = np.maximum(1, -(-long // PART))
-            key = tokens.mix((tok.astype(np.uint64) << np.uint64(8)) + kind[r].astype(np.uint64))
+            # the token itself, which takes less room in a shuffle than a hash of it; pairs of parts have the keys below 0
+            key = (tok.astype(np.uint64) << np.uint64(8)) + kind[r].astype(np.uint64)
             own = (tokens.mix(sig[r].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
             i = np.repeat(np.arange(len(r)), parts)
             other = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
             a, z = np.minimum(own[i], other), np.maximum(own[i], other)
-            key = np.where(parts[i] > 1, tokens.mix(key[i] + ((a << 32) | z).astype(np.uint64) + np.uint64(1)), key[i]).view(np.int64)
+            key = np.where(parts[i] > 1, tokens.mix(tokens.mix(key[i]) + ((a << 32) | z).astype(np.uint64) + np.uint64(1)) | np.uint64(1 << 63), key[i]).view(np.int64)
             meta = (n[r][i] << 33) | (p[i] << 2) | ((own[i] != a) * 2) | (a != z)
             which = r[i]
             for lo in range(0, len(i), 100_000):

@@ -14,6 +14,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.held: list[Broadcast] = []
 
     def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.at}/{name}"
@@ -57,6 +59,14 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.free()
 
+    def hold(self, shared: Broadcast) -> None:
+        self.held.append(shared)
+
+    def release(self) -> None:
+        """Removes the held broadcasts' files on the driver and the executors; only once all that reads them is staged."""
+        while self.held:
+            self.held.pop().destroy()
+
     def free(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()

@@ -234,3 +234,23 @@ def test_substituted_overlaps_are_found(spark):
     want = {a[0] for a, b in zip(test, docs, strict=True) if max(sum(x == y for x, y in list(zip(plain_sequence(a[1]), plain_sequence(b[1])[2:], strict=False))[i : i + least[a[2]]]) for i in range(len(plain_sequence(a[1])) - least[a[2]] + 1)) >= leaks.TOLERANT * least[a[2]]}
     print(len(found & want), len(want))
     assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_shared_arrays_take_little_disk_and_go_when_done(spark):
+    import os
+    import pickle
+
+    from plinth.llm import crossing, sets
+
+    rows = [(f"{split}{i}", " ".join(f"w{(i * 7 + k) % 90}" for k in range(30)) + f" own{i % 5}", split) for split in ("train", "test") for i in range(60)]
+    records = spark.createDataFrame(rows, "id string, text string, split string")
+    counts = sets.count_tokens(sets.tokenise(records.selectExpr("0 as kind", "id", "text")))
+    array = counts.value.array
+    again = pickle.loads(pickle.dumps(counts.value)).array
+    assert array.nbytes == 4 << 20 and (again == array).all() and array.sum() > 0 and len(pickle.dumps(counts.value)) < 100_000
+    counts.destroy()
+    at = spark.sparkContext._temp_dir
+    before = set(os.listdir(at))
+    stage = Stage(spark, "t")
+    assert crossing.crossing(stage, records).count() >= 60
+    assert set(os.listdir(at)) <= before and not stage.held
